@@ -95,7 +95,7 @@ def summary_section(reply: ColumnOrName) -> Column:
     """Summary paragraph of an agent reply; the whole reply when there is none."""
     text = _c(reply)
     return F.coalesce(
-        _extract(text, r"Dispatch Summary[:\s]*\n([^\n]+(?:\n[^\n]+)*?)(?=\n\n(?:Dispatch JSON|\z))"), text
+        _extract(text, r"(?s)Dispatch Summary[:\s]*\n(.+?)(?=\n\n(?:Dispatch JSON|\z))"), text
     )
 
 
