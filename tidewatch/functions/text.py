@@ -109,47 +109,71 @@ def response_section(reply: ColumnOrName) -> Column:
 
 # -- redaction -----------------------------------------------------------------------
 
-_NAMES = "(?:" + "|".join(SECRET_NAMES) + r")[\w-]*"
-_SEP = r"['\"]?\s*[:=]\s*"
-_END = r"(?=\s|\z|[,;}])"
+# ``\s`` and ``\w`` of Java are ASCII; the classes below also take the blanks and
+# letters beyond it, without the slow Unicode mode.
+_WS = r"\s\x1c-\x1f\x85\p{Z}"
+def _any(words: list[str]) -> str:
+    """Any of the words; the class of first letters skips most positions at once."""
+    first = "".join(sorted({w[0] for w in words} | {w[0].upper() for w in words}))
+    return f"(?=[{first}])(?i:{'|'.join(words)})"
+
+
+_NAMES = _any(SECRET_NAMES) + r"[\p{L}\p{N}_-]*"
+_SEP = rf"['\"]?[{_WS}]*[:=][{_WS}]*"
+_END = rf"(?=[{_WS},;}}]|\z)"
 # A bare value runs to the first blank, comma, semicolon or brace; a quoted one
 # to its closing quote. Already masked values hold the gap sign and never match.
-_FIRST = rf"[^\s'\"{GAP}]"
-_BARE = rf"[^\s'\",;}}{GAP}]"
+_FIRST = rf"[^{_WS}'\"{GAP}]"
+_BARE = rf"[^{_WS}'\",;}}{GAP}]"
+
+
+def _has(text: Column, words: list[str]) -> Column:
+    """Cheap test for any of the words, so most texts skip the patterns."""
+    low = F.lower(text)
+    found = [F.contains(low, F.lit(w)) for w in words]
+    out = found[0]
+    for cond in found[1:]:
+        out = out | cond
+    return out
 
 
 def _mask_pairs(text: Column) -> Column:
-    key = rf"(?iU)({_NAMES}{_SEP})"
-    text = F.regexp_replace(text, rf"{key}({_FIRST}{_BARE}{{3}}){_BARE}{{2,}}({_BARE}{{2}}){_END}", f"$1$2{GAP}$3")
-    text = F.regexp_replace(text, rf"{key}{_FIRST}{_BARE}{{0,6}}{_END}", f"$1{MASK}")
-    quoted = rf"{key}(['\"])({_FIRST}{{4}}){_FIRST}{{2,}}({_FIRST}{{2}})\2{_END}"
-    text = F.regexp_replace(text, quoted, f"$1$2$3{GAP}$4$2")
-    return F.regexp_replace(text, rf"{key}(['\"]){_FIRST}{{1,7}}\2{_END}", f"$1$2{MASK}$2")
+    # groups of the form that did not match are empty in the replacement
+    key = rf"({_NAMES}{_SEP})"
+    long = rf"{key}(?:(['\"])({_FIRST}{{4}}){_FIRST}{{2,}}({_FIRST}{{2}})\2|({_FIRST}{_BARE}{{3}}){_BARE}{{2,}}({_BARE}{{2}})){_END}"
+    short = rf"{key}(?:(['\"]){_FIRST}{{1,7}}\2|{_FIRST}{_BARE}{{0,6}}){_END}"
+    return F.regexp_replace(F.regexp_replace(text, long, f"$1$2$3$5{GAP}$4$6$2"), short, f"$1$2{MASK}$2")
 
 
 def _mask_auth(text: Column) -> Column:
-    head = r"(?iU)((?:" + "|".join(AUTH_SCHEMES) + r")\s+)"
+    head = rf"({_any(AUTH_SCHEMES)}[{_WS}]+)"
     body = r"[A-Za-z0-9+/=._-]"
-    # the token is matched whole (possessive), so a short one is never cut out of a long one
-    stop = rf"(?!{body})(?!{GAP})"
+    # the token is matched to its end, so a short one is never cut out of a long one
+    stop = rf"(?!{body}|{GAP})"
     text = F.regexp_replace(text, rf"{head}({body}{{4}}){body}{{2,}}({body}{{2}}){stop}", f"$1$2{GAP}$3")
     return F.regexp_replace(text, rf"{head}{body}{{1,7}}{stop}", f"$1{MASK}")
 
 
 def _mask_uri(text: Column) -> Column:
-    # the password may itself hold '@'; it ends at the last one before a blank
-    return F.regexp_replace(text, r"(?iU)(mongodb(?:\+srv)?://[^:/\s]+:)[^@\s]+(?=@)", f"$1{MASK}")
+    # the password ends at the first '@', as user names and passwords hold none
+    return F.regexp_replace(text, r"(?i)(mongodb(?:\+srv)?://[^:/\s]+:)[^@\s]+(?=@)", f"$1{MASK}")
 
 
 def redact(text: ColumnOrName) -> Column:
     """Mask secrets: URI passwords, authorization headers, key/value pairs.
 
     Values keep their first four and last two characters, shorter than eight
-    become ``***``. Idempotent. Texts without any trigger word skip the patterns.
+    become ``***``. Idempotent. A text goes only through the patterns whose
+    words it holds.
     """
-    raw = _c(text)
-    trigger = r"(?i)mongodb|" + "|".join(AUTH_SCHEMES + SECRET_NAMES)
-    return F.when(raw.rlike(trigger), _mask_pairs(_mask_auth(_mask_uri(raw)))).otherwise(raw)
+    raw = out = _c(text)
+    for words, mask in (
+        (["mongodb"], _mask_uri),
+        (AUTH_SCHEMES, _mask_auth),
+        (["passw", "secret", "key", "token", "auth", "bearer"], _mask_pairs),
+    ):
+        out = F.when(_has(raw, words), mask(out)).otherwise(out)
+    return out
 
 
 def hide_uri_credentials(text: ColumnOrName) -> Column:

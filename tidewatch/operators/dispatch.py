@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.prompts import dispatch_reason
@@ -57,8 +55,8 @@ def plan(surges: DataFrame, vessels: DataFrame, stops: DataFrame, max_boats: int
     Seats needed are requests above the expected ones. Each round every surge
     still short of seats claims its nearest free boat from another zone (then
     the larger, then the lower id); a boat wanted twice goes to the larger need.
-    At most ``max_boats`` rounds, each written to the shared folder, so the plan
-    of a round does not hold the earlier ones.
+    At most ``max_boats`` rounds. The boats taken so far are written to the shared
+    folder after each, so a round's plan does not hold the earlier ones.
     """
     canonical = stops.groupBy("idx").agg(F.min("zone").alias("zone"))
     need = materialize(
@@ -76,37 +74,35 @@ def plan(surges: DataFrame, vessels: DataFrame, stops: DataFrame, max_boats: int
         .select("vessel_id", F.col("zone").alias("base_zone"), F.col("stop").alias("zone"), "capacity"),
         "fleet",
     )
-    rounds: list[DataFrame] = []
+    taken = None
     for r in range(1, max_boats + 1):
         free, short = fleet, need.withColumn("left", F.col("need"))
-        if rounds:
-            claimed = reduce(DataFrame.unionByName, rounds)
-            free = fleet.join(claimed.select("vessel_id"), "vessel_id", "left_anti")
-            seats = claimed.groupBy(*SURGE).agg(F.sum("capacity").alias("seats"))
+        if taken is not None:
+            free = fleet.join(taken.select("vessel_id"), "vessel_id", "left_anti")
+            seats = taken.groupBy(*SURGE).agg(F.sum("capacity").alias("seats"))
             short = need.join(seats, SURGE, "left").withColumn("left", F.col("need") - F.coalesce("seats", F.lit(0)))
         offers = _nearest_offers(free, canonical).withColumnRenamed("zone", "stop")
         claims = short.where(F.col("left") > 0).join(offers, "stop")
-        winner = F.min(
-            F.struct((-F.col("left")).alias("neg"), *SURGE, F.col("offer.cost").alias("cost"), F.col("offer.neg_capacity").alias("nc"))
-        )
-        won = claims.groupBy(F.col("offer.vessel_id").alias("vessel_id")).agg(winner.alias("w"))
-        won = materialize(
-            won.select(
+        # the larger need wins a boat; combined map-side, however many want it
+        rank = F.struct((-F.col("left")).alias("neg"), *SURGE, "offer.cost", "offer.neg_capacity")
+        won = (
+            claims.groupBy(F.col("offer.vessel_id").alias("vessel_id"))
+            .agg(F.min(rank).alias("w"))
+            .select(
                 "w.pickup_zone",
                 "w.window_time",
                 "vessel_id",
                 F.lit(r).alias("round"),
-                F.col("w.cost").alias("cost"),
-                (-F.col("w.nc")).alias("capacity"),
-            ),
-            f"round{r}",
+                "w.cost",
+                (-F.col("w.neg_capacity")).alias("capacity"),
+            )
         )
-        if won.isEmpty():
+        seen = Observation()
+        won = won.observe(seen, F.count(F.lit(1)).alias("boats"))
+        taken = materialize(won if taken is None else taken.unionByName(won), f"round{r}")
+        if seen.get["boats"] == 0:
             break
-        rounds.append(won)
-    if not rounds:
-        rounds = [won]
-    return reduce(DataFrame.unionByName, rounds).join(fleet.select("vessel_id", "base_zone"), "vessel_id")
+    return taken.join(fleet.select("vessel_id", "base_zone"), "vessel_id")
 
 
 def completed_actions(surges: DataFrame, assigned: DataFrame, cause: str | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.session import materialize
+
 BLOCK = 2048
 DIGITS = 9
 
@@ -22,15 +24,17 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
-def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best columns per row; ties go to the lower column."""
+def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the k best columns per row; ties go to the lower
+    column. ``scores`` is used up."""
     k = min(k, scores.shape[1])
-    bar = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-    r, c = np.nonzero(scores >= bar)
-    order = np.lexsort((c, -scores[r, c], r))
-    r, c = r[order], c[order]
-    place = np.arange(len(r)) - np.searchsorted(r, r)
-    return r[place < k], c[place < k]
+    rows = np.arange(len(scores))
+    cols, best = np.empty((len(scores), k), dtype=np.int64), np.empty((len(scores), k))
+    for place in range(k):
+        cols[:, place] = scores.argmax(axis=1)
+        best[:, place] = scores[rows, cols[:, place]]
+        scores[rows, cols[:, place]] = -np.inf
+    return np.repeat(rows, k), cols.ravel(), best.ravel()
 
 
 def _blocks(n: Column, size: int) -> Column:
@@ -38,7 +42,13 @@ def _blocks(n: Column, size: int) -> Column:
 
 
 def best_pairs(
-    queries: DataFrame, items: DataFrame, k: int, group: str | None = None, metric: str = "cosine", block_rows: int = BLOCK
+    queries: DataFrame,
+    items: DataFrame,
+    k: int,
+    group: str | None = None,
+    metric: str = "cosine",
+    block_rows: int = BLOCK,
+    counted: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """(query_id, item_id, score) of the ``k`` best items of each query.
 
@@ -49,11 +59,15 @@ def best_pairs(
     group; each (query block, item block) is one numpy product in one task that
     emits ``k`` rows per query. No side is collected or broadcast, a group of any
     size is spread over its blocks, and no list of pairs exists.
+
+    ``counted``: tables to take the row counts from where they are cheaper to
+    count (the counts only choose the number of blocks).
     """
+    count_q, count_i = counted or (queries, items)
     if group is None:
         queries, items, group = queries.withColumn("__g", F.lit(0)), items.withColumn("__g", F.lit(0)), "__g"
-        n_q = queries.agg(F.count(F.lit(1)).alias("n")).scalar()
-        n_i = items.agg(F.count(F.lit(1)).alias("n")).scalar()
+        n_q = count_q.agg(F.count(F.lit(1)).alias("n")).scalar()
+        n_i = count_i.agg(F.count(F.lit(1)).alias("n")).scalar()
         q, i = queries.withColumns({"__nq": n_q, "__ni": n_i}), items.withColumns({"__nq": n_q, "__ni": n_i})
     else:
         n_q = queries.groupBy(group).agg(F.count(F.lit(1)).alias("__nq"))
@@ -86,16 +100,16 @@ def best_pairs(
         right = right.sort_values("item_id", ignore_index=True)
         if metric == "cosine":
             a, b = _unit(left["vec"]), _unit(right["vec"])
-            s = a @ b.T
+            s = np.round(a @ b.T, DIGITS)
         else:
             a, b = np.stack(left["vec"].to_numpy()).astype(float), np.stack(right["vec"].to_numpy()).astype(float)
             s = np.zeros((len(a), len(b)))
             for d in range(a.shape[1]):
-                s -= (a[:, d : d + 1] - b[:, d]) ** 2
-        s = np.round(s, DIGITS) if metric == "cosine" else s
-        r, c = _top(s, k)
+                gap = a[:, d : d + 1] - b[:, d]
+                s -= np.square(gap, out=gap)
+        r, c, best = _top(s, k)
         return pd.DataFrame(
-            {"query_id": left["query_id"].to_numpy()[r], "item_id": right["item_id"].to_numpy()[c], "score": s[r, c]}
+            {"query_id": left["query_id"].to_numpy()[r], "item_id": right["item_id"].to_numpy()[c], "score": best}
         )
 
     cells = ["g", "qb", "ib"]
@@ -139,7 +153,10 @@ def search(queries: DataFrame, kb: DataFrame, k: int = 3, match: Sequence[str] =
     equal in them are compared. Zero vectors take no part.
     """
     group = "grp" if match else None
-    return _scored(best_pairs(_as_queries(queries, match), _as_items(kb, match), k, group, block_rows=block_rows))
+    pairs = best_pairs(
+        _as_queries(queries, match), _as_items(kb, match), k, group, block_rows=block_rows, counted=(queries, kb)
+    )
+    return _scored(pairs)
 
 
 def search_results(hits: DataFrame, kb: DataFrame, fields: Sequence[str] = ("chunk",)) -> DataFrame:
@@ -173,13 +190,14 @@ class Cells:
     """
 
     def __init__(self, kb: DataFrame, nlist: int = 16, seed: int = 7, train_rows: int = 200_000):
-        items = _as_items(kb)
-        unit = items.withColumn("__u", array_to_vector(_unit_sql("vec").cast("array<double>")))
+        items = _as_items(kb).withColumn("unit", array_to_vector(_unit_sql("vec")))
         n = kb.count()
-        sample = unit if n <= train_rows else unit.sample(fraction=train_rows / n, seed=seed)
-        model = KMeans(k=nlist, seed=seed, featuresCol="__u", predictionCol="cell", maxIter=10).fit(sample.select("__u"))
-        self.centres = np.array([c for c in model.clusterCenters()])
-        self.items = model.transform(unit).select("item_id", "vec", "cell")
+        sample = items if n <= train_rows else items.sample(fraction=train_rows / n, seed=seed)
+        model = KMeans(
+            k=nlist, seed=seed, featuresCol="unit", predictionCol="cell", maxIter=5, initSteps=1, tol=1e-3
+        ).fit(sample.select("unit"))
+        self.centres = np.array(model.clusterCenters())
+        self.items = materialize(model.transform(items).select("item_id", "vec", "cell"), "cells")
         self.sizes = np.zeros(len(self.centres))
         self.radii = np.zeros(len(self.centres))
         far = self._distance_to_own(self.items).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r"))
@@ -242,16 +260,18 @@ def search_cells(
     too, so the result equals :func:`search`; ``False`` stops at the candidates,
     like an index with a candidate limit.
     """
-    probed = cells.probes(_as_queries(queries), candidates)
+    # each step that runs Python is written once; the block counts below re-read it
+    probed = materialize(cells.probes(_as_queries(queries), candidates), "probed")
     first_q = probed.select("query_id", "vec", F.explode("probed").alias("cell"))
     first = best_pairs(first_q, cells.items, k, "cell", block_rows=block_rows).select("query_id", "item_id", "score")
     if not exact:
         return _scored(best_of(first, k))
+    first = materialize(first, "hits")
     # The k-th best score so far bounds what is still worth looking at.
     bound = F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-1.0)).alias("kth")
     kth = first.groupBy("query_id").agg(bound)
     seen = probed.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(-1.0)))
-    rest = cells.remaining(seen)
+    rest = materialize(cells.remaining(seen).select("query_id", "vec", "more"), "more")
     second_q = rest.select("query_id", "vec", F.explode("more").alias("cell"))
     second = best_pairs(second_q, cells.items, k, "cell", block_rows=block_rows).select("query_id", "item_id", "score")
     return _scored(best_of(first.unionByName(second), k))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators.aggregates import zone_traffic
 from tidewatch.operators.rows import zone_traffic_sink
 from tidewatch.plans.surge import surge_anomalies
+from tidewatch.session import materialize
 from tidewatch.sources import tables as t
 
 EVENT_WINDOW, LINE_WINDOW, CONFIDENCE = "1 hour", "7 days", 99.0
@@ -35,7 +36,7 @@ def line_surges(spark: SparkSession, d: str) -> DataFrame:
 
 def raw_messages(spark: SparkSession, d: str) -> DataFrame:
     """Messages of an older producer: missing zones, times as numbers, text or nothing."""
-    k = F.from_json("props", "k int").getField("k") % 5
+    k = F.get_json_object("props", "$.k").cast("int") % 5
     ts = F.col("ts").cast("timestamp")
     start = (
         F.when(k == 0, F.unix_millis(ts).cast("string"))
@@ -58,12 +59,13 @@ def dispatches(spark: SparkSession, d: str) -> DataFrame:
     listed = F.concat(
         F.lit('[{"vessel_id":"Supplier#'), boat, F.lit('","new_zone":"'), "pickup_zone", F.lit('"},{"new_zone":"x"}]')
     )
-    return s.select(
+    log = s.select(
         "pickup_zone",
         "window_time",
         "request_count",
         F.when(F.col("request_count") % 2 == 0, listed).otherwise(F.lit("no boats named")).alias("dispatch_json"),
     )
+    return materialize(log, "dispatches")
 
 
 def dispatch_log(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from tidewatch.plans import inputs as i
 from tidewatch.plans import surge
 from tidewatch.plans.inputs import DISPATCHES_SQL
 from tidewatch.plans.registry import CALENDAR_SQL, KB_SQL, LINE_SURGES, query
+from tidewatch.session import materialize
 from tidewatch.sources import tables as t
 
 # -- vector search -------------------------------------------------------------------
@@ -98,7 +99,8 @@ def _(spark, d):
 
 
 def _built(spark, d):
-    return surge.knowledge_rows(t.calendar(spark, d), F.lit("2024-02-01").cast("timestamp"))[0]
+    rows = surge.knowledge_rows(t.calendar(spark, d), F.lit("2024-02-01").cast("timestamp"))[0]
+    return materialize(rows, "knowledge")
 
 
 @query(
@@ -170,7 +172,7 @@ def _(spark, d):
     FROM surges JOIN per USING (pickup_zone, window_time)""",
 )
 def _(spark, d):
-    s = i.line_surges(spark, d)
+    s = materialize(i.line_surges(spark, d), "surges")
     return dispatch.completed_actions(s, dispatch.plan(s, t.vessels(spark, d), t.zone_index(spark, d)))
 
 
@@ -201,7 +203,7 @@ STITCH_SQL = """pts AS (SELECT event_type AS path_id, user_id AS way, event_id A
     f"""WITH {STITCH_SQL} SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY way DESC, pos DESC) - 1 AS idx, lon, lat FROM kept""",
 )
 def _(spark, d):
-    k = F.from_json("props", "k int").getField("k")
+    k = F.get_json_object("props", "$.k").cast("int")
     points = t.table(spark, d, "events").select(
         F.col("event_type").alias("path_id"),
         F.col("user_id").alias("way"),
@@ -297,14 +299,14 @@ DJB2 = """CAST(list_reduce(list_prepend(CAST(5381 AS HUGEINT), list_transform(st
       * 8000 + 1e-7) AS BIGINT) AS ms FROM seg WINDOW w AS (PARTITION BY pickup_zone, window_time, vessel_id ORDER BY seq)),
     legs AS (SELECT *, lead(lon) OVER w AS lon1, lead(lat) OVER w AS lat1, lead(ms) OVER w AS ms1 FROM timed
       WINDOW w AS (PARTITION BY pickup_zone, window_time, vessel_id ORDER BY seq)),
-    hit AS (SELECT * FROM legs WHERE 12000 BETWEEN ms AND ms1
+    hit AS (SELECT * FROM legs WHERE 15000 BETWEEN ms AND ms1
       QUALIFY row_number() OVER (PARTITION BY pickup_zone, window_time, vessel_id ORDER BY seq) = 1)
-    SELECT pickup_zone, window_time, vessel_id, round(lon + (lon1 - lon) * (12000 - ms) / greatest(ms1 - ms, 1), 3) AS lon,
-      round(lat + (lat1 - lat) * (12000 - ms) / greatest(ms1 - ms, 1), 3) AS lat, round(degrees(atan2(lat1 - lat, lon1 - lon)), 3) AS heading FROM hit""",
+    SELECT pickup_zone, window_time, vessel_id, round(lon + (lon1 - lon) * (15000 - ms) / greatest(ms1 - ms, 1), 3) AS lon,
+      round(lat + (lat1 - lat) * (15000 - ms) / greatest(ms1 - ms, 1), 3) AS lat, round(degrees(atan2(lat1 - lat, lon1 - lon)), 3) AS heading FROM hit""",
 )
 def _(spark, d):
     points = paths.trips(i.dispatches(spark, d), t.vessels(spark, d), t.zone_index(spark, d), t.waypoints(spark, d))
-    found = paths.positions(points, 12_000)
+    found = paths.positions(points, 15_000)
     return found.withColumns({c: F.round(c, 3) for c in ("lon", "lat", "heading")})
 
 

@@ -57,7 +57,9 @@ def explained(
     without hits leave no row, as a lateral join does, unless kept.
     """
     asked = surges(anomalies).withColumn("query", surge_query()).withColumn("query_id", F.col("query"))
-    vectors = embed(asked.select("query_id", "query").distinct(), "query", embedder or HashEmbedder(), "query")
+    asked = materialize(asked, "asked")
+    # model calls are written down: each text is sent once, whatever reads the vectors
+    vectors = materialize(embed(asked.select("query_id", "query").distinct(), "query", embedder or HashEmbedder(), "query"), "vectors")
     hits = search_results(search(vectors, kb, k), kb)
     found = asked.join(hits, "query_id", "left" if keep_unmatched else "inner")
     replied = generate(found.withColumn("prompt", guarded_prompt()), "prompt", writer or EchoWriter())

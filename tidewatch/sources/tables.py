@@ -11,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _k():
-    return F.from_json("props", "k int").getField("k")
+    return F.get_json_object("props", "$.k").cast("int")
 
 
 def rides_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
