@@ -178,7 +178,7 @@ def slug(*parts: ColumnOrName) -> Column:
 
 def djb2(text: ColumnOrName) -> Column:
     """Unsigned 32-bit djb2 over the characters of an ASCII text."""
-    chars = F.split(_c(text), "")
+    chars = F.filter(F.split(_c(text), ""), lambda c: c != "")
     mask = F.lit(0xFFFFFFFF).cast("long")
     return F.aggregate(
         chars, F.lit(5381).cast("long"), lambda h, c: (h * F.lit(33) + F.ascii(c)).bitwiseAND(mask)

@@ -248,7 +248,8 @@ class Cells:
 
 def _unit_sql(vec: str) -> Column:
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vec, lambda x: x.cast("double") / norm)
+    # bound as a lambda argument, the norm is taken once per row and not per element
+    return F.element_at(F.transform(F.array(norm), lambda n: F.transform(vec, lambda x: x.cast("double") / n)), 1)
 
 
 def search_cells(

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+_OWN_DIR = "spark.tidewatch.shared.dir"
+
 
 def local_session(app: str = "tidewatch", cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
@@ -40,14 +42,13 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder, because there the
     driver and the executors are one process.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_DIR, None)
     if path:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     path = tempfile.mkdtemp(prefix="tidewatch-")
-    spark.conf.set("spark.checkpoint.dir", path)
+    spark.conf.set(_OWN_DIR, path)
     return path
 
 
