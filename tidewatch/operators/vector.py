@@ -96,7 +96,8 @@ def best_pairs(
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+            none = [f.name for f in out.fields]
+            return pd.DataFrame(columns=none).astype({"score": "float64"})
         right = right.sort_values("item_id", ignore_index=True)
         if metric == "cosine":
             a, b = _unit(left["vec"]), _unit(right["vec"])
