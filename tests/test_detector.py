@@ -116,13 +116,13 @@ def test_running_before_with_null_and_hot_keys(spark):
     assert all((r.s, r.s_total) == want[r.t] for r in got)
 
 
-@pytest.mark.parametrize("direction", ["backward", "forward"])
-def test_asof_equals_merge_asof(spark, direction):
+@pytest.mark.parametrize("direction,salts", [("backward", 1), ("forward", 1), ("backward", 5), ("forward", 3)])
+def test_asof_equals_merge_asof(spark, direction, salts):
     rng = random.Random(5)
     left = sorted((T0 + dt.timedelta(seconds=rng.randint(0, 20_000)), rng.choice("ab"), i) for i in range(200))
     right = sorted({(T0 + dt.timedelta(seconds=rng.randint(0, 20_000)), rng.choice("ab")) for _ in range(60)})
     l, r = spark.createDataFrame(left, "t timestamp, k string, i long"), spark.createDataFrame(right, "rt timestamp, k string")
-    got = {x.i: x.hit.rt if x.hit else None for x in asof(l, r, ["k"], "t", "rt", "hit", 900, direction).collect()}
+    got = {x.i: x.hit.rt if x.hit else None for x in asof(l, r, ["k"], "t", "rt", "hit", 900, direction, salts).collect()}
     want = pd.merge_asof(
         pd.DataFrame(left, columns=["t", "k", "i"]), pd.DataFrame(right, columns=["rt", "k"]), left_on="t", right_on="rt", by="k", direction=direction
     )

@@ -67,12 +67,16 @@ def nearest_window(
     probe_time: str,
     window_time: str = "window_start",
     keys: Sequence[str] = (),
-    chunk_seconds: int = DAY,
+    chunk_seconds: int = HOUR,
+    salts: int = 8,
 ) -> DataFrame:
-    """Each probe with the window nearest in time (the earlier one on a tie)."""
+    """Each probe with the window nearest in time (the earlier one on a tie).
+
+    Probes may be raw rows, many per instant and zone, hence the salts.
+    """
     times = windows.select(*keys, F.col(window_time).alias("nearest")).distinct()
-    before = asof(probes, times, keys, probe_time, "nearest", "__b", chunk_seconds)
-    both = asof(before, times, keys, probe_time, "nearest", "__f", chunk_seconds, "forward")
+    before = asof(probes, times, keys, probe_time, "nearest", "__b", chunk_seconds, salts=salts)
+    both = asof(before, times, keys, probe_time, "nearest", "__f", chunk_seconds, "forward", salts)
     at = F.unix_micros(probe_time)
     gap_b, gap_f = at - F.unix_micros("__b.nearest"), F.unix_micros("__f.nearest") - at
     nearer_before = F.col("__f").isNull() | (gap_b <= gap_f)

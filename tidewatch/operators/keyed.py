@@ -110,7 +110,8 @@ class KeyedTable:
     def _write(self, merged: DataFrame) -> None:
         staged = materialize(merged, "staged")
         (
-            staged.repartition(self.partition)
+            # rows of a partition are brought together; a large one is split into several files
+            staged.hint("rebalance", self.partition)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(self.partition)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 KEY = "__key"
 CHUNK = "__chunk"
+SALT = "__salt"
 
 
 def time_chunk(time: str, seconds: int) -> Column:
@@ -75,6 +76,7 @@ def asof(
     value: str,
     chunk_seconds: int,
     direction: str = "backward",
+    salts: int = 1,
 ) -> DataFrame:
     """For each left row, the struct of the nearest right row at or before it
     (``backward``) or at or after it (``forward``), as column ``value``.
@@ -82,34 +84,47 @@ def asof(
     Both sides are merged into one ordered stream per (key, chunk) and the last
     right row is carried along, so no (left, right) pairs are produced. Right
     rows with the same time are resolved by the smallest struct.
+
+    Left rows do not depend on each other, so ``salts`` spreads those of a chunk
+    over that many tasks; each gets its own copy of the (smaller) right side.
     """
     sign = 1 if direction == "backward" else -1
-    l_cols, r_cols = left.columns, right.columns
-    payload = F.struct(*[F.col(c) for c in r_cols])
+    chunk = F.floor(F.col("__t") / F.lit(chunk_seconds * 1_000_000))
     l_rows = left.select(
         key_of(keys).alias(KEY),
         (F.unix_micros(left_time) * sign).alias("__t"),
-        F.struct(*[F.col(c) for c in l_cols]).alias("__left"),
-    )
+        F.struct(*[F.col(c) for c in left.columns]).alias("__left"),
+        F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int").alias(SALT),
+    ).withColumn(CHUNK, chunk)
     # one right row per (key, time): duplicates are folded before the shuffle
     r_rows = (
-        right.select(key_of(keys).alias(KEY), (F.unix_micros(right_time) * sign).alias("__t"), payload.alias("__right"))
+        right.select(
+            key_of(keys).alias(KEY),
+            (F.unix_micros(right_time) * sign).alias("__t"),
+            F.struct(*[F.col(c) for c in right.columns]).alias("__right"),
+        )
         .groupBy(KEY, "__t")
         .agg(F.min("__right").alias("__right"))
+        .withColumn(CHUNK, chunk)
     )
-    both = l_rows.unionByName(r_rows, allowMissingColumns=True).withColumn(
-        CHUNK, F.floor(F.col("__t") / F.lit(chunk_seconds * 1_000_000))
-    )
-    last = both.groupBy(KEY, CHUNK).agg(
-        F.max_by("__right", F.when(F.col("__right").isNotNull(), F.col("__t"))).alias("__last")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(SALT)
+
+    # one small row per chunk: its last right row, carried into the later chunks
+    last = (
+        l_rows.select(KEY, CHUNK, F.lit(None).cast("long").alias("__t"))
+        .unionByName(r_rows.select(KEY, CHUNK, "__t", "__right"), allowMissingColumns=True)
+        .groupBy(KEY, CHUNK)
+        .agg(F.max_by("__right", "__t").alias("__last"))
     )
     earlier = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select(KEY, CHUNK, F.last("__last", ignorenulls=True).over(earlier).alias("__carry"))
+    carry = carry.select(KEY, CHUNK, "__carry", every_salt)
 
+    both = l_rows.unionByName(r_rows.select("*", every_salt), allowMissingColumns=True)
     upto = (
-        Window.partitionBy(KEY, CHUNK)
+        Window.partitionBy(KEY, CHUNK, SALT)
         .orderBy("__t", F.col("__left").isNotNull())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     seen = both.withColumn("__seen", F.last("__right", ignorenulls=True).over(upto)).where(F.col("__left").isNotNull())
-    return seen.join(carry, [KEY, CHUNK]).select("__left.*", F.coalesce("__seen", "__carry").alias(value))
+    return seen.join(carry, [KEY, CHUNK, SALT]).select("__left.*", F.coalesce("__seen", "__carry").alias(value))
