@@ -10,8 +10,8 @@ from tidewatch.functions.exprs import ColumnOrName, _c
 # -- fixed values -----------------------------------------------------------------
 
 # Characters Python's str.strip() removes, ASCII and beyond.
-_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(chr(c) for c in range(0x2000, 0x200B)) + (
-    "    　"
+_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
 )
 # Emphasis and blanks cut from both ends of a section.
 _EMPHASIS = "*_ \t\r\n"

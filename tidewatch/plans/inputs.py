@@ -35,6 +35,10 @@ def line_surges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raw_messages(spark: SparkSession, d: str) -> DataFrame:
+    return as_raw(t.table(spark, d, "events"))
+
+
+def as_raw(events: DataFrame) -> DataFrame:
     """Messages of an older producer: missing zones, times as numbers, text or nothing."""
     k = F.get_json_object("props", "$.k").cast("int") % 5
     ts = F.col("ts").cast("timestamp")
@@ -44,7 +48,7 @@ def raw_messages(spark: SparkSession, d: str) -> DataFrame:
         .when(k == 2, F.lit("soon"))
         .otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
     )
-    return t.table(spark, d, "events").select(
+    return events.select(
         "event_id",
         F.when(F.col("user_id") % 11 != 0, F.col("event_type")).alias("zone"),
         start.alias("window_start"),

@@ -283,6 +283,15 @@ def _(spark, d):
     return paths.trip_starts(i.dispatches(spark, d), t.vessels(spark, d), t.zone_index(spark, d))
 
 
+@query(
+    "x2_listed_boats",
+    f"""WITH {LINE_SURGES}, {DISPATCHES_SQL} SELECT pickup_zone, window_time, 0 AS item,
+      'Supplier#' || lpad(CAST(request_count % 10 AS VARCHAR), 9, '0') AS vessel_id FROM dispatches WHERE request_count % 2 = 0""",
+)
+def _(spark, d):
+    return paths.listed_boats(i.dispatches(spark, d))
+
+
 DJB2 = """CAST(list_reduce(list_prepend(CAST(5381 AS HUGEINT), list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS HUGEINT))),
     lambda h, c: (h * 33 + c) % 4294967296) % 22000 AS BIGINT)"""
 

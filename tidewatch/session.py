@@ -52,6 +52,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder."""
+    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
@@ -59,6 +64,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     not grow. Lost executors re-read files; nothing is recomputed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

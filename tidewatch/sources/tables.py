@@ -15,8 +15,12 @@ def _k():
 
 
 def rides_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_rides(table(spark, sf_dir, "events"))
+
+
+def as_rides(events: DataFrame) -> DataFrame:
     """Ride requests: zone from ``event_type``, passengers from ``props``."""
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").cast("string").alias("request_id"),
         F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("customer_email"),
         F.col("event_type").alias("pickup_zone"),
