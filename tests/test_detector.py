@@ -103,11 +103,12 @@ def test_trend_equals_refit_per_row(spark, max_train):
         assert r.forecast == pytest.approx(np.r_[1, v[i - 1], v[i - 2]] @ beta, rel=1e-4)
 
 
-def test_running_before_with_null_and_hot_keys(spark):
+@pytest.mark.parametrize("coarse", [None, lambda c: F.floor(c / 3)])
+def test_running_before_with_null_and_hot_keys(spark, coarse):
     rng = random.Random(1)
     raw = [(rng.choice(["hot", "hot", "hot", None, "x"]), T0 + dt.timedelta(seconds=i * 37), rng.randint(1, 9)) for i in range(300)]
     df = spark.createDataFrame(raw, "k string, t timestamp, v long")
-    got = running_before(df, ["k"], ["t"], time_chunk("t", 600), {"s": F.col("v")}, totals=True).collect()
+    got = running_before(df, ["k"], ["t"], time_chunk("t", 600), {"s": F.col("v")}, True, coarse).collect()
     assert len(got) == 300
     pdf = pd.DataFrame(raw, columns=["k", "t", "v"])
     pdf["k"] = pdf.k.fillna("~")

@@ -307,3 +307,17 @@ def test_seed_calendar(spark, tmp_path):
     assert row.document_id == "frenchmen-street-live-marigny"
     (tmp_path / "v.json").write_text(json.dumps([{"vessel_id": "V", "base_zone": "Uptown", "capacity": 6}]))
     assert seeds.read_vessels(spark, str(tmp_path / "v.json")).first().capacity == 6
+
+
+def test_materialized_tables_can_be_released(spark, tmp_path):
+    from tidewatch.session import materialize, release
+
+    kept = materialize(spark.range(3), "kept")
+    gone = materialize(spark.range(3), "gone")
+    files = gone.inputFiles()
+    release(gone)
+    spark.range(2).write.parquet(str(tmp_path / "own"))
+    release(spark.read.parquet(str(tmp_path / "own")))
+    assert kept.count() == 3 and spark.read.parquet(str(tmp_path / "own")).count() == 2
+    with pytest.raises(Exception):
+        spark.read.parquet(files[0]).count()

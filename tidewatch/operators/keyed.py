@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import materialize
+from tidewatch.session import materialize, release
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str] = ()) -> DataFrame:
@@ -107,10 +107,9 @@ class KeyedTable:
     def read(self, spark) -> DataFrame:
         return spark.read.option("mergeSchema", "true").parquet(self.path)
 
-    def _write(self, merged: DataFrame) -> None:
-        staged = materialize(merged, "staged")
+    def _swap_in(self, staged: DataFrame) -> None:
+        # rows of a partition are brought together; a large one is split into several files
         (
-            # rows of a partition are brought together; a large one is split into several files
             staged.hint("rebalance", self.partition)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -122,13 +121,15 @@ class KeyedTable:
         spark = batch.sparkSession
         rows = purge_missing_keys(batch, self.keys)
         rows = keep_latest(rows, self.keys, order, tie) if order else rows.dropDuplicates(self.keys)
-        rows = rows.withColumn(self.partition, self.expr)
+        rows = materialize(rows.withColumn(self.partition, self.expr), "batch")
+        staged = rows
         if self.exists(spark):
-            rows = materialize(rows, "batch")
             touched = rows.select(self.partition).distinct()
             current = self.read(spark).join(touched, self.partition, "left_semi")
-            rows = merge(current, rows, self.keys)
-        self._write(rows)
+            staged = materialize(merge(current, rows, self.keys), "staged")
+        self._swap_in(staged)
+        for table in {id(t): t for t in (rows, staged)}.values():
+            release(table)
 
     def retain(self, spark, time: str, now: Column, days: int) -> DataFrame:
         return retain(self.read(spark), time, now, days)

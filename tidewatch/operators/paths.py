@@ -12,22 +12,25 @@ from tidewatch.operators.scans import running_before
 # Playback loop, trip length, boats of a trip without a list, map bounds.
 LOOP_MS, DURATION_MS, SPARE_BOATS = 30_000, 8_000, 3
 BOUNDS = {"lon": (-90.20, -89.95), "lat": (29.89, 29.97)}
-POINTS_PER_CHUNK = 4096
+POINTS_PER_CHUNK = WAYS_PER_CHUNK = 4096
 
 
 def stitch(points: DataFrame, bounds: dict = BOUNDS, reverse: bool = True) -> DataFrame:
     """Polylines joined in way order into one numbered path per ``path_id``.
 
-    ``points``: path_id, way, pos, lon, lat. A way's first point is dropped where
+    ``points``: path_id, way (whole number), pos, lon, lat. A way's first point is dropped where
     it repeats the last point of the way before; points outside the bounds are
     cut; numbering starts at the far end when reversed.
     """
+    one = {"__n": F.lit(1).cast("long")}
     ends = points.groupBy("path_id", "way").agg(
         F.min(F.struct("pos", "lon", "lat")).alias("first"), F.max(F.struct("pos", "lon", "lat")).alias("last")
     )
-    before = F.lag("last").over(Window.partitionBy("path_id").orderBy("way"))
+    # ways are numbered in order, and each meets the one before by its number
+    numbered = running_before(ends, ["path_id"], ["way"], F.floor(F.col("way") / WAYS_PER_CHUNK), one)
+    before = numbered.select("path_id", (F.col("__n") + 1).alias("__n"), F.col("last").alias("__b"))
     joint = (
-        ends.withColumn("__b", before)
+        numbered.join(before, ["path_id", "__n"])
         .where((F.col("__b.lon") == F.col("first.lon")) & (F.col("__b.lat") == F.col("first.lat")))
         .select("path_id", "way", F.col("first.pos").alias("pos"))
     )
@@ -36,9 +39,11 @@ def stitch(points: DataFrame, bounds: dict = BOUNDS, reverse: bool = True) -> Da
     )
     # (way, block of positions) is a chunk that grows along the path
     chunk = F.struct("way", F.floor(F.col("pos") / POINTS_PER_CHUNK))
-    numbered = running_before(kept, ["path_id"], ["way", "pos"], chunk, {"n": F.lit(1).cast("long")}, totals=True)
-    idx = F.col("n_total") - 1 - F.col("n") if reverse else F.col("n")
-    return numbered.select("path_id", idx.alias("idx"), "lon", "lat")
+    kept = running_before(
+        kept, ["path_id"], ["way", "pos"], chunk, one, True, lambda c: F.floor(c.getField("way") / WAYS_PER_CHUNK)
+    )
+    idx = F.col("__n_total") - 1 - F.col("__n") if reverse else F.col("__n")
+    return kept.select("path_id", idx.alias("idx"), "lon", "lat")
 
 
 def paths(pairs: DataFrame, stops: DataFrame, waypoints: DataFrame, origin: str = "origin", destination: str = "destination") -> DataFrame:

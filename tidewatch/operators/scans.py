@@ -7,7 +7,7 @@ one task. Here each key is cut into chunks along its order; the window runs per
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,23 +34,31 @@ def running_before(
     chunk: Column,
     measures: Mapping[str, Column],
     totals: bool = False,
+    coarse: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Add, per measure, its sum over all earlier rows of the key (0 for the first).
 
     ``chunk`` must not decrease along ``order``. With ``totals=True`` the sum
-    over the whole key is added as ``<name>_total``.
+    over the whole key is added as ``<name>_total``. Where a key may have very
+    many chunks, ``coarse`` maps a chunk to a larger one and the chunk rows are
+    themselves summed in chunks.
     """
     base = df.withColumn(KEY, key_of(keys)).withColumn(CHUNK, chunk)
     base = base.withColumns({f"__m_{n}": c for n, c in measures.items()})
 
     per_chunk = base.groupBy(KEY, CHUNK).agg(*[F.sum(f"__m_{n}").alias(f"__s_{n}") for n in measures])
-    earlier = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_chunk.select(
-        KEY,
-        CHUNK,
-        *[F.sum(f"__s_{n}").over(earlier).alias(f"__c_{n}") for n in measures],
-        *([F.sum(f"__s_{n}").over(Window.partitionBy(KEY)).alias(f"{n}_total") for n in measures] if totals else []),
-    )
+    total_names = [f"{n}_total" for n in measures] if totals else []
+    if coarse is None:
+        earlier = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        sums = [F.sum(f"__s_{n}").over(earlier).alias(f"__c_{n}") for n in measures]
+        whole = [F.sum(f"__s_{n}").over(Window.partitionBy(KEY)).alias(f"{n}_total") for n in measures]
+        carry = per_chunk.select(KEY, CHUNK, *sums, *(whole if totals else []))
+    else:
+        inner = per_chunk.withColumnsRenamed({KEY: "__k", CHUNK: "__c"})
+        parts = {n: F.col(f"__s_{n}") for n in measures}
+        scanned = running_before(inner, ["__k"], ["__c"], coarse(F.col("__c")), parts, totals)
+        renamed = [F.col(n).alias(f"__c_{n}") for n in measures]
+        carry = scanned.select(F.col("__k").alias(KEY), F.col("__c").alias(CHUNK), *renamed, *total_names)
 
     local = Window.partitionBy(KEY, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     base = base.withColumns({f"__l_{n}": F.sum(f"__m_{n}").over(local) for n in measures})

@@ -41,22 +41,33 @@ def dimension(name: str, dim: int) -> Rule:
 TIME_TYPES = ("double", "timestamp")
 
 
+def _holds(rule: Rule) -> Column:
+    return F.coalesce(rule.holds, F.lit(False))
+
+
+def _all(rules: Sequence[Rule]) -> Column:
+    out = F.lit(True)
+    for r in rules:
+        out = out & _holds(r)
+    return out
+
+
 def check(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Add ``violations``: the codes of the rules a row breaks, in rule order."""
-    codes = [F.when(~F.coalesce(r.holds, F.lit(False)), F.lit(r.code)) for r in rules]
+    codes = [F.when(~_holds(r), F.lit(r.code)) for r in rules]
     return df.withColumn("violations", F.array_compact(F.array(*codes)))
 
 
 def split(df: DataFrame, rules: Sequence[Rule], at: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(valid rows, dead letters). Every input row is in exactly one of them.
 
-    Dead letters keep the whole row as JSON with the reasons, and ``_ts`` when
-    an arrival time is given.
+    The valid side is a plain filter, so presence rules reach the scan. Dead
+    letters keep the whole row as JSON with the reasons, and ``_ts`` when an
+    arrival time is given.
     """
-    checked = check(df, rules)
-    valid = checked.where(F.size("violations") == 0).drop("violations")
+    valid = df.where(_all(rules))
     document = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
-    dead = checked.where(F.size("violations") > 0).select(
+    dead = check(df.where(~_all(rules)), rules).select(
         document.alias("document"), F.array_join("violations", ",").alias("reason"), *([at.alias("_ts")] if at is not None else [])
     )
     return valid, dead
@@ -74,7 +85,7 @@ def type_guard(df: DataFrame, **types: Sequence[str]) -> DataFrame:
 
 def breach_counts(df: DataFrame, rules: Sequence[Rule], table: str) -> DataFrame:
     """Warn mode: rows per broken rule; nothing is rejected."""
-    counts = df.agg(*[F.count_if(~F.coalesce(r.holds, F.lit(False))).alias(f"r{i}") for i, r in enumerate(rules)])
+    counts = df.agg(*[F.count_if(~_holds(r)).alias(f"r{i}") for i, r in enumerate(rules)])
     pairs = F.array(*[F.struct(F.lit(r.code).alias("rule"), F.col(f"r{i}").alias("breaches")) for i, r in enumerate(rules)])
     return counts.select(F.lit(table).alias("table_name"), F.inline(pairs))
 

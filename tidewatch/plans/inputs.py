@@ -42,12 +42,9 @@ def as_raw(events: DataFrame) -> DataFrame:
     """Messages of an older producer: missing zones, times as numbers, text or nothing."""
     k = F.get_json_object("props", "$.k").cast("int") % 5
     ts = F.col("ts").cast("timestamp")
-    start = (
-        F.when(k == 0, F.unix_millis(ts).cast("string"))
-        .when(k == 1, F.lit(None).cast("string"))
-        .when(k == 2, F.lit("soon"))
-        .otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
-    )
+    shown = F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    kinds = F.array(F.unix_millis(ts).cast("string"), F.lit(None), F.lit("soon"), shown, shown)
+    start = F.element_at(kinds, k + 1)
     return events.select(
         "event_id",
         F.when(F.col("user_id") % 11 != 0, F.col("event_type")).alias("zone"),

@@ -67,3 +67,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Remove the files of a table :func:`materialize` wrote, once nothing reads it.
+
+    Anything outside the shared folder is left alone.
+    """
+    spark = df.sparkSession
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = hadoop_path(f"{shared_dir(spark)}/tables")
+    for file in df.inputFiles()[:1]:
+        folder = hadoop_path(file).getParent()
+        if folder.getParent().toUri().getPath() == root.toUri().getPath():
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
