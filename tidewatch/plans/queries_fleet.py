@@ -321,7 +321,7 @@ def _(spark, d):
 
 @query(
     "r6_zone_markers",
-    """WITH z AS (SELECT c_custkey AS ord, c_mktsegment || c_nationkey AS zone, c_nationkey AS lon, length(c_mktsegment) AS lat,
+    """WITH z AS (SELECT c_custkey AS ord, c_mktsegment || c_nationkey AS zone, CAST(c_nationkey AS BIGINT) AS lon, length(c_mktsegment) AS lat,
       c_acctbal > 9900 AS act FROM customer), n AS (SELECT *, zone IN (SELECT zone FROM z WHERE act) AS flag FROM z)
     SELECT lon, lat, arg_min(zone, ord) AS name, bool_or(flag) AS is_active FROM n GROUP BY 1, 2""",
 )
