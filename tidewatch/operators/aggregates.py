@@ -114,11 +114,16 @@ def status_rollup(checks: DataFrame, group: str = "component_group", status: str
     )
 
 
+# Stages a change may pass.
+STAGES = ["requests", "window", "detect", "context", "agent", "dispatch"]
+
+
 def stage_counters(feed: DataFrame) -> DataFrame:
     """Counters per stage of a change feed; also runs in update mode on a stream.
 
     ``feed``: collection, request_count, has_evidence. Each change adds to the
-    stages it passes; the number of requests comes from the traffic rows.
+    stages it passes; the number of requests comes from the traffic rows. A table
+    gives every stage, with 0 where nothing passed.
     """
     c = F.col("collection")
     traffic, anomaly, dispatch = (c == x for x in ("zone_traffic", "zone_anomalies", "dispatch_log"))
@@ -131,7 +136,11 @@ def stage_counters(feed: DataFrame) -> DataFrame:
         .when(anomaly, F.array(step("detect", F.lit(1)), step("context", F.col("has_evidence").cast("int"))))
         .when(dispatch, F.array(step("agent", F.lit(1)), step("dispatch", F.lit(1))))
     )
-    return feed.select(F.inline(steps)).groupBy("stage").agg(F.sum("amount").alias("value"))
+    amounts = feed.select(F.inline(steps))
+    if not feed.isStreaming:
+        none = F.array(*[step(s, F.lit(0)) for s in STAGES])
+        amounts = amounts.unionByName(feed.sparkSession.range(1).select(F.inline(none)))
+    return amounts.groupBy("stage").agg(F.sum("amount").alias("value"))
 
 
 def latest_per_zone(traffic: DataFrame, zone: str = "zone", time: str = "window_start", value: str = "request_count") -> DataFrame:
