@@ -49,25 +49,26 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class Shingler:
-    """Distinct 64-bit hashes of the n-grams of texts; words already met are looked up."""
+class Shingler(dict):
+    """Distinct 64-bit hashes of the n-grams of texts; maps words already met to their hashes."""
 
     def __init__(self, width: int):
+        super().__init__()
         self.width = width
-        self.known: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        digest = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        found = self[word] = int.from_bytes(digest, "little")
+        return found
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Sorted. A text of fewer words than ``width`` is one n-gram; without words it has none."""
         w = words(text)
         if not w:
             return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for x in w:
-            if x not in known:
-                known[x] = int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        ids = np.array([known[x] for x in w], np.uint64)
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        ids = np.fromiter(map(self.__getitem__, w), np.uint64, len(w))
         n = min(self.width, len(ids))
         h = np.zeros(len(ids) - n + 1, np.uint64)
         for k in range(n):

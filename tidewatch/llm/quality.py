@@ -107,7 +107,7 @@ class Scorer:
         if len(self.known) > CACHE_WORDS:
             self.forget()
         known = self.known
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in known))
+        new = sorted(set().union(*split).difference(known))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             owner, bucket = word_features(part)
@@ -117,7 +117,7 @@ class Scorer:
         out = np.zeros(len(texts))
         for i, ws in enumerate(split):
             if ws:
-                ids = np.array([known[w] for w in ws])
+                ids = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
                 back = RETURN_WEIGHT * returns(ids)
                 out[i] = (self.sums[ids].sum() + back @ self.back) / (self.counts[ids].sum() + back.sum())
         return out
