@@ -9,7 +9,8 @@ to the shortest run of ``min_words`` words. Any line of a repeated run lies in s
 a window inside the run, so looking at windows finds all of it. A window's
 smallest line hash is its fingerprint. Only fingerprints met in two places go on
 to the comparison of whole windows, which extends the match to the lines before
-and after the fingerprint. Overlapping windows then make up maximal runs.
+and after the fingerprint. Windows that overlap or adjoin then make up maximal
+runs, and the blank lines within them go too.
 
 A fingerprint or a window that a third of the corpus shares is met once in each
 task's partial aggregate; occurrences are joined to their first place only, never
@@ -38,7 +39,7 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 
 def windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """Windows of every document (key, doc_id, text): start, end, fingerprint with its line, and content."""
+    """Windows of every document (key, doc_id, text): first and last line, also by number without blank ones, fingerprint, content."""
     cut = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line")
     lines = docs.withColumn("uid", F.monotonically_increasing_id()).select("key", "doc_id", "uid", cut)
     lines = lines.withColumn("line", squeezed(F.col("line")))
@@ -50,8 +51,9 @@ def windows(docs: DataFrame, min_words: int) -> DataFrame:
         F.unhex(F.md5("line")).alias("hash"),
         (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long").alias("words"),
     )
-    so_far = F.sum("words").over(Window.partitionBy("uid").orderBy("pos"))
-    lines = lines.withColumn("upto", so_far).withColumn("before", F.col("upto") - F.col("words"))
+    in_order = Window.partitionBy("uid").orderBy("pos")
+    lines = lines.withColumn("upto", F.sum("words").over(in_order)).withColumn("nth", F.row_number().over(in_order))
+    lines = lines.withColumn("before", F.col("upto") - F.col("words"))
     ahead = Window.partitionBy("uid").orderBy("before").rangeBetween(0, min_words - 1)
     back = Window.partitionBy("uid").orderBy("upto").rangeBetween(1 - min_words, 0)
 
@@ -59,6 +61,8 @@ def windows(docs: DataFrame, min_words: int) -> DataFrame:
         return F.struct(
             F.min("pos").over(frame).alias("start"),
             F.max("pos").over(frame).alias("end"),
+            F.min("nth").over(frame).alias("from"),
+            F.max("nth").over(frame).alias("to"),
             F.sum("words").over(frame).alias("words"),
             F.min(F.struct("hash", "pos")).over(frame).alias("least"),
             F.collect_list("hash").over(frame).alias("hashes"),
@@ -74,6 +78,8 @@ def windows(docs: DataFrame, min_words: int) -> DataFrame:
         "doc_id",
         F.col("w.start").alias("start"),
         F.col("w.end").alias("end"),
+        F.col("w.from").alias("from"),
+        F.col("w.to").alias("to"),
         F.col("w.least.hash").alias("print"),
         F.col("w.least.pos").alias("print_pos"),
         content.alias("run"),
@@ -88,10 +94,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     near = materialize(found.join(shared, "print", "left_semi").drop("print", "print_pos"), "line-matches")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
     first = near.groupBy("run").agg(F.min(order).alias("first"), F.max(order).alias("final")).filter("first <> final")
-    later = near.join(first.select("run", "first"), "run").filter(order > F.col("first")).select("key", "start", "end").distinct()
-    by_start = Window.partitionBy("key").orderBy("start", "end")
-    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    opened = later.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    later = near.join(first.select("run", "first"), "run").filter(order > F.col("first")).select("key", "start", "end", "from", "to").distinct()
+    by_start = Window.partitionBy("key").orderBy("from", "to")
+    reach = F.max("to").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    opened = later.withColumn("new", F.coalesce(F.col("from") > reach + 1, F.lit(True)).cast("int"))
     return (
         opened.withColumn("nth", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("key", "nth")
@@ -147,21 +153,22 @@ WITH raw AS (SELECT doc_id, text, coalesce(CAST(doc_id AS VARCHAR), 'null') || '
 cut AS (SELECT doc_id, unhex(md5(whole)) AS key, parts, unnest(range(0, len(parts))) AS pos FROM raw),
 lines AS (SELECT doc_id, key, pos, trim(regexp_replace(parts[pos + 1], '[ \t\n\x0B\f\r]+', ' ', 'g')) AS line FROM cut),
 counted AS (SELECT *, len(string_split(line, ' ')) AS words FROM lines WHERE line <> ''),
-summed AS (SELECT *, sum(words) OVER (PARTITION BY key ORDER BY pos) AS upto FROM counted),
+summed AS (SELECT *, sum(words) OVER d AS upto, row_number() OVER d AS nth FROM (SELECT DISTINCT * FROM counted) WINDOW d AS (PARTITION BY key ORDER BY pos)),
 placed AS (SELECT *, CAST(upto - words AS BIGINT) AS before, CAST(upto AS BIGINT) AS till FROM summed),
 framed AS (
-  SELECT doc_id, key, min(pos) OVER a AS s, max(pos) OVER a AS e, sum(words) OVER a AS n, list(line) OVER a AS run FROM placed
+  SELECT doc_id, key, min(pos) OVER a AS s, max(pos) OVER a AS e, min(nth) OVER a AS f, max(nth) OVER a AS t,
+         sum(words) OVER a AS n, list(line) OVER a AS run FROM placed
   WINDOW a AS (PARTITION BY key ORDER BY before RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING)
   UNION
-  SELECT doc_id, key, min(pos) OVER b, max(pos) OVER b, sum(words) OVER b, list(line) OVER b FROM placed
+  SELECT doc_id, key, min(pos) OVER b, max(pos) OVER b, min(nth) OVER b, max(nth) OVER b, sum(words) OVER b, list(line) OVER b FROM placed
   WINDOW b AS (PARTITION BY key ORDER BY till RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW)),
 ranked AS (SELECT *, rank() OVER (PARTITION BY run ORDER BY doc_id, key, s) AS nth FROM framed WHERE n >= {MIN_WORDS}),
-gone AS (SELECT DISTINCT doc_id, key, unnest(range(s, e + 1)) AS pos FROM ranked WHERE nth > 1),
-windows AS (SELECT DISTINCT key, s, e FROM ranked WHERE nth > 1),
-opened AS (SELECT key, s, e, CASE WHEN s > max(e) OVER (PARTITION BY key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+windows AS (SELECT DISTINCT key, s, e, f, t FROM ranked WHERE nth > 1),
+opened AS (SELECT *, CASE WHEN f > 1 + max(t) OVER (PARTITION BY key ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
              THEN 1 ELSE 0 END AS new FROM windows),
-grouped AS (SELECT key, s, e, sum(new) OVER (PARTITION BY key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM opened),
+grouped AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS g FROM opened),
 merged AS (SELECT key, g, min(s) AS s, max(e) AS e FROM grouped GROUP BY key, g),
+gone AS (SELECT key, unnest(range(s, e + 1)) AS pos FROM merged),
 runs AS (SELECT key, count(*) AS n_runs, string_agg(s || ':' || e, ',' ORDER BY s) AS runs FROM merged GROUP BY key),
 stay AS (SELECT c.key, string_agg(c.parts[c.pos + 1], chr(10) ORDER BY c.pos) AS text
          FROM (SELECT DISTINCT key, pos, parts FROM cut) c LEFT JOIN gone g ON c.key = g.key AND c.pos = g.pos WHERE g.pos IS NULL GROUP BY c.key),

@@ -126,7 +126,12 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
 
 def linear_groups(counts: dict[int, int], groups: int) -> list[list[list[int]]]:
-    """Lengths in falling order, cut into ``groups`` of equal cardinality: [length, count] lists."""
+    """Lengths in falling order, cut into ``groups`` of equal cardinality: [length, count] lists.
+
+    No more lengths than groups need no rounding: each is a group.
+    """
+    if len(counts) <= groups:
+        return [[[n, counts[n]]] for n in sorted(counts, reverse=True)]
     total = sum(counts.values())
     share = -(-total // groups) if total else 1
     out: list[list[list[int]]] = []
