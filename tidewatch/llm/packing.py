@@ -17,8 +17,11 @@ number the sequences; a piece finds its place from its length and its number.
 from __future__ import annotations
 
 import bisect
+import json
+import os
 import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -35,53 +38,53 @@ GROUPS = 16
 LARGE = (1 / 4, 1 / 3, 1 / 2)
 END_ID = 0
 #: Words a worker remembers, about 200 bytes each; then it starts afresh.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of whole texts, little-endian unsigned 32-bit, the end id last.
 
-    The vocabulary splits at white space, folds case and merges within words, so
-    the ids of a text are those of its words; words already met are looked up.
-    Texts in which that could differ are encoded whole.
+    The vocabulary puts texts in NFC, folds case, splits at white space, then into
+    letters, single digits and other signs, and merges within those parts. So a
+    text's ids are those of its words, and this maps a lower-case word to its ids.
+    Texts in which Python's steps could differ are encoded whole.
     """
 
     def __init__(self, path: str):
-        import os
-
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.part = regex.compile(json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, word: str) -> bytes:
+        parts = [word] if word.isascii() and word.isalpha() else self.part.findall(word)
+        if parts == [word]:
+            mapped = word if word.isascii() else self.as_bytes.pre_tokenize_str(word)[0][0]
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        else:
+            found = b"".join(map(self.__getitem__, parts))
+        self[word] = found
+        return found
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def plain(self, text: str) -> bool:
         """Whether lower-casing and str.split() do what the vocabulary's own steps do."""
-        if text.isascii():
-            odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        else:
-            odd = any(c in text for c in "\x1c\x1d\x1e\x1fΣİ") or not unicodedata.is_normalized("NFC", text)
-        return not odd and not any(s in text for s in self.special)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        end = END_ID.to_bytes(4, "little")
-        split = [t.lower().split() if t and self.plain(t) else None for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for ws in split if ws for w in ws if w not in known})
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [
-            b"".join([known[w] for w in ws]) + end if ws is not None else (self.whole(t) if t else b"") + end
-            for t, ws in zip(texts, split, strict=True)
-        ]
+        odd = "\x1c\x1d\x1e\x1f" if text.isascii() else "\x1c\x1d\x1e\x1fΣİ"
+        return not any(s in text for s in [*odd, *self.special]) and unicodedata.is_normalized("NFC", text)
+
+    def encode(self, text: str | None) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        text = text or ""
+        ids = b"".join(map(self.__getitem__, text.lower().split())) if self.plain(text) else self.whole(text)
+        return ids + END_ID.to_bytes(4, "little")
 
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -98,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
         encoder = kept("encoder", tokenizer, lambda: Encoder(tokenizer))
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder.encode(b["text"].to_pylist())):
+            for i, ids in enumerate(map(encoder.encode, b["text"].to_pylist())):
                 for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[s : s + 4 * capacity]
                     at.append(i)
