@@ -129,3 +129,23 @@ def test_asof_equals_merge_asof(spark, direction, salts):
     )
     assert len(got) == 200
     assert all(got[i] == (None if pd.isna(w) else w.to_pydatetime()) for i, w in zip(want.i, want.rt))
+
+
+def test_large_doubles_keep_their_differences(spark):
+    import datetime as dt
+    import random
+    from statistics import mean, stdev
+
+    from pyspark.sql import functions as F
+
+    from tidewatch.operators.anomaly import detect, z_value
+
+    r = random.Random(5)
+    x = [1e9 + r.gauss(0, 1) for _ in range(60)]
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("z", t0 + dt.timedelta(minutes=k), v) for k, v in enumerate(x)], "pickup_zone string, window_time timestamp, v double")
+    got = detect(df, "v", confidence=99.0, max_train=30).orderBy("window_time").select((F.col("upper_bound") - F.col("forecast")).alias("half"), "forecast").collect()
+    for k in range(15, 60):
+        past = x[max(0, k - 30) : k]
+        half = z_value(99.0) * stdev(past) * (1 + 1 / len(past)) ** 0.5
+        assert abs(got[k]["half"] - half) < 1e-4 and abs(got[k]["forecast"] - mean(past)) < 1e-5

@@ -59,8 +59,14 @@ def test_closed_windows_equal_batch(spark, tmp_path):
 
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     land(spark, tmp_path / "in", [ride(0, 0)], [ride(1, 300)], [ride(2, 310)], [ride(3, 1)], [ride(4, 306)], [ride(5, 900)], [ride(6, 901)])
-    q = done(jobs.append(jobs.traffic(stream(spark, tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")))
-    progress = jobs.progress_rows(spark, [q])
+    log = jobs.ProgressLog(spark, str(tmp_path / "progress"))
+    spark.streams.addListener(log)
+    try:
+        q = done(jobs.append(jobs.traffic(stream(spark, tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")))
+        log.wait_for(q)
+    finally:
+        spark.streams.removeListener(log)
+    progress = jobs.progress_rows(spark, str(tmp_path / "progress"))
     assert progress.agg(F.sum("late_rows")).first()[0] == 1
     got = {r.window_start: r.request_count for r in spark.read.schema(TRAFFIC).parquet(str(tmp_path / "out")).collect()}
     assert got == {T0: 1, T0 + dt.timedelta(minutes=5): 3}  # the row 4 s late still counts
@@ -73,11 +79,12 @@ def test_started_without_progress_warns(spark):
     assert jobs.stream_health(df, failed=["q2"]).first().overall == "unhealthy"
 
 
-@pytest.mark.parametrize("max_train", [7000, 12])
-def test_stateful_detector_equals_batch(spark, tmp_path, max_train):
+@pytest.mark.parametrize("max_train, more", [(7000, 0), (12, 0), (12, 1_000_000_000)])
+def test_stateful_detector_equals_batch(spark, tmp_path, max_train, more):
     rng = random.Random(9)
     rides = [ride(m * 100 + j, m * 60 + j, z) for z in "ab" for m in range(40) for j in range(rng.randint(1, 6))]
     traffic = agg.zone_traffic(spark.createDataFrame(rides, RIDES)).select(*TRAFFIC_COLUMNS)
+    traffic = traffic.withColumn("request_count", F.col("request_count") + more)
     for n, (lo, hi) in enumerate([(0, 7), (7, 25), (25, 40)]):
         part = traffic.where(F.minute("window_start").between(lo, hi - 1))
         part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/t/b{n}")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.scans import running_before, time_chunk
+from tidewatch.operators.scans import KEY, key_of, running_before, time_chunk
 
 # The detector's defaults.
 MIN_TRAIN, MAX_TRAIN, CONFIDENCE = 15, 7000, 99.999
@@ -51,13 +51,21 @@ def detect(
 
     A sliding frame costs ``max_train`` steps per row. Here running totals are
     taken once, and the totals of ``max_train`` rows earlier are brought next to
-    a row by one shuffle on (key, position). Whole numbers are summed exactly.
+    a row by one shuffle on (key, position). Whole numbers are summed exactly;
+    other numbers relative to an origin near their key's mean, so that large
+    values with small differences keep their digits.
     """
     whole = isinstance(df.schema[value].dataType, T.IntegralType)
-    x = F.col(value).cast("decimal(20,0)" if whole else "double")
     wide = "decimal(38,0)" if whole else "double"
+    if whole:
+        based, origin, x = df, F.lit(0.0), F.col(value).cast("decimal(20,0)")
+    else:
+        # rounded to a float, so the order of summation does not show
+        centre = df.groupBy(key_of(keys).alias(KEY)).agg(F.avg(F.col(value).cast("double")).cast("float").cast("double").alias("__origin"))
+        based = df.withColumn(KEY, key_of(keys)).join(centre, KEY).drop(KEY)
+        origin, x = F.col("__origin"), F.col(value).cast("double") - F.col("__origin")
     scored = running_before(
-        df,
+        based,
         keys,
         [time],
         time_chunk(time, chunk_seconds),
@@ -83,7 +91,7 @@ def detect(
     ).where(F.col("__role.cur"))
 
     mean, half = interval(F.col("__f_n"), F.col("__f_sx"), F.col("__f_sxx"), z_value(confidence), min_train, min_sd)
-    out = framed.withColumns({"forecast": mean, "__half": half})
+    out = framed.withColumns({"forecast": mean + origin, "__half": half})
     out = out.withColumns(
         {"lower_bound": F.col("forecast") - F.col("__half"), "upper_bound": F.col("forecast") + F.col("__half")}
     )
@@ -124,29 +132,44 @@ def last_windows(traffic: DataFrame, k: int = 60, zone: str = "zone", time: str
 # -- trend-following variant -------------------------------------------------------
 
 
-def _autoregress(y: np.ndarray, order: int, min_train: int, max_train: int, z: float) -> np.ndarray:
-    """One-step forecasts and half widths from a least-squares AR fit on the past."""
+def _autoregress(y: np.ndarray, wanted: np.ndarray, order: int, min_train: int, max_train: int, z: float) -> np.ndarray:
+    """One-step forecasts and half widths of the ``wanted`` positions, each from a least-squares fit on its past.
+
+    The normal equations of all fits are differences of running sums, solved as one
+    batch. Values count from the mean of ``y``, which a fit with a constant allows.
+    """
     out = np.full((len(y), 2), np.nan)
     rows = len(y) - order
-    if rows <= 0:
+    at = wanted[(wanted >= max(min_train, order + 1)) & (wanted > order)]
+    if rows <= 0 or not len(at):
         return out
+    origin = y.mean()
+    y = y - origin
     lags = np.column_stack([np.ones(rows)] + [y[order - 1 - j : len(y) - 1 - j] for j in range(order)])
     target = y[order:]
-    gram = np.cumsum(lags[:, :, None] * lags[:, None, :], axis=0)
-    moment = np.cumsum(lags * target[:, None], axis=0)
-    power = np.cumsum(target * target)
-    for i in range(max(min_train, order + 1), len(y)):
-        hi, lo = i - order - 1, i - order - 1 - max_train
-        g, m, p = gram[hi], moment[hi], power[hi]
-        n = hi + 1
-        if lo >= 0:
-            g, m, p, n = g - gram[lo], m - moment[lo], p - power[lo], max_train
-        free = n - order - 1
-        if free < 1:
-            continue
-        beta = np.linalg.lstsq(g, m, rcond=None)[0]
-        sd = np.sqrt(max(p - beta @ m, 0.0) / free)
-        out[i] = np.concatenate([[1.0], y[i - order : i][::-1]]) @ beta, z * sd * np.sqrt(1 + 1 / n)
+    gram = np.concatenate([np.zeros((1, order + 1, order + 1)), np.cumsum(lags[:, :, None] * lags[:, None, :], axis=0)])
+    moment = np.concatenate([np.zeros((1, order + 1)), np.cumsum(lags * target[:, None], axis=0)])
+    power = np.concatenate([[0.0], np.cumsum(target * target)])
+    hi = at - order
+    lo = np.maximum(hi - max_train, 0)
+    n = hi - lo
+    at, hi, lo, n = (v[n - order - 1 >= 1] for v in (at, hi, lo, n))
+    if not len(at):
+        return out
+    g, m, p = gram[hi] - gram[lo], moment[hi] - moment[lo], power[hi] - power[lo]
+    count = n[:, None].astype(float)
+    x, mean = g[:, 0, 1:] / count, m[:, 0] / n
+    spread = g[:, 1:, 1:] - count[:, :, None] * x[:, :, None] * x[:, None, :]
+    # a lag that never changed has no slope; what is left of it is rounding
+    still = np.einsum("nii->ni", spread) <= 1e-10 * np.einsum("nii->ni", g[:, 1:, 1:])
+    spread = np.where(still[:, :, None] | still[:, None, :], 0.0, spread)
+    shared = m[:, 1:] - count * x * mean[:, None]
+    beta = (np.linalg.pinv(spread, rcond=1e-12, hermitian=True) @ shared[:, :, None])[:, :, 0]
+    rest = p - n * mean * mean - (beta * shared).sum(axis=1)
+    sd = np.sqrt(np.maximum(rest, 0.0) / (n - order - 1))
+    now = np.column_stack([y[at - 1 - j] for j in range(order)])
+    out[at, 0] = mean + ((now - x) * beta).sum(axis=1) + origin
+    out[at, 1] = z * sd * np.sqrt(1 + 1 / n)
     return out
 
 
@@ -180,7 +203,7 @@ def detect_trend(
 
     def score(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("__n", ignore_index=True)
-        fit = _autoregress(group[value].to_numpy(float), order, min_train, max_train, z)
+        fit = _autoregress(group[value].to_numpy(float), np.flatnonzero(group["__own"]), order, min_train, max_train, z)
         group["forecast"], group["__half"] = fit[:, 0], fit[:, 1]
         return group.loc[group["__own"], [f.name for f in fields]]
 

@@ -2,106 +2,116 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.prompts import dispatch_reason
 from tidewatch.operators.keyed import upsert_merge
-from tidewatch.session import materialize
+from tidewatch.operators.scans import running_before
+from tidewatch.session import materialize, release
 
 # Most boats per surge, and the state of a dispatched boat.
 MAX_BOATS = 8
 HIRED = "hired"
 SURGE = ["pickup_zone", "window_time"]
+#: Stops of the path in one chunk.
+STOPS = 4096
 
 
 def _nearest_offers(free: DataFrame, stops: DataFrame) -> DataFrame:
-    """Per stop, the best free vessel of the nearest stop on either side.
+    """Per stop, the stop on either side that offers the best boat, by distance first.
 
-    ``stops`` (zone, idx) is the fixed list of stops of the path, one row per
-    zone, so its order is a window over that list and no (surge, vessel) pairs
-    are formed. Within a stop the largest boat comes first.
+    ``stops`` (zone, idx) is the list of stops of the path, one row a zone, cut into
+    chunks of ``STOPS`` along the path: an offer is carried along within a chunk, and
+    one row a chunk carries it into the next ones. No (surge, vessel) pairs are
+    formed. Within a stop the largest boat comes first.
     """
-    best = free.groupBy("zone").agg(
-        F.min(F.struct((-F.col("capacity")).alias("neg_capacity"), "vessel_id")).alias("b")
-    )
-    offer = F.when(
-        F.col("b").isNotNull(), F.struct("idx", F.col("b.neg_capacity").alias("neg_capacity"), F.col("b.vessel_id").alias("vessel_id"))
+    best = free.groupBy("zone").agg(F.min(F.struct((-F.col("capacity")).alias("neg_capacity"), "vessel_id")).alias("b"))
+    offer = F.when(F.col("b").isNotNull(), F.struct("idx", "b.neg_capacity", "b.vessel_id", F.col("zone").alias("stop")))
+    here = stops.join(best, "zone", "left").withColumn("__offer", offer).withColumn("__part", F.floor(F.col("idx") / STOPS))
+    ends = here.where(F.col("__offer").isNotNull()).groupBy("__part").agg(
+        F.max_by("__offer", "idx").alias("__last"), F.min_by("__offer", "idx").alias("__first")
     )
-    here = stops.join(best, "zone", "left").withColumn("__offer", offer)
-    down = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    up = Window.orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
-
-    def priced(side: str) -> Column:
-        o = F.col(side)
-        return F.when(
-            o.isNotNull(),
-            F.struct(
-                F.abs(F.col("idx") - o.getField("idx")).alias("cost"),
-                o.getField("neg_capacity").alias("neg_capacity"),
-                o.getField("vessel_id").alias("vessel_id"),
-            ),
-        )
-
-    near = here.withColumns(
-        {"__d": F.last("__offer", ignorenulls=True).over(down), "__u": F.last("__offer", ignorenulls=True).over(up)}
+    parts = here.select("__part").distinct().join(ends, "__part", "left")
+    along = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for every STOPS stops
+    against = Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.select(
+        "__part", F.last("__last", ignorenulls=True).over(along).alias("__cd"), F.last("__first", ignorenulls=True).over(against).alias("__cu")
     )
-    return near.select("zone", F.least(priced("__d"), priced("__u")).alias("offer")).where(F.col("offer").isNotNull())
+    down = Window.partitionBy("__part").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.partitionBy("__part").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+
+    def priced(own: Column, carried: str) -> Column:
+        o = F.coalesce(own, F.col(carried))
+        cost = F.abs(F.col("idx") - o.getField("idx")).alias("cost")
+        return F.when(o.isNotNull(), F.struct(cost, o["neg_capacity"].alias("neg_capacity"), o["vessel_id"].alias("vessel_id"), o["stop"].alias("stop")))
+
+    near = here.withColumn("__d", F.last("__offer", ignorenulls=True).over(down)).withColumn("__u", F.last("__offer", ignorenulls=True).over(up))
+    near = near.join(carry, "__part").select("zone", F.least(priced(F.col("__d"), "__cd"), priced(F.col("__u"), "__cu")).alias("offer"))
+    return near.where(F.col("offer").isNotNull())
+
+
+def _placed(df: DataFrame, first: str, then: Sequence[str], chunk: Column) -> DataFrame:
+    """Position of each row at its stop, from 0, in the order of ``first`` and ``then``."""
+    return running_before(df, ["stop"], [first, *then], chunk, {"place": F.lit(1).cast("long")})
 
 
 def plan(surges: DataFrame, vessels: DataFrame, stops: DataFrame, max_boats: int = MAX_BOATS) -> DataFrame:
     """Boats sent to each surge: pickup_zone, window_time, vessel_id, round, cost, capacity, base_zone.
 
-    Seats needed are requests above the expected ones. Each round every surge
-    still short of seats claims its nearest free boat from another zone (then
-    the larger, then the lower id); a boat wanted twice goes to the larger need.
-    At most ``max_boats`` rounds. The boats taken so far are written to the shared
-    folder after each, so a round's plan does not hold the earlier ones.
+    Seats needed are requests above the expected ones. In a round every surge still
+    short of seats and below ``max_boats`` boats turns to the nearest other stop with
+    a free boat (then the larger boat there, then the lower id); at a stop, the
+    surges in the order of what they lack and its boats in the order of their size
+    are matched by position. Rounds end when none claims anything, so a surge
+    is left short only with ``max_boats`` boats or when no other zone has a free one.
+
+    What each round took is written to the shared folder, so a round's plan does not
+    hold the earlier ones.
     """
-    canonical = stops.groupBy("idx").agg(F.min("zone").alias("zone"))
+    canonical = materialize(stops.groupBy("idx").agg(F.min("zone").alias("zone")), "stops")
+    named = canonical.withColumnRenamed("zone", "stop")
     need = materialize(
         surges.select(*SURGE, (F.col("request_count") - F.col("expected_requests")).cast("long").alias("need"))
         .where(F.col("need") > 0)
         .join(stops.select(F.col("zone").alias("pickup_zone"), "idx"), "pickup_zone")
-        .join(canonical.withColumnRenamed("zone", "stop"), "idx"),
+        .join(named, "idx"),
         "need",
     )
     fleet = materialize(
         vessels.where((F.col("availability") == "available") & (F.col("vessel_id") != ""))
         .select("vessel_id", F.col("base_zone").alias("zone"), F.col("capacity").cast("long").alias("capacity"))
         .join(stops, "zone")
-        .join(canonical.withColumnRenamed("zone", "stop"), "idx")
+        .join(named, "idx")
         .select("vessel_id", F.col("zone").alias("base_zone"), F.col("stop").alias("zone"), "capacity"),
         "fleet",
     )
-    taken = None
-    for r in range(1, max_boats + 1):
+    taken, r = None, 0
+    while True:
+        r += 1
         free, short = fleet, need.withColumn("left", F.col("need"))
         if taken is not None:
             free = fleet.join(taken.select("vessel_id"), "vessel_id", "left_anti")
-            seats = taken.groupBy(*SURGE).agg(F.sum("capacity").alias("seats"))
-            short = need.join(seats, SURGE, "left").withColumn("left", F.col("need") - F.coalesce("seats", F.lit(0)))
-        offers = _nearest_offers(free, canonical).withColumnRenamed("zone", "stop")
-        claims = short.where(F.col("left") > 0).join(offers, "stop")
-        # the larger need wins a boat; combined map-side, however many want it
-        rank = F.struct((-F.col("left")).alias("neg"), *SURGE, "offer.cost", "offer.neg_capacity")
-        won = (
-            claims.groupBy(F.col("offer.vessel_id").alias("vessel_id"))
-            .agg(F.min(rank).alias("w"))
-            .select(
-                "w.pickup_zone",
-                "w.window_time",
-                "vessel_id",
-                F.lit(r).alias("round"),
-                "w.cost",
-                (-F.col("w.neg_capacity")).alias("capacity"),
-            )
-        )
+            got = taken.groupBy(*SURGE).agg(F.sum("capacity").alias("seats"), F.count(F.lit(1)).alias("boats"))
+            short = need.join(got, SURGE, "left").withColumn("left", F.col("need") - F.coalesce("seats", F.lit(0)))
+            short = short.where(F.coalesce("boats", F.lit(0)) < max_boats)
+        offers = _nearest_offers(free, canonical).withColumnRenamed("zone", "own")
+        claims = short.where(F.col("left") > 0).withColumnRenamed("stop", "own").join(offers, "own")
+        claims = claims.select(*SURGE, F.col("offer.stop").alias("stop"), F.col("offer.cost").alias("cost"), (-F.col("left")).alias("neg"))
+        wanted = _placed(claims, "neg", ["window_time", "pickup_zone"], F.struct("neg", F.to_date("window_time").alias("day")))
+        boats = free.select("vessel_id", "capacity", F.col("zone").alias("stop"), (-F.col("capacity")).alias("neg"))
+        offered = _placed(boats.join(claims.select("stop").distinct(), "stop"), "neg", ["vessel_id"], F.col("neg"))
+        won = wanted.join(offered.drop("neg"), ["stop", "place"]).select(*SURGE, "vessel_id", F.lit(r).alias("round"), "cost", "capacity")
         seen = Observation()
         won = won.observe(seen, F.count(F.lit(1)).alias("boats"))
-        taken = materialize(won if taken is None else taken.unionByName(won), f"round{r}")
+        before, taken = taken, materialize(won if taken is None else taken.unionByName(won), f"round{r}")
+        if before is not None:
+            release(before)
         if seen.get["boats"] == 0:
             break
+    release(need)
     return taken.join(fleet.select("vessel_id", "base_zone"), "vessel_id")
 
 

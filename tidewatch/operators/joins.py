@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.scans import asof
+from tidewatch.operators.scans import asof, running_before, running_low, time_chunk
 
 HOUR = 3600
 DAY = 86_400
@@ -29,9 +29,13 @@ def with_home_zone(boats: DataFrame, vessels: DataFrame, how: str = "inner") ->
 def match_dispatches(anomalies: DataFrame, dispatches: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
     """The anomaly each dispatch answers, one to one.
 
-    A dispatch of the same (zone, window) matches first. The others take the
-    newest still open anomaly of their zone at or before ``dispatched_at``; where
-    two take the same one, the earlier dispatch keeps it.
+    A dispatch of the same (zone, window) matches first. The others, in order of
+    ``dispatched_at``, each take the newest still open anomaly of their zone at or
+    before that time, so a dispatch stays unmatched only if none is open then.
+
+    Taking the newest open one is a stack: an anomaly goes onto it, a dispatch takes
+    the top. The height after each event is a running sum above its running low,
+    and a dispatch's anomaly is the last one put at the height it takes from.
 
     Both sides hold at most one row per (pickup_zone, window_time).
     """
@@ -40,24 +44,25 @@ def match_dispatches(anomalies: DataFrame, dispatches: DataFrame, chunk_seconds:
     exact = dispatches.join(anomalies.select(*keys), keys, "left_semi").select(
         *keys, F.col("window_time").alias("dispatch_window"), "dispatched_at", F.lit("window").alias("matched_by")
     )
-    loose = dispatches.join(anomalies.select(*keys), keys, "left_anti").select(
-        "pickup_zone", F.col("window_time").alias("dispatch_window"), "dispatched_at"
+    loose = dispatches.join(anomalies.select(*keys), keys, "left_anti").where(F.col("dispatched_at").isNotNull())
+    events = open_anomalies.select("pickup_zone", F.col("window_time").alias("at"), "window_time", F.lit(1).alias("step")).unionByName(
+        loose.select("pickup_zone", F.col("dispatched_at").alias("at"), "window_time", F.lit(-1).alias("step"))
     )
-    found = asof(
-        loose,
-        open_anomalies.select("pickup_zone", F.col("window_time").alias("window_time")),
-        ["pickup_zone"],
+    order = ["at", F.desc("step"), "window_time"]
+    chunk = time_chunk("at", chunk_seconds)
+    summed = running_before(events, ["pickup_zone"], order, chunk, {"__before": F.col("step")})
+    placed = running_low(summed, ["pickup_zone"], order, chunk, "__before", "__low")
+    height = F.col("__before") - F.least("__low", F.lit(0))
+    placed = placed.withColumn("height", F.when(F.col("step") == 1, height + 1).otherwise(height))
+    near = asof(
+        placed.where("step = -1 AND height > 0").select("pickup_zone", "height", F.col("window_time").alias("dispatch_window"), F.col("at").alias("dispatched_at")),
+        placed.where("step = 1").select("pickup_zone", "height", "window_time"),
+        ["pickup_zone", "height"],
         "dispatched_at",
         "window_time",
         "hit",
         chunk_seconds,
-    ).where(F.col("hit").isNotNull())
-    first = F.min(F.struct("dispatched_at", "dispatch_window")).alias("d")
-    near = (
-        found.groupBy("pickup_zone", F.col("hit.window_time").alias("window_time"))
-        .agg(first)
-        .select(*keys, "d.dispatch_window", "d.dispatched_at", F.lit("as_of").alias("matched_by"))
-    )
+    ).select("pickup_zone", F.col("hit.window_time").alias("window_time"), "dispatch_window", "dispatched_at", F.lit("as_of").alias("matched_by"))
     return exact.unionByName(near)
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.session import materialize, release
 
@@ -89,47 +93,104 @@ def purge_missing_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 class KeyedTable:
-    """A Parquet table with a key, partitioned by a column derived from the key.
+    """A Parquet table with a key, cut into partitions by a column derived from the key.
 
     ``partition`` must be a function of the key, so a key never moves between
-    partitions. Only partitions named in a batch are rewritten. The merged rows
-    are written to the shared folder first and then swapped in, so losing an
-    executor, or running the same batch again, leaves the same table.
+    partitions. A batch writes the partitions it touches under a new version and
+    then renames one small manifest into place, which names the version of every
+    partition. Until then readers see the table before, after it the table with the
+    whole batch; a driver or executor lost on the way leaves nothing to repair,
+    and running the batch again gives the same table. A batch reads the
+    partitions it touches only.
+
+    Rows without a key are never dropped in silence: they go to ``rejected``.
     """
 
-    def __init__(self, path: str, keys: Sequence[str], partition: str, partition_expr: Column):
+    def __init__(self, path: str, keys: Sequence[str], partition: str, partition_expr: Column, rejected: str | None = None):
         self.path, self.keys, self.partition, self.expr = path, list(keys), partition, partition_expr
+        self.rejected = rejected or f"{path}/rejected"
+
+    def _fs(self, spark):
+        make = spark._jvm.org.apache.hadoop.fs.Path
+        return make, make(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _manifest(self, spark) -> tuple[int, dict]:
+        """Number and content of the newest manifest; 0 and nothing without one."""
+        make, fs = self._fs(spark)
+        folder = make(f"{self.path}/manifest")
+        numbers = [int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()] if fs.exists(folder) else []
+        if not numbers:
+            return 0, {}
+        text = spark.read.text(f"{self.path}/manifest/{max(numbers):012d}", wholetext=True).first()[0]
+        return max(numbers), json.loads(text)
+
+    def _publish(self, spark, number: int, content: dict) -> None:
+        make, fs = self._fs(spark)
+        draft, final = (make(f"{self.path}/manifest/{n}") for n in (f"_draft-{uuid.uuid4().hex}", f"{number:012d}"))
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(content, sort_keys=True), "utf-8"))
+        out.close()
+        if not fs.rename(draft, final):
+            raise RuntimeError(f"{final} is there already: two writers")
 
     def exists(self, spark) -> bool:
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-
-    def read(self, spark) -> DataFrame:
-        return spark.read.option("mergeSchema", "true").parquet(self.path)
-
-    def _swap_in(self, staged: DataFrame) -> None:
-        # rows of a partition are brought together; a large one is split into several files
-        (
-            staged.hint("rebalance", self.partition)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(self.partition)
-            .parquet(self.path)
-        )
-
-    def apply(self, batch: DataFrame, merge=upsert_replace, order: str | None = None, tie: Sequence[str] = ()) -> None:
+        return self._manifest(spark)[0] > 0
+
+    def read(self, spark, partitions: Sequence[str] | None = None) -> DataFrame:
+        """The table, or the named partitions of it; only their files are opened."""
+        _, m = self._manifest(spark)
+        if not m:
+            raise FileNotFoundError(f"{self.path} holds no table yet")
+        schema = T.StructType.fromJson(m["schema"])
+        wanted = [v for p, v in m["versions"].items() if partitions is None or p in partitions]
+        return spark.read.schema(schema).parquet(*wanted) if wanted else spark.createDataFrame([], schema)
+
+    def apply(
+        self, batch: DataFrame, merge=upsert_replace, order: str | None = None, tie: Sequence[str] = (), name: str | None = None
+    ) -> None:
+        """Merge a batch. Of rows with one key the newest by ``order`` counts (then by ``tie``,
+        then by all columns), and none older than the stored one. ``name`` (a batch's
+        id) makes a second run write the same rejected rows over the first ones."""
         spark = batch.sparkSession
-        rows = purge_missing_keys(batch, self.keys)
-        rows = keep_latest(rows, self.keys, order, tie) if order else rows.dropDuplicates(self.keys)
-        rows = materialize(rows.withColumn(self.partition, self.expr), "batch")
-        staged = rows
-        if self.exists(spark):
-            touched = rows.select(self.partition).distinct()
-            current = self.read(spark).join(touched, self.partition, "left_semi")
-            staged = materialize(merge(current, rows, self.keys), "staged")
-        self._swap_in(staged)
-        for table in {id(t): t for t in (rows, staged)}.values():
-            release(table)
+        missing = F.lit(False)
+        for k in self.keys:
+            missing = missing | F.col(k).isNull()
+        made = [whole := materialize(batch, "batch")]
+        version = uuid.uuid4().hex
+        whole.where(missing).write.mode("overwrite").parquet(f"{self.rejected}/batch={name or version}")
+        rows = whole.where(~missing)
+        steady = [*tie, *[c for c in batch.columns if c not in (order, *tie)]]
+        by = [F.col(order).desc_nulls_last()] if order else []
+        newest = Window.partitionBy(*self.keys).orderBy(*by, *[F.col(c).cast("string").desc_nulls_last() for c in steady])
+        rows = rows.withColumn("__rn", F.row_number().over(newest)).where("__rn = 1").drop("__rn").withColumn(self.partition, self.expr)
+        made.append(rows := materialize(rows, "newest"))
+        touched = [r[0] for r in rows.select(F.col(self.partition).cast("string")).distinct().collect()]  # a value a partition
+        number, m = self._manifest(spark)
+        merged = rows
+        if number and touched:
+            current = self.read(spark, [str(p) for p in touched])
+            if order:
+                stored = current.select(*self.keys, F.col(order).alias("__stored"))
+                known = rows.join(stored, self.keys, "left")
+                rows = known.where(F.col("__stored").isNull() | (F.col(order) >= F.col("__stored"))).drop("__stored")
+            merged = merge(current, rows, self.keys)
+        if touched:
+            # rows of a partition are brought together; a large one is split into several files
+            split = merged.withColumn("__part", F.coalesce(F.col(self.partition).cast("string"), F.lit("null")))
+            split.hint("rebalance", "__part").write.partitionBy("__part").parquet(f"{self.path}/data/{version}")
+            make, fs = self._fs(spark)
+            found = {unquote(f.getPath().getName().removeprefix("__part=")): f.getPath().toString() for f in fs.listStatus(make(f"{self.path}/data/{version}")) if f.isDirectory()}
+            self._publish(spark, number + 1, {"schema": merged.schema.jsonValue(), "versions": m.get("versions", {}) | found})
+        for t in made:
+            release(t)
+
+    def vacuum(self, spark) -> None:
+        """Delete versions that the newest manifest does not name; for times without readers."""
+        make, fs = self._fs(spark)
+        used = {v.rsplit("/", 2)[-2] for v in self._manifest(spark)[1].get("versions", {}).values()}
+        for f in fs.listStatus(make(f"{self.path}/data")):
+            if f.getPath().getName() not in used:
+                fs.delete(f.getPath(), True)
 
     def retain(self, spark, time: str, now: Column, days: int) -> DataFrame:
         return retain(self.read(spark), time, now, days)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.prompts import likely_cause
+from tidewatch.session import materialize
 
 
 class Embedder(Protocol):
@@ -57,6 +59,58 @@ def checked_vectors(vectors, n: int) -> list[list[float]]:
     return [[float(x) for x in v] for v in vectors]
 
 
+def patient(call: Callable[[list], list], values: list, timeout: float | None, retries: int) -> list:
+    """``call(values)``, tried again up to ``retries`` times; an attempt ends after ``timeout`` seconds."""
+    for attempt in range(retries + 1):
+        try:
+            if timeout is None:
+                return call(values)
+            pool = ThreadPoolExecutor(1)
+            try:
+                return pool.submit(call, values).result(timeout)
+            finally:
+                pool.shutdown(wait=False, cancel_futures=True)
+        except Exception:
+            if attempt == retries:
+                raise
+    return []
+
+
+def _answered(
+    df: DataFrame, column: str, call: Callable[[list], list], out: str, kind: str, batch: int, on_error: str, timeout: float | None, retries: int
+) -> DataFrame:
+    """``df`` with the answer to each distinct value of ``column``, asked once and written down.
+
+    Values are told apart by a 256-bit hash, which is also what they are joined on.
+    With ``on_error="row"`` a failing batch is asked again one by one, and what
+    fails then gives ``<out>_error`` in its rows.
+    """
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                values, errors = part["__value"].tolist(), [None] * len(part)
+                try:
+                    answers = patient(call, values, timeout, retries)
+                except Exception:
+                    if on_error == "raise":
+                        raise
+                    answers = [None] * len(part)
+                    for i, value in enumerate(values):
+                        try:
+                            answers[i] = patient(call, [value], timeout, retries)[0]
+                        except Exception as exc:  # noqa: BLE001 - the row says what went wrong
+                            errors[i] = f"{type(exc).__name__}: {exc}"
+                yield pd.DataFrame({"__hash": part["__hash"], out: answers, f"{out}_error": errors})
+
+    hashed = F.sha2(F.col(column), 256)
+    values = df.where(F.col(column).isNotNull()).groupBy(hashed.alias("__hash")).agg(F.first(column).alias("__value"))
+    answers = materialize(values.mapInPandas(ask, f"__hash string, {out} {kind}, {out}_error string"), "answers")
+    joined = df.withColumn("__hash", hashed).join(answers, "__hash", "left").drop("__hash")
+    return joined.drop(f"{out}_error") if on_error == "raise" else joined
+
+
 def embed(
     df: DataFrame,
     text: str,
@@ -65,50 +119,55 @@ def embed(
     out: str = "embedding",
     batch: int = 128,
     on_error: str = "raise",
+    timeout: float | None = None,
+    retries: int = 0,
 ) -> DataFrame:
     """Add the vector of a text column (null text has none).
 
-    Equal texts are embedded once: the distinct texts go through the client in
-    batches and are joined back. With ``on_error="row"`` a failing batch gives
+    Equal texts are embedded once and the vectors written, so whatever reads the
+    result later asks nothing again. With ``on_error="row"`` a text that fails gives
     ``<out>_error`` instead of stopping the job, for the dead-letter table.
     """
     model = client or HashEmbedder()
 
-    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                texts = frame["__text"].iloc[at : at + batch].tolist()
-                try:
-                    vectors, error = checked_vectors(model.embed(texts, kind), len(texts)), None
-                except Exception as exc:
-                    if on_error == "raise":
-                        raise
-                    vectors, error = [None] * len(texts), f"{type(exc).__name__}: {exc}"
-                yield pd.DataFrame({"__text": texts, out: vectors, f"{out}_error": error})
+    def call(texts: list) -> list:
+        return checked_vectors(model.embed(texts, kind), len(texts))
 
-    texts = df.select(F.col(text).alias("__text")).where(F.col("__text").isNotNull()).distinct()
-    vectors = texts.mapInPandas(call, f"__text string, {out} array<float>, {out}_error string")
-    joined = df.join(vectors, F.col(text) == F.col("__text"), "left").drop("__text")
-    return joined.drop(f"{out}_error") if on_error == "raise" else joined
+    return _answered(df, text, call, out, "array<float>", batch, on_error, timeout, retries)
 
 
 def generate(
-    df: DataFrame, prompt: str, client: Writer, out: str = "response", max_tokens: int = 500, batch: int = 16
+    df: DataFrame,
+    prompt: str,
+    client: Writer,
+    out: str = "response",
+    max_tokens: int = 500,
+    batch: int = 16,
+    on_error: str = "raise",
+    timeout: float | None = None,
+    retries: int = 0,
 ) -> DataFrame:
-    """Add the reply to a prompt column; equal prompts are sent once."""
+    """Add the reply to a prompt column; equal prompts are sent once, failures as in :func:`embed`."""
 
-    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                prompts = frame["__prompt"].iloc[at : at + batch].tolist()
-                replies = client.write(prompts, max_tokens)
-                if len(replies) != len(prompts):
-                    raise RuntimeError(f"writer returned {len(replies)} replies for {len(prompts)} prompts")
-                yield pd.DataFrame({"__prompt": prompts, out: replies})
-
-    prompts = df.select(F.col(prompt).alias("__prompt")).where(F.col("__prompt").isNotNull()).distinct()
-    replies = prompts.mapInPandas(call, f"__prompt string, {out} string")
-    return df.join(replies, F.col(prompt) == F.col("__prompt"), "left").drop("__prompt")
+    def call(prompts: list) -> list:
+        replies = client.write(prompts, max_tokens)
+        if len(replies) != len(prompts):
+            raise RuntimeError(f"writer returned {len(replies)} replies for {len(prompts)} prompts")
+        return replies
+
+    return _answered(df, prompt, call, out, "string", batch, on_error, timeout, retries)
+
+
+def lateral(df: DataFrame, argument: str, call: Callable[[list], list], schema: str, how: str = "inner", batch: int = 128) -> DataFrame:
+    """Each row with the rows that ``call`` gives for its ``argument``, like a lateral join to a table function.
+
+    ``call`` takes a list of arguments and returns a list of rows (dicts) for each.
+    Equal arguments are asked once. ``how="left"`` keeps rows without any, with
+    nulls; a null argument has none.
+    """
+    answered = _answered(df, argument, call, "__rows", f"array<struct<{schema}>>", batch, "raise", None, 0)
+    explode = F.explode_outer if how == "left" else F.explode
+    return answered.withColumn("__row", explode("__rows")).select(*df.columns, "__row.*")
 
 
 # -- rule-based explanation ----------------------------------------------------------

@@ -75,8 +75,8 @@ def with_progress(path: DataFrame, trip: list[str]) -> DataFrame:
 
 
 def with_times(path: DataFrame, trip: list[str], start: Column, duration_ms: int = DURATION_MS) -> DataFrame:
-    """Constant-speed time of each point in whole milliseconds, cut off."""
-    return with_progress(path, trip).withColumn("t_ms", F.floor(start + F.col("share") * duration_ms).cast("long"))
+    """Constant-speed time of each point in whole milliseconds, cut off (a millionth short of the next counts as it)."""
+    return with_progress(path, trip).withColumn("t_ms", F.floor(F.round(start + F.col("share") * duration_ms, 6)).cast("long"))
 
 
 def listed_boats(dispatches: DataFrame) -> DataFrame:
@@ -92,8 +92,9 @@ def trip_starts(dispatches: DataFrame, vessels: DataFrame, stops: DataFrame, spa
 
     Boats listed by the dispatch with a mapped home in another zone. A dispatch
     without any such boat gets the first ``spare`` vessels by id that are not
-    based in its zone. For those, the first few of every home zone are enough:
-    a list as long as ``spare`` times the stops, taken as one value.
+    based in its zone. For those, the ``2 * spare`` lowest ids are enough once each
+    home zone has given its first ``spare``: at most ``spare`` of them are of the
+    dispatch's own zone.
     """
     mapped = stops.select("zone", "idx")
     to = dispatches.join(mapped.select(F.col("zone").alias("pickup_zone"), F.col("idx").alias("__to")), "pickup_zone")
@@ -109,7 +110,7 @@ def trip_starts(dispatches: DataFrame, vessels: DataFrame, stops: DataFrame, spa
 
     first = F.row_number().over(Window.partitionBy("base_zone").orderBy("vessel_id"))
     short = homes.withColumn("__rn", first).where(F.col("__rn") <= spare)
-    choice = short.agg(
+    choice = short.orderBy("vessel_id", "base_zone").limit(2 * spare).agg(
         F.array_sort(F.collect_list(F.struct("vessel_id", "base_zone", "__from"))).alias("c")
     ).scalar()
     bare = to.join(usable.select("pickup_zone", "window_time").distinct(), ["pickup_zone", "window_time"], "left_anti")

@@ -196,7 +196,3 @@ def document(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
 
 def json_documents(df: DataFrame, alias: str = "doc") -> DataFrame:
     return df.select(document(df).alias(alias))
-
-
-def surge_ratio(df: DataFrame) -> DataFrame:
-    return df.withColumn("surge_ratio", ratio("request_count", "expected_requests"))

@@ -75,6 +75,16 @@ def running_before(
     )
 
 
+def running_low(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], chunk: Column, value: str, name: str) -> DataFrame:
+    """Add the smallest ``value`` so far, the row's own included, chunk by chunk like :func:`running_before`."""
+    base = df.withColumn(KEY, key_of(keys)).withColumn(CHUNK, chunk)
+    earlier = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = base.groupBy(KEY, CHUNK).agg(F.min(value).alias("__low")).select(KEY, CHUNK, F.min("__low").over(earlier).alias("__carry"))
+    local = Window.partitionBy(KEY, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = base.withColumn("__own", F.min(value).over(local)).join(carry, [KEY, CHUNK])
+    return seen.withColumn(name, F.least("__own", "__carry")).drop(KEY, CHUNK, "__own", "__carry")
+
+
 def asof(
     left: DataFrame,
     right: DataFrame,

@@ -17,15 +17,22 @@ from tidewatch.operators.topk import (
     recent_or_latest,
     snapshot,
 )
+from tidewatch.session import materialize
+
+
+def written(section: DataFrame) -> DataFrame:
+    """Run a section now, so that its failure shows here."""
+    return materialize(section, "section")
 
 
 def warm_start(
-    tables: Mapping[str, Callable[[], DataFrame]], now: Column, action: Callable[[DataFrame], object] = DataFrame.toLocalIterator
+    tables: Mapping[str, Callable[[], DataFrame]], now: Column, action: Callable[[DataFrame], object] = written
 ) -> dict[str, object]:
     """``tables``: functions giving vessels, anomalies, dispatches, knowledge, traffic.
 
-    Every section is built and run on its own; one that fails is ``None``. All
-    but the vessel list are limited by definition, so the results are small.
+    Every section is built and run on its own; one that fails is ``None``. By
+    default a section is a table written to the shared folder, since the vessel
+    list grows with the fleet; ``action`` must run the section, not only name it.
     """
     sections = {
         "vessels": lambda: home_zones(tables["vessels"]()),

@@ -115,16 +115,24 @@ def _(spark, d):
     )
 
 
+class FirstSentence:
+    """Stands in for a text model: the beginning of the first document in the prompt."""
+
+    def write(self, prompts, max_tokens):
+        bodies = [p.split("<<DOC 1 START>>\n", 1)[1].split("\n", 2)[2] for p in prompts]
+        return ["Likely related: " + " ".join(b.split(". ", 1)[0].split()[:max_tokens]) for b in bodies]
+
+
 @query("v6_explained_surges")
 def _(spark, d):
-    return surge.explained(i.surges(spark, d), _built(spark, d))
+    return surge.explained(i.surges(spark, d), _built(spark, d), FirstSentence())
 
 
 # -- dispatch ---------------------------------------------------------------------------------
 
 
-def _plan_sql(rounds: int = 8) -> str:
-    """The rounds written out; each claims from what the earlier ones left."""
+def _plan_sql(rounds: int = 40) -> str:
+    """Rounds written out, more than the tables need: a round that claims nothing changes nothing."""
     parts = [
         f"""{LINE_SURGES}, stops AS (SELECT n_name AS zone, n_nationkey AS idx FROM nation),
   need AS (SELECT pickup_zone, window_time, request_count - expected_requests AS need, idx FROM surges
@@ -135,13 +143,16 @@ def _plan_sql(rounds: int = 8) -> str:
     ]
     for r in range(1, rounds + 1):
         parts.append(f"""
-  short{r} AS (SELECT n.*, need - coalesce((SELECT sum(capacity) FROM taken{r - 1} x WHERE x.pickup_zone = n.pickup_zone
-      AND x.window_time = n.window_time), 0) AS short FROM need n),
-  best{r} AS MATERIALIZED (SELECT s.pickup_zone, s.window_time, short, vessel_id, abs(idx - vidx) AS cost, capacity FROM short{r} s
-    JOIN (SELECT * FROM fleet WHERE vessel_id NOT IN (SELECT vessel_id FROM taken{r - 1})) f ON idx <> vidx WHERE short > 0
+  free{r} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vidx ORDER BY capacity DESC, vessel_id) AS place FROM fleet
+    WHERE vessel_id NOT IN (SELECT vessel_id FROM taken{r - 1})),
+  short{r} AS (SELECT * FROM (SELECT n.pickup_zone, n.window_time, idx, need - coalesce(sum(capacity), 0) AS short, count(vessel_id) AS boats
+    FROM need n LEFT JOIN taken{r - 1} x ON x.pickup_zone = n.pickup_zone AND x.window_time = n.window_time
+    GROUP BY n.pickup_zone, n.window_time, idx, need) WHERE short > 0 AND boats < 8),
+  claim{r} AS (SELECT s.pickup_zone, s.window_time, short, vidx FROM short{r} s JOIN free{r} f ON idx <> vidx
     QUALIFY row_number() OVER (PARTITION BY s.pickup_zone, s.window_time ORDER BY abs(idx - vidx), capacity DESC, vessel_id) = 1),
-  taken{r} AS MATERIALIZED (SELECT * FROM taken{r - 1} UNION ALL SELECT pickup_zone, window_time, vessel_id, {r}, cost, capacity FROM best{r}
-    QUALIFY row_number() OVER (PARTITION BY vessel_id ORDER BY short DESC, pickup_zone, window_time) = 1)""")
+  rank{r} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vidx ORDER BY short DESC, window_time, pickup_zone) AS place FROM claim{r}),
+  taken{r} AS MATERIALIZED (SELECT * FROM taken{r - 1} UNION ALL SELECT pickup_zone, window_time, vessel_id, {r}, abs(idx - k.vidx), capacity
+    FROM rank{r} k JOIN free{r} f ON f.vidx = k.vidx AND f.place = k.place JOIN stops ON zone = pickup_zone)""")
     return ",".join(parts) + f", assigned AS (SELECT t.*, base_zone FROM taken{rounds} t JOIN fleet USING (vessel_id))"
 
 
@@ -258,16 +269,12 @@ def _(spark, d):
 
 @query(
     "r3_constant_speed",
-    f"""WITH {HOPS_SQL} SELECT origin, destination, CAST(seq AS INTEGER) AS seq, abs(1000 + share * 8000 - round(1000 + share * 8000)) > -1 AS timed,
-    round(1000 + share * 8000, 3) AS exact_ms FROM progress""",
+    f"""WITH {HOPS_SQL} SELECT origin, destination, CAST(seq AS INTEGER) AS seq, CAST(floor(round(1000 + share * 8000, 6)) AS BIGINT) AS t_ms
+    FROM progress""",
 )
 def _(spark, d):
     path = paths.paths(_hops(spark, d), t.zone_index(spark, d), t.waypoints(spark, d))
-    timed = paths.with_times(path, ["origin", "destination"], F.lit(1000))
-    exact = 1000 + F.col("share") * 8000
-    return timed.select(
-        "origin", "destination", "seq", (F.col("t_ms") == F.floor(exact)).alias("timed"), F.round(exact, 3).alias("exact_ms")
-    )
+    return paths.with_times(path, ["origin", "destination"], F.lit(1000)).select("origin", "destination", "seq", "t_ms")
 
 
 TRIPS_SQL = f"""{LINE_SURGES}, {DISPATCHES_SQL}, homes AS (SELECT s_name AS vessel_id, n_name AS origin FROM supplier JOIN nation ON s_nationkey = n_nationkey),
@@ -304,19 +311,19 @@ DJB2 = """CAST(list_reduce(list_prepend(CAST(5381 AS HUGEINT), list_transform(st
       29.9::DOUBLE + (n_nationkey % 5) * 0.02::DOUBLE AS lat FROM ends JOIN nation ON n_nationkey BETWEEN least(a, b) AND greatest(a, b)),
     seg AS (SELECT *, coalesce(sqrt(pow(lon - lag(lon) OVER w, 2) + pow(lat - lag(lat) OVER w, 2)), 0) AS len FROM way
       WINDOW w AS (PARTITION BY pickup_zone, window_time, vessel_id ORDER BY seq)),
-    timed AS (SELECT *, CAST(floor(t0 + sum(len) OVER (w ROWS UNBOUNDED PRECEDING) / sum(len) OVER (PARTITION BY pickup_zone, window_time, vessel_id)
-      * 8000 + 1e-7) AS BIGINT) AS ms FROM seg WINDOW w AS (PARTITION BY pickup_zone, window_time, vessel_id ORDER BY seq)),
+    timed AS (SELECT *, CAST(floor(round(t0 + sum(len) OVER (w ROWS UNBOUNDED PRECEDING) / sum(len) OVER (PARTITION BY pickup_zone, window_time, vessel_id)
+      * 8000, 6)) AS BIGINT) AS ms FROM seg WINDOW w AS (PARTITION BY pickup_zone, window_time, vessel_id ORDER BY seq)),
     legs AS (SELECT *, lead(lon) OVER w AS lon1, lead(lat) OVER w AS lat1, lead(ms) OVER w AS ms1 FROM timed
       WINDOW w AS (PARTITION BY pickup_zone, window_time, vessel_id ORDER BY seq)),
     hit AS (SELECT * FROM legs WHERE 15000 BETWEEN ms AND ms1
       QUALIFY row_number() OVER (PARTITION BY pickup_zone, window_time, vessel_id ORDER BY seq) = 1)
-    SELECT pickup_zone, window_time, vessel_id, round(lon + (lon1 - lon) * (15000 - ms) / greatest(ms1 - ms, 1), 3) AS lon,
-      round(lat + (lat1 - lat) * (15000 - ms) / greatest(ms1 - ms, 1), 3) AS lat, round(degrees(atan2(lat1 - lat, lon1 - lon)), 3) AS heading FROM hit""",
+    SELECT pickup_zone, window_time, vessel_id, round(lon + (lon1 - lon) * (15000 - ms) / greatest(ms1 - ms, 1), 6) AS lon,
+      round(lat + (lat1 - lat) * (15000 - ms) / greatest(ms1 - ms, 1), 6) AS lat, round(degrees(atan2(lat1 - lat, lon1 - lon)), 6) AS heading FROM hit""",
 )
 def _(spark, d):
     points = paths.trips(i.dispatches(spark, d), t.vessels(spark, d), t.zone_index(spark, d), t.waypoints(spark, d))
     found = paths.positions(points, 15_000)
-    return found.withColumns({c: F.round(c, 3) for c in ("lon", "lat", "heading")})
+    return found.withColumns({c: F.round(c, 6) for c in ("lon", "lat", "heading")})
 
 
 @query(

@@ -89,15 +89,19 @@ def _(spark, d):
 
 @query(
     "s7_publish_documents",
-    f"""WITH {CALENDAR_SQL} SELECT CAST(event_name AS VARCHAR) AS key,
+    f"""WITH {CALENDAR_SQL} SELECT 'id-' || doc_id AS key,
     '{{"event_name":"' || event_name || '","event_type":"' || event_type || '","venue":"' || venue || '","zone":"' || zone
     || '","event_time_start":"' || strftime(event_time_start, '%Y-%m-%dT%H:%M:%S.%f+00:00')
     || '","event_time_end":"' || strftime(event_time_end, '%Y-%m-%dT%H:%M:%S.%f+00:00')
-    || '","expected_attendance":' || expected_attendance || ',"impact_level":"' || impact_level || '"}}' AS value FROM calendar""",
+    || '","expected_attendance":' || expected_attendance || ',"description":' || to_json(description) || ',"impact_level":"' || impact_level
+    || '","created_at":"2024-01-01T00:00:00.000000+00:00","updated_at":"2024-01-02T00:00:00.000000+00:00"}}' AS value FROM calendar""",
 )
 def _(spark, d):
-    fields = [f for f in sinks.PUBLISHED if f != "description"]
-    return sinks.publish_documents(t.calendar(spark, d), "event_name", fields)
+    number = F.substring_index("event_name", " ", -1)
+    dated = t.calendar(spark, d).withColumns(
+        {"document_id": F.concat(F.lit("id-"), number), "created_at": F.lit("2024-01-01").cast("timestamp"), "updated_at": F.lit("2024-01-02").cast("timestamp")}
+    )
+    return sinks.publish_documents(dated, "document_id")
 
 
 @query(
@@ -297,10 +301,14 @@ def _(spark, d):
 @query(
     "p10_dispatch_entries",
     f"""WITH {EVENT_TRAFFIC}, {i.RAW_LOG_SQL} SELECT pickup_zone AS zone, coalesce(dispatched_at, window_time) AS dispatched_at,
-    regexp_extract(dispatch_summary, '(Sent \\d+ boats\\.)', 1) AS summary, dispatch_json, true AS parsed FROM log""",
+    regexp_extract(dispatch_summary, '(Sent \\d+ boats\\.)', 1) AS summary,
+    CASE request_count % 3 WHEN 0 THEN dispatch_json WHEN 1 THEN 'boats: ' || request_count ELSE '' END AS dispatch_json,
+    request_count % 3 = 0 AS parsed FROM log JOIN (SELECT pickup_zone, window_time, request_count FROM traffic) USING (pickup_zone, window_time)""",
 )
 def _(spark, d):
-    return rows.dispatch_entries(i.dispatch_log(spark, d))
+    n = F.regexp_extract("dispatch_json", r"(\d+)", 1).cast("long")
+    mixed = F.when(n % 3 == 0, F.col("dispatch_json")).when(n % 3 == 1, F.concat(F.lit("boats: "), n.cast("string")))
+    return rows.dispatch_entries(i.dispatch_log(spark, d).withColumn("dispatch_json", mixed))
 
 
 @query(

@@ -168,6 +168,24 @@ def _(spark, d):
     return _scored(anomaly.detect(i.line_traffic(spark, d), confidence=99.0, max_train=52, chunk_seconds=365 * 86_400))
 
 
+@query(
+    "w1_detect_double",
+    f"""WITH {LINE_TRAFFIC}, prices AS (SELECT pickup_zone, window_time,
+      10000000.0::DOUBLE + CAST(total_revenue AS DOUBLE) / request_count * 0.731::DOUBLE AS request_count FROM traffic),
+    {scored_sql(52, source='prices')} SELECT pickup_zone, window_time, round(request_count, 2) AS price, round(forecast, 2) AS forecast,
+    round(upper_bound - lower_bound, 2) AS width, is_anomaly FROM scored""",
+)
+def _(spark, d):
+    """Mean prices far from zero, where sums of squares would lose the differences."""
+    price = F.lit(1e7) + F.col("total_revenue").cast("double") / F.col("request_count") * 0.731
+    prices = i.line_traffic(spark, d).select("pickup_zone", "window_time", price.alias("price"))
+    scored = anomaly.detect(prices, "price", confidence=99.0, max_train=52, chunk_seconds=365 * 86_400)
+    return scored.select(
+        "pickup_zone", "window_time", F.round("price", 2).alias("price"), F.round("forecast", 2).alias("forecast"),
+        F.round(F.col("upper_bound") - F.col("lower_bound"), 2).alias("width"), "is_anomaly",
+    )
+
+
 SURGES_OUT = """SELECT pickup_zone, window_time, request_count, total_passengers, CAST(total_revenue AS DOUBLE) AS total_revenue,
     expected_requests, round(upper_bound, 6) AS upper_bound, round(lower_bound, 6) AS lower_bound, true AS is_surge FROM surges"""
 
@@ -182,6 +200,29 @@ def _(spark, d):
     return rounded(as_double(i.line_surges(spark, d), "total_revenue"), "upper_bound", "lower_bound")
 
 
+Z99 = 2.5758293035489004
+
+
+@query(
+    "w3_detect_trend_order1",
+    f"""WITH {EVENT_TRAFFIC}, lagged AS (SELECT *, lag(request_count) OVER z AS x, row_number() OVER z - 1 AS i FROM traffic
+      WINDOW z AS (PARTITION BY pickup_zone ORDER BY window_time)),
+    fits AS (SELECT *, coalesce(regr_slope(request_count, x) OVER w, 0) AS b,
+      coalesce(regr_intercept(request_count, x) OVER w, avg(request_count) FILTER (x IS NOT NULL) OVER w) AS a, CAST(regr_count(request_count, x) OVER w AS BIGINT) AS n,
+      regr_syy(request_count, x) OVER w AS syy, regr_sxy(request_count, x) OVER w AS sxy FROM lagged
+      WINDOW w AS (PARTITION BY pickup_zone ORDER BY window_time ROWS BETWEEN 336 PRECEDING AND 1 PRECEDING)),
+    ready AS (SELECT *, i >= 15 AS ok, {Z99} * sqrt(greatest(syy - b * sxy, 0) / nullif(n - 2, 0)) * sqrt(1 + 1.0 / nullif(n, 0)) AS half FROM fits)
+    SELECT pickup_zone, window_time, CASE WHEN ok THEN round(a + b * x, 4) END AS forecast, CASE WHEN ok THEN round(2 * half, 4) END AS width,
+    coalesce(ok AND (request_count < a + b * x - half OR request_count > a + b * x + half), false) AS is_anomaly FROM ready""",
+)
+def _(spark, d):
+    scored = anomaly.detect_trend(i.traffic(spark, d), confidence=99.0, max_train=336, order=1)
+    return scored.select(
+        "pickup_zone", "window_time", F.round("forecast", 4).alias("forecast"),
+        F.round(F.col("upper_bound") - F.col("lower_bound"), 4).alias("width"), "is_anomaly",
+    )
+
+
 @query("w3_detect_trend")
 def _(spark, d):
     return _scored(anomaly.detect_trend(i.traffic(spark, d), confidence=99.0, max_train=336))
@@ -388,21 +429,24 @@ def _(spark, d):
 
 
 MATCH = f"""{EVENT_TRAFFIC}, {RAW_LOG_SQL}, a AS (SELECT pickup_zone, window_time FROM traffic WHERE request_count >= 4),
-  dp AS (SELECT pickup_zone, window_time, dispatched_at FROM log WHERE length(dispatch_json) > 0 AND dispatched_at IS NOT NULL
-    AND hour(window_time) >= 6),
+  dp AS (SELECT pickup_zone, window_time, dispatched_at FROM log WHERE dispatched_at IS NOT NULL),
   exact AS (SELECT dp.pickup_zone, dp.window_time, dp.window_time AS dispatch_window, dispatched_at, 'window' AS matched_by
     FROM dp JOIN a USING (pickup_zone, window_time)),
-  rest AS (SELECT * FROM dp ANTI JOIN a USING (pickup_zone, window_time)),
-  open AS (SELECT * FROM a ANTI JOIN dp USING (pickup_zone, window_time)),
-  near AS (SELECT r.pickup_zone, o.window_time, r.window_time AS dispatch_window, r.dispatched_at, 'as_of' AS matched_by
-    FROM rest r ASOF JOIN open o ON r.pickup_zone = o.pickup_zone AND r.dispatched_at >= o.window_time
-    QUALIFY row_number() OVER (PARTITION BY r.pickup_zone, o.window_time ORDER BY r.dispatched_at, r.window_time) = 1)"""
+  steps AS (SELECT pickup_zone, window_time AS tm, window_time, 1 AS step FROM a ANTI JOIN dp USING (pickup_zone, window_time)
+    UNION ALL SELECT pickup_zone, dispatched_at, window_time, -1 FROM dp ANTI JOIN a USING (pickup_zone, window_time)),
+  totals AS (SELECT *, coalesce(sum(step) OVER (PARTITION BY pickup_zone ORDER BY tm, step DESC, window_time
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM steps),
+  heights AS (SELECT *, before - least(0, min(before) OVER (PARTITION BY pickup_zone ORDER BY tm, step DESC, window_time
+    ROWS UNBOUNDED PRECEDING)) + CASE WHEN step = 1 THEN 1 ELSE 0 END AS height FROM totals),
+  top AS (SELECT *, lag(window_time) OVER (PARTITION BY pickup_zone, height ORDER BY tm, step DESC, window_time) AS pushed FROM heights),
+  near AS (SELECT pickup_zone, pushed AS window_time, window_time AS dispatch_window, tm AS dispatched_at, 'as_of' AS matched_by
+    FROM top WHERE step = -1 AND height > 0)"""
 
 
 @query("j3_match_dispatches", f"WITH {MATCH} SELECT * FROM exact UNION ALL SELECT * FROM near")
 def _(spark, d):
     anomalies = i.traffic(spark, d).where(F.col("request_count") >= 4).select("pickup_zone", "window_time")
-    sent = i.dispatch_log(spark, d).where(F.col("dispatched_at").isNotNull() & (F.hour("window_time") >= 6))
+    sent = i.dispatch_log(spark, d).where(F.col("dispatched_at").isNotNull())
     return joins.match_dispatches(anomalies, sent.select("pickup_zone", "window_time", "dispatched_at"))
 
 

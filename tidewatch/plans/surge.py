@@ -31,23 +31,11 @@ def announced(anomalies: DataFrame) -> DataFrame:
     return anomaly_sink(anomalies)
 
 
-class EchoWriter:
-    """Offline text model: the first sentence of the best document in the prompt."""
-
-    def write(self, prompts, max_tokens: int = 500) -> list[str]:
-        out = []
-        for prompt in prompts:
-            body = prompt.split("<<DOC 1 START>>\n", 1)[-1].split("\n<<DOC 1 END>>", 1)[0]
-            text = body.split("\n", 2)[-1].split(". ", 1)[0]
-            out.append("Likely related: " + " ".join(text.split()[:max_tokens]) + " ")
-        return out
-
-
 def explained(
     anomalies: DataFrame,
     kb: DataFrame,
+    writer: Writer,
     embedder: Embedder | None = None,
-    writer: Writer | None = None,
     k: int = 3,
     keep_unmatched: bool = False,
 ) -> DataFrame:
@@ -58,11 +46,10 @@ def explained(
     """
     asked = surges(anomalies).withColumn("query", surge_query()).withColumn("query_id", F.col("query"))
     asked = materialize(asked, "asked")
-    # model calls are written down: each text is sent once, whatever reads the vectors
-    vectors = materialize(embed(asked.select("query_id", "query").distinct(), "query", embedder or HashEmbedder(), "query"), "vectors")
+    vectors = embed(asked.select("query_id", "query").distinct(), "query", embedder or HashEmbedder(), "query")
     hits = search_results(search(vectors, kb, k), kb)
     found = asked.join(hits, "query_id", "left" if keep_unmatched else "inner")
-    replied = generate(found.withColumn("prompt", guarded_prompt()), "prompt", writer or EchoWriter())
+    replied = generate(found.withColumn("prompt", guarded_prompt()), "prompt", writer)
     return replied.select(
         "pickup_zone",
         "window_time",

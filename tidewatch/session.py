@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,9 +17,6 @@ DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
-_OWN_DIR = "spark.tidewatch.shared.dir"
-
-
 def local_session(app: str = "tidewatch", cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (
@@ -39,17 +37,22 @@ def local_session(app: str = "tidewatch", cores: int | str = "*", partitions: in
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local master may fall back to a temporary folder, because there the
-    driver and the executors are one process.
+    Where it is unset, a local master uses the warehouse folder; any other master
+    has to set it, to a folder that is not on one machine's own disk.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_DIR, None)
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local")
     if path:
+        if not local and (path.startswith("file:") or ":" not in path and _default_fs(spark).startswith("file:")):
+            raise RuntimeError(f"{path} is a folder of one machine; set spark.checkpoint.dir to one that all executors share")
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="tidewatch-")
-    spark.conf.set(_OWN_DIR, path)
-    return path
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidewatch"
+
+
+def _default_fs(spark: SparkSession) -> str:
+    return spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -65,10 +68,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    for made in _SCRATCH:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths written inside each open :func:`scratch`.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, every table that :func:`materialize` wrote inside.
+
+    A job that returns a lazy result reads these tables until the result is
+    written, so the caller that writes it opens this.
+    """
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(df: DataFrame) -> None:
     """Remove the files of a table :func:`materialize` wrote, once nothing reads it.
 

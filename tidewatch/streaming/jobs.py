@@ -3,6 +3,8 @@ each consumer reads them with its own checkpoint and fails on its own."""
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -10,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.operators.aggregates import status_rollup, zone_traffic
@@ -22,6 +24,7 @@ from tidewatch.operators.validate import Rule, split
 from tidewatch.functions.exprs import hit
 from tidewatch.functions.prompts import fallback_query
 from tidewatch.operators.vector import search, search_results
+from tidewatch.session import materialize
 
 
 def table_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -32,9 +35,23 @@ def table_stream(spark: SparkSession, path: str, schema: T.StructType, files_per
     return reader.parquet(path)
 
 
-def from_now(stream: DataFrame, time: str, start: Column | None) -> DataFrame:
+def from_now(stream: DataFrame, column: str, start: Column | None) -> DataFrame:
     """Start position of a new consumer: rows from ``start`` on; ``None`` replays all."""
-    return stream if start is None else stream.where(F.col(time) >= start)
+    return stream if start is None else stream.where(F.col(column) >= start)
+
+
+def enriched_stream(base: DataFrame, enriched: DataFrame, base_time: str, enriched_time: str, delay: str = "1 hour") -> DataFrame:
+    """Anomalies with their enrichment as two streams join: left outer by (zone, window).
+
+    Both sides carry a watermark of ``delay``; an anomaly whose enrichment has not
+    come within it leaves the state with the numbers alone.
+    """
+    left = base.withWatermark(base_time, delay).alias("a")
+    right = enriched.withWatermark(enriched_time, delay).alias("e")
+    on = [F.col(f"a.{k}") == F.col(f"e.{k}") for k in ("pickup_zone", "window_time")]
+    near = F.expr(f"e.{enriched_time} BETWEEN a.{base_time} AND a.{base_time} + INTERVAL {delay}")
+    extra = [F.col(f"e.{c}") for c in enriched.columns if c not in base.columns]
+    return left.join(right, [*on, near], "leftOuter").select("a.*", *extra)
 
 
 def traffic(rides: DataFrame, size: str = "1 minute") -> DataFrame:
@@ -66,12 +83,14 @@ def keyed_sink(
     dead_letters: str | None = None,
     merge: Callable = upsert_replace,
     order: str | None = None,
+    tie: Sequence[str] = (),
     once: bool = True,
 ) -> StreamingQuery:
     """Validate each batch, upsert the good rows, append the others to a dead-letter table.
 
     The upsert gives the same table when a batch runs twice, and dead letters are
-    written under their batch id, so a restart repeats nothing.
+    written under their batch id, so a restart repeats nothing. Rows that break no
+    rule but lack a key are in ``table.rejected``, under the same id.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -80,7 +99,7 @@ def keyed_sink(
             valid, dead = split(batch, rules, F.current_timestamp()) if rules else (batch, None)
             if dead is not None and dead_letters:
                 dead.write.mode("overwrite").parquet(f"{dead_letters}/batch={batch_id}")
-            table.apply(valid, merge, order)
+            table.apply(valid, merge, order, tie, str(batch_id))
         finally:
             batch.unpersist()
 
@@ -101,9 +120,9 @@ def fan_out(
     return out
 
 
-def offer_once(anomalies: DataFrame, time: str = "ingested_at", seconds: int = 600) -> DataFrame:
+def offer_once(anomalies: DataFrame, column: str = "ingested_at", seconds: int = 600) -> DataFrame:
     """Each (zone, window) once within the time span, for streams."""
-    return anomalies.withWatermark(time, f"{seconds} seconds").dropDuplicatesWithinWatermark(["pickup_zone", "window_time"])
+    return anomalies.withWatermark(column, f"{seconds} seconds").dropDuplicatesWithinWatermark(["pickup_zone", "window_time"])
 
 
 # -- detector with state -----------------------------------------------------------------
@@ -112,7 +131,7 @@ def offer_once(anomalies: DataFrame, time: str = "ingested_at", seconds: int = 6
 def detect_stream(
     traffic: DataFrame,
     value: str = "request_count",
-    time: str = "window_time",
+    at: str = "window_time",
     key: str = "pickup_zone",
     min_train: int = MIN_TRAIN,
     max_train: int = MAX_TRAIN,
@@ -126,6 +145,7 @@ def detect_stream(
     traffic job writes, since two stateful steps do not share a query here.
     """
     z = z_value(confidence)
+    whole = isinstance(traffic.schema[value].dataType, T.IntegralType)
     extra = [
         T.StructField("forecast", T.DoubleType()),
         T.StructField("lower_bound", T.DoubleType()),
@@ -136,20 +156,27 @@ def detect_stream(
     state_schema = T.StructType([T.StructField("history", T.ArrayType(T.DoubleType()))])
 
     def score(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(time, ignore_index=True)
+        rows = pd.concat(list(frames)).sort_values(at, ignore_index=True)
         past = np.asarray(state.get[0] if state.exists else [], dtype=float)
         x = np.concatenate([past, rows[value].to_numpy(float)])
-        sums, squares = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
-        at = np.arange(len(past), len(x))
-        lo = np.maximum(0, at - max_train)
-        n = (at - lo).astype(float)
-        total, square = sums[at] - sums[lo], squares[at] - squares[lo]
+        # Sums count from the oldest value, in whole numbers where values are whole.
+        origin = x[0] if len(x) else 0.0
+        c = (x - origin).astype(object if whole else float)
+        if whole:
+            c = np.array([int(v) for v in c], dtype=object)
+        zero = 0 if whole else 0.0
+        sums, squares = np.concatenate([[zero], np.cumsum(c)]), np.concatenate([[zero], np.cumsum(c * c)])
+        here = np.arange(len(past), len(x))
+        lo = np.maximum(0, here - max_train)
+        n = here - lo
+        total, square = sums[here] - sums[lo], squares[here] - squares[lo]
         ok = n >= max(min_train, 2)
-        safe = np.where(ok, n, 2.0)
-        mean = total / safe
-        sd = np.maximum(np.sqrt(np.maximum(n * square - total * total, 0) / (safe * (safe - 1))), min_sd)
+        safe = np.where(ok, n, 2).astype(float)
+        mean = (total + (int(origin) * n if whole else origin * n)).astype(float) / safe
+        spread = (n * square - total * total).astype(float)
+        sd = np.maximum(np.sqrt(np.maximum(spread, 0) / (safe * (safe - 1))), min_sd)
         half = z * sd * np.sqrt(1 + 1 / safe)
-        now = x[at]
+        now = x[here]
         rows["forecast"] = np.where(ok, mean, np.nan)
         rows["lower_bound"] = np.where(ok, mean - half, np.nan)
         rows["upper_bound"] = np.where(ok, mean + half, np.nan)
@@ -179,8 +206,8 @@ def backfill_evidence(
     anomaly table by (pickup_zone, window_time).
     """
     due = without_evidence(anomalies, enriched, now, delay_seconds)
-    asked = due.withColumn("query_id", fallback_query())
-    vectors = embed(asked.select("query_id").distinct(), "query_id", embedder, "query")
+    asked = materialize(due.withColumn("query_id", fallback_query()), "asked")
+    vectors = embed(asked.select("query_id").distinct(), "query_id", embedder, "query")  # written once by embed
     fields = [c for c in ("chunk", "event_name", "event_type", "impact_level") if c in kb.columns]
     hits = search_results(search(vectors, kb, 3), kb, fields)
     found = explain(asked.join(hits, "query_id"))
@@ -199,26 +226,54 @@ def backfill_evidence(
 _PROGRESS = "component_group string, name string, batch_id long, input_rows long, late_rows long, state_rows long"
 
 
-def progress_rows(spark: SparkSession, queries: Sequence[StreamingQuery], group: str = "streams") -> DataFrame:
-    """Progress reports of queries as a table (Spark keeps the last 100 per query)."""
-    rows = []
-    for q in queries:
-        for p in q.recentProgress:
-            p = p if isinstance(p, dict) else p.jsonValue
-            ops = p.get("stateOperators", [])
-            rows.append(
-                (
-                    group,
-                    q.name or str(q.id),
-                    p["batchId"],
-                    p.get("numInputRows", 0),
-                    sum(o.get("numRowsDroppedByWatermark", 0) for o in ops),
-                    sum(o.get("numRowsTotal", 0) for o in ops),
-                )
-            )
-        if not q.recentProgress:
-            rows.append((group, q.name or str(q.id), None, 0, 0, 0))
-    return spark.createDataFrame(rows, _PROGRESS)
+class ProgressLog(StreamingQueryListener):
+    """Every progress report of a session's streams, one small JSON file each, so none is lost.
+
+    Register with ``spark.streams.addListener(log)``; :func:`progress_rows` reads the folder.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, group: str = "streams"):
+        self.spark, self.path, self.group = spark, path, group
+        self.seen: dict[str, int] = {}
+
+    def _write(self, file: str, **row) -> None:
+        make = self.spark._jvm.org.apache.hadoop.fs.Path
+        target = make(f"{self.path}/{file}.json")
+        out = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(target, True)
+        out.write(bytearray(json.dumps({"component_group": self.group, **row}), "utf-8"))
+        out.close()
+
+    def wait_for(self, query: StreamingQuery, seconds: float = 30) -> None:
+        """Reports come through the listener bus; wait for those of a query that has ended."""
+        last = query.lastProgress
+        wanted = last["batchId"] if last else -1
+        end = time.monotonic() + seconds
+        while time.monotonic() < end and self.seen.get(str(query.runId), -1) < wanted:
+            time.sleep(0.05)
+
+    def onQueryStarted(self, event) -> None:
+        self._write(f"{event.runId}-start", name=event.name or str(event.id), input_rows=0, late_rows=0, state_rows=0)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._write(
+            f"{p.runId}-{p.batchId}-{p.timestamp.replace(':', '')}",
+            name=p.name or str(p.id),
+            batch_id=p.batchId,
+            input_rows=p.numInputRows,
+            late_rows=sum(o.numRowsDroppedByWatermark for o in p.stateOperators),
+            state_rows=sum(o.numRowsTotal for o in p.stateOperators),
+        )
+        self.seen[str(p.runId)] = p.batchId
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+
+def progress_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Progress reports that :class:`ProgressLog` wrote, as a table; a started stream has a row without batch."""
+    return spark.read.schema(_PROGRESS).json(path)
 
 
 def stall_report(progress: DataFrame, failed: Sequence[str] = ()) -> DataFrame:
