@@ -58,7 +58,7 @@ def test_equals_brute_force(docs):
 
 def test_large_group_in_many_blocks(docs):
     rows = near_rows(2, 1, 150, length=100)
-    got = near_join.near_groups(docs(rows), block=16).collect()
+    got = near_join.near_groups(docs(rows), block=16, prune_block=20).collect()
     assert sorted((r["doc_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == sorted(brute(rows))
 
 

@@ -12,8 +12,7 @@
    verified exactly. A task gives a class its number of links, and a spanning
    forest of them.
 
-Large buckets and clusters are cut into blocks of about ``BLOCK`` members by a hash,
-and each pair of blocks is one unit of work, so no task holds a whole group and
+Large buckets and clusters are cut into blocks of bounded size by a hash, and each pair of blocks is one unit of work, so no task holds a whole group and
 no pair becomes a row. Units of one key come one after the other in a sorted
 partition and are worked off as they stream by.
 """
@@ -35,8 +34,9 @@ from tidewatch.llm.decontaminate import words
 WORDS, THRESHOLD = 5, 0.8
 HASHES, BANDS, STEP = 128, 32, 16
 TOLERANCE = 1e-6
-BLOCK = 128
-CACHE_WORDS = 500_000
+#: Members of a block: of MinHash values while pruning, of whole n-gram sets while verifying.
+PRUNE_BLOCK, BLOCK = 512, 128
+CACHE_WORDS = 250_000
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -237,7 +237,13 @@ def exact(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold
 
 
 def near_groups(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    width: int = WORDS,
+    threshold: float = THRESHOLD,
+    block: int = BLOCK,
+    prune_block: int = PRUNE_BLOCK,
 ) -> DataFrame:
     """Each row's class, links and group of near duplicates.
 
@@ -258,7 +264,7 @@ def near_groups(
         .agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     )
     classes = materialize(classes, "near-classes")
-    clusters = materialize(candidate_clusters(classes, threshold, block), "near-clusters")
+    clusters = materialize(candidate_clusters(classes, threshold, prune_block), "near-clusters")
     found = materialize(verified(docs, classes, clusters, width, threshold, block), "near-links")
     groups = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("classes").alias("classes"))
