@@ -91,10 +91,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = materialize(windows(docs, min_words), "line-windows")
     place = F.struct("key", F.col("print_pos"))
     shared = found.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("print")
+    # Written down, the small side of either join is a shuffle of its own, and Spark can split a common line or run.
+    shared = materialize(shared, "line-prints")
     near = materialize(found.join(shared, "print", "left_semi").drop("print", "print_pos"), "line-matches")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
     first = near.groupBy("run").agg(F.min(order).alias("first"), F.max(order).alias("final")).filter("first <> final")
-    later = near.join(first.select("run", "first"), "run").filter(order > F.col("first")).select("key", "start", "end", "from", "to").distinct()
+    first = materialize(first.select("run", "first"), "line-firsts")
+    later = near.join(first, "run").filter(order > F.col("first")).select("key", "start", "end", "from", "to").distinct()
     by_start = Window.partitionBy("key").orderBy("from", "to")
     reach = F.max("to").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     opened = later.withColumn("new", F.coalesce(F.col("from") > reach + 1, F.lit(True)).cast("int"))
