@@ -75,6 +75,30 @@ def test_added_spans_never_touch_base_spans():
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+@pytest.mark.parametrize(
+    "found, kind",
+    [
+        ("jоhn@example.com", "email"),
+        ("john@example.cоm", "email"),
+        ("joe@example.com (dot) org", "email"),
+        ("+49 151 1234５６７８", "phone"),
+        ("john@ex.a\u200bmple.com", "email"),
+    ],
+)
+def test_disguised_parts_of_an_identifier_widen_it(found, kind):
+    text = f"a {found} z"
+    base, _, wider = pii.find_whole(text)
+    assert base == plain(text)
+    assert [text[a:b] for a, b in wider[kind]] == [found]
+    assert pii.masked(text) == f"a <{kind}> z"
+
+
+def test_wider_spans_are_among_the_added_ones_of_documents(docs):
+    row = pii.find_in_documents(docs([(1, "jоhn@example.com")])).first()
+    assert row["spans"] == "email:0:16,email:2:16" and [s["start"] for s in row["added"]] == [0]
+    assert row["base_sha256"] == hashlib.sha256(b"email:2:16").hexdigest()
+
+
 def test_long_texts_take_linear_time():
     for text in ("a" * 300_000 + "@", "1." * 150_000, "1 " * 150_000, "+" * 300_000, "+1(" * 100_000, "one " * 80_000, "é" * 300_000):
         assert pii.detect(text) == pii.detect(text + " ")

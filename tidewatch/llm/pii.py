@@ -220,10 +220,12 @@ def undo_disguises(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
-    """Spans of the text as it stands, and further spans that only deobfuscation shows.
+def find_whole(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
+    """Spans of the text as it stands, further spans that only deobfuscation shows, and wider ones.
 
-    A further span never overlaps one of the same kind. Null is the empty text.
+    A further span never overlaps one of the same kind. A wider span overlaps plain
+    spans of its kind and reaches beyond them: a disguise in a part of an identifier
+    leaves a plain fragment. Null is the empty text.
     """
     text = text or ""
     base = detect(text)
@@ -237,18 +239,29 @@ def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
             layers.append(Rewritten(now, edits))
             now = layers[-1].text
     more: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+    wider: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     for kind, spans in (detect(now) if layers else {}).items():
-        taken = sorted(base[kind])
+        plain, done = base[kind], 0  # mapped spans come in order and without overlap, as plain ones do
         for start, end in spans:
             changed = False
             for layer in reversed(layers):
                 changed |= layer.touched(start, end)
                 start, end = layer.span(start, end)
-            i = bisect.bisect_left(taken, (end, -1))
-            if changed and (i == 0 or taken[i - 1][1] <= start):
+            start = max(start, done)  # a replaced piece may be the end of one span and the start of the next
+            if not changed or start >= end:
+                continue
+            done = end
+            i = bisect.bisect_left(plain, (end, -1))
+            if i == 0 or plain[i - 1][1] <= start:
                 more[kind].append((start, end))
-                bisect.insort(taken, (start, end))
-    return base, more
+            elif plain[i - 1][0] > start or plain[i - 1][1] < end:
+                wider[kind].append((start, end))
+    return base, more, wider
+
+
+def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
+    """The first two of :func:`find_whole`: spans that never overlap within a kind."""
+    return find_whole(text)[:2]
 
 
 def listed(*found: dict[str, list[tuple[int, int]]]) -> str:
@@ -259,7 +272,10 @@ def listed(*found: dict[str, list[tuple[int, int]]]) -> str:
 
 
 def find_in_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, base spans (array of kind, start, end) and added spans of every row, whole texts."""
+    """doc_id, base spans (array of kind, start, end) and added spans of every row, whole texts.
+
+    Added spans are the further and the wider ones of :func:`find_whole`.
+    """
     small_batches(docs.sparkSession)
     rows = source(docs, doc_id=doc_id, text=text)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -268,7 +284,8 @@ def find_in_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         for b in batches:
             columns: list[list] = [[], [], [], []]
             for t in b["text"].to_pylist():
-                base, more = find(t)
+                base, more, wider = find_whole(t)
+                more = {k: sorted(more[k] + wider[k]) for k in KINDS}
                 for c, f in zip(columns, (base, more), strict=False):
                     c.append([{"kind": k, "start": s, "end": e} for k in KINDS for s, e in f[k]])
                 columns[2].append(hashlib.sha256(listed(base).encode()).hexdigest())
@@ -283,11 +300,10 @@ def find_in_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def masked(text: str | None) -> str | None:
-    """The text with a mark in place of every span; where spans overlap, of the longest first."""
+    """The text with a mark in place of every span; overlapping spans get one mark, of the first and longest."""
     if not text:
         return text
-    base, more = find(text)
-    spans = sorted(((s, e, k) for f in (base, more) for k in KINDS for s, e in f[k]), key=lambda x: (x[0], -x[1]))
+    spans = sorted(((s, e, k) for f in find_whole(text) for k in KINDS for s, e in f[k]), key=lambda x: (x[0], -x[1]))
     out, done = [], 0
     for start, end, kind in spans:
         if start >= done:
