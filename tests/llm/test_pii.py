@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from conftest import odd_rows
@@ -93,6 +94,42 @@ def test_disguised_parts_of_an_identifier_widen_it(found, kind):
     assert pii.masked(text) == f"a <{kind}> z"
 
 
+@pytest.mark.parametrize(
+    "found, kind",
+    [
+        ("+49 one 5 one 2 three 4 5678", "phone"),
+        ("plus four nine 151 two three 4 five 678", "phone"),
+        ("plus  four four   two oh seven one\ntwo three four", "phone"),
+        ("4111 1111 1111 one 1 one 1", "card"),
+        ("four111 1111 1111 1111", "card"),
+        ("192 dot 1 six eight dot one   dot\none", "ip"),
+        ("john at example dot com", "email"),
+        ("john  at\nexample  dot\tcom", "email"),
+        ("john [at]\n  example    [dot] com", "email"),
+        ("john dot smith at example dot com", "email"),
+        ("john dot q dot smith @ example.com", "email"),
+        ("j" * 80 + " at " + " dot ".join("abcdefgh") + " dot " + "k" * 70, "email"),
+    ],
+)
+def test_mixed_and_long_disguises_are_found_as_a_whole(found, kind):
+    base, more, _ = pii.find_whole(f"a: {found} z")
+    assert not base[kind] and [f"a: {found} z"[a:b] for a, b in more[kind]] == [found]
+
+
+@pytest.mark.parametrize("text", ["10.0.0.1 one two", "for one two@x.com", "see a@x.one two three", "one two.b@x.com", "one\ntwo@x.com", "+1 555 123 4567, one of us"])
+def test_spelled_digits_leave_addresses_beside_them_alone(text):
+    base, more, wider = pii.find_whole(text)
+    assert any(base.values()) and not any(more.values()) and not any(wider.values())
+
+
+@pytest.mark.parametrize("piece", ["one 1 ", "1 ", "one ", " ", "one" + " " * 50, "a dot ", "a at ", "at dot ", "a at b dot ", "x at a . at . ", "1 dot ", "plus ", "- ", "[ "])
+def test_disguises_take_linear_time(piece):
+    text = piece * (400_000 // len(piece)) + "one dot at @ x"
+    start = time.process_time()
+    pii.undo_disguises(text)
+    assert time.process_time() - start < 10
+
+
 def test_wider_spans_are_among_the_added_ones_of_documents(docs):
     row = pii.find_in_documents(docs([(1, "jоhn@example.com")])).first()
     assert row["spans"] == "email:0:16,email:2:16" and [s["start"] for s in row["added"]] == [0]

@@ -182,13 +182,91 @@ _AT = "at|@|arroba|arobase"
 _DOT = r"dot|\.|punkt|punto|point"
 
 _SPOKEN = "(?:" + "|".join(SPOKEN) + ")"
-_RUN = re.compile(rf"\b(?:(plus)[ -]{{1,2}})?({_SPOKEN}(?:[ ,-]{{1,2}}{_SPOKEN}){{2,}})\b")
-_PLUS = re.compile(r"\bplus {0,2}(?=[0-9])")
-_PART = rf"(?:[0-9]{{1,3}}|{_SPOKEN}(?:[ -]{_SPOKEN}){{0,2}})"
-_SPOKEN_IP = re.compile(rf"\b{_PART}(?: {{0,2}}(?:\bdot\b|\bpoint\b|[\[(]dot[\])]) {{0,2}}{_PART}){{3}}\b")
-_BRACKETED = re.compile(rf"(?<=[a-z0-9_]) {{0,2}}[(\[{{<] {{0,2}}(?:({_AT})|(?:{_DOT})) {{0,2}}[)\]}}>] {{0,2}}(?=[a-z0-9])")
-_SAID = re.compile(r"(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}( at | @ )[a-z0-9-]{1,63}(?:(?: dot | \. |\.)[a-z0-9-]{1,63}){1,6}(?![a-z0-9-])")
-_SAID_DOT = re.compile(r" dot | \. ")
+_WORD = re.compile(_SPOKEN + r"(?![^\W\d]|@|[._%+][^\W_])")
+_GAP = re.compile(r"\s*+(?:[,-]\s*+){0,2}")  # between two spelled digits
+_MIXED = re.compile(r"[^\S\n]*+(?:-[^\S\n]*+)?")  # between a spelled and a numeric one, also backwards
+_NUMERALS = frozenset("0123456789")
+_PLUS = re.compile(r"\bplus[^\S\n]*+(?=[0-9])")
+_PART = rf"(?:(?:[0-9]{{1,2}}[ -]?)?{_SPOKEN}(?:[ -]?(?:{_SPOKEN}|[0-9]{{1,2}})){{0,2}}|[0-9]{{1,3}})"
+_SPOKEN_IP = re.compile(rf"\b{_PART}(?:\s*+(?:\bdot\b|\bpoint\b|[\[(]dot[\])])\s*+{_PART}){{3}}\b")
+_IN_IP = re.compile(rf"{_SPOKEN}|\s*+[\[(]?(?:dot|point)[\])]?\s*+|[ -]")
+_BRACKETED = re.compile(rf"(?<=[a-z0-9_])\s*+[(\[{{<]\s*+(?:({_AT})|(?:{_DOT}))\s*+[)\]}}>]\s*+(?=[a-z0-9])")
+_SAID_AT = re.compile(r"(?<=[a-z0-9._%+-])\s++(at|@)(?=(\s++)[a-z0-9-])")
+_SAID_DOMAIN = re.compile(r"[a-z0-9-]++(?:(?:\s++dot\s++|[^\S\n]++\.[^\S\n]++|\.)[a-z0-9-]++)++")
+_SAID_DOT = re.compile(r"(?<!\s)\s++(dot|\.)\s++")
+_SAID_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
+def _back(text: str, at: int, floor: int, over) -> int:
+    """Where the stretch of characters that are ``over`` and end before ``at`` begins."""
+    while at > floor and over(text[at - 1]):
+        at -= 1
+    return at
+
+
+def said_addresses(low: str) -> list[tuple[int, int, str]]:
+    """Edits for "x dot y at z dot w": a sign first, then its domain, then its local part, so nothing is walked again and again."""
+    edits: list[tuple[int, int, str]] = []
+    floor = 0
+    for m in _SAID_AT.finditer(low):
+        domain = _SAID_DOMAIN.match(low, m.end(2)) if m.start() > floor else None
+        if not domain:
+            continue
+        dots = list(_SAID_DOT.finditer(low, *domain.span()))
+        changed = [(d.start(), d.end(), ".") for d in dots]
+        said = any(d.group(1) == "dot" for d in dots)
+        start = _back(low, m.start(), floor, _SAID_LOCAL.__contains__)
+        while True:  # words of the local part, from the last to the first
+            end = _back(low, start, floor, str.isspace)
+            if end == start or end - 4 <= floor or low[end - 3 : end] != "dot":
+                break
+            word = _back(low, end - 3, floor, str.isspace)
+            if word == end - 3 or word == floor or low[word - 1] not in _SAID_LOCAL:
+                break
+            changed.append((word, start, "."))
+            said, start = True, _back(low, word, floor, _SAID_LOCAL.__contains__)
+        if said or m.group(1) == "@":  # "look at it.then" is prose
+            edits += [(m.start(), m.end(2), "@"), *changed]
+            floor = domain.end()
+    return edits
+
+
+def spelled_digits(low: str) -> list[tuple[int, int, str]]:
+    """Edits for every spelled digit that adjoins another digit, spelled or numeric.
+
+    What lies between two spelled ones goes; beside a numeric one a single blank or
+    hyphen stays, as between two numeric ones, and a longer gap becomes one blank.
+    Words that belong to an address as it stands are left alone.
+    """
+    edits: list[tuple[int, int, str]] = []
+
+    def free(c: str) -> bool:
+        return c not in "_@.%" and (not c.isalnum() or c.isdecimal())
+
+    words = [m.span() for m in _WORD.finditer(low) if m.start() == 0 or free(low[m.start() - 1])]
+    joined = False  # to the word before
+    for (start, end), (following, _) in zip(words, [*words[1:], (-1, 0)], strict=False):
+        joins = _GAP.match(low, end).end() == following
+        gaps = [(end, following, "")] if joins else []
+        left = 0
+        if not joined:
+            left = _back(low, start, 0, lambda c: c == "-" or c != "\n" and c.isspace())
+            if left and low[left - 1] in _NUMERALS and _MIXED.fullmatch(low, left, start):
+                gaps.append((left, start, " "))
+            else:
+                left = 0
+        right = 0 if joins else _MIXED.match(low, end).end()
+        if right and low[right : right + 1] in _NUMERALS:
+            gaps.append((end, right, " "))
+        if joined or gaps:
+            edits.append((start, end, SPOKEN[low[start:end]]))
+            edits += [(a, b, new) for a, b, new in gaps if a < b and (not new or low[a:b] not in (" ", "-"))]
+            if not joined and not left:
+                sign = _back(low, start, 0, lambda c: c == "-" or c.isspace())
+                if sign < start and low[max(sign - 4, 0) : sign] == "plus" and (sign == 4 or free(low[sign - 5])):
+                    edits.append((sign - 4, start, "+"))
+        joined = joins
+    return edits
 
 
 def undo_disguises(text: str) -> list[tuple[int, int, str]]:
@@ -199,22 +277,13 @@ def undo_disguises(text: str) -> list[tuple[int, int, str]]:
     edits: list[tuple[int, int, str]] = []
     if "dot" in low or "point" in low:
         for m in _SPOKEN_IP.finditer(low):
-            for w in re.finditer(rf"{_SPOKEN}| {{0,2}}[\[(]?(?:dot|point)[\])]? {{0,2}}|[ -]", m.group()):
+            for w in _IN_IP.finditer(m.group()):
                 edits.append((m.start() + w.start(), m.start() + w.end(), SPOKEN.get(w.group(), "." if "o" in w.group() else "")))
     if any(c in low for c in "([{<"):
         edits += [(m.start(), m.end(), "@" if m.group(1) else ".") for m in _BRACKETED.finditer(low)]
-    if " at " in low and " dot " in low or " @ " in low:
-        for m in _SAID.finditer(low):
-            if m.group(1) == " at " and " dot " not in m.group():
-                continue  # "look at it.then" is prose
-            edits.append((*m.span(1), "@"))
-            edits += [(m.end(1) + d.start(), m.end(1) + d.end(), ".") for d in _SAID_DOT.finditer(low[m.end(1) : m.end()])]
-    for m in _RUN.finditer(low):
-        if m.group(1):
-            edits.append((m.start(1), m.start(2), "+"))
-        at = m.start(2)
-        for w in re.finditer(rf"{_SPOKEN}|[ ,-]+", m.group(2)):
-            edits.append((at + w.start(), at + w.end(), SPOKEN.get(w.group(), "")))
+    if "dot" in low or "@" in low:
+        edits += said_addresses(low)
+    edits += spelled_digits(low)
     if "plus" in low:
         edits += [(m.start(), m.end(), "+") for m in _PLUS.finditer(low)]
     return edits
