@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from tidewatch.llm.urls import RULES, filter_urls
 
 SCHEMA = "page_id long, url string, host string, node string"
@@ -58,6 +60,29 @@ def test_similar_branches_merge_and_others_do_not(spark):
     assert got["en"] == got["fr"] == got["es"] == "s.example.com/{en|es|fr}/<n>" and got["de"] == "s.example.com/de/<n>"
 
 
+@pytest.mark.parametrize("sections", [3, 16, 17, 40])
+def test_frequent_branches_stay_apart_at_any_number(spark, sections):
+    names = ["de", *("s" + chr(97 + k // 26) + chr(97 + k % 26) for k in range(sections - 1))]
+    urls = [f"https://x.example.com/{s}/{k}" for s in names for k in range(20)] + [f"https://x.example.com/{'z' * k}" for k in range(4, 40)]
+    got = judge(spark, urls)
+    assert all(r["verdict"] == ("block" if r["path"].startswith("/de/") else "allow") for r in got)
+    assert {r["template"] for r in got if r["path"].startswith("/de/")} == {"x.example.com/de/<n>"}
+    assert {r["template"] for r in got if r["path"].startswith("/z")} == {"x.example.com/*"}
+    assert len({r["template"] for r in got}) == 3
+
+
+def test_branches_below_a_merged_one_and_below_four_levels_stay(spark):
+    urls = [f"https://a.com/post/{k}" for k in range(30)] + [f"https://a.com/tag/{'x' * (k + 1)}" for k in range(30)]
+    got = {r["path"].split("/")[1]: r["template"] for r in judge(spark, urls)}
+    assert got == {"post": "a.com/{post|tag}/<n>", "tag": "a.com/{post|tag}/*"}
+    rules = (("block", "b.com/a/b/c/d/bad/1"), ("allow", "b.com/a/b/c/d/good/1"))
+    urls = [f"https://b.com/a/b/c/d/{s}/{k}" for s in ("bad", "good") for k in range(100, 230)]
+    rows = [(k, u, "h", "n") for k, u in enumerate(urls)]
+    got = filter_urls(spark.createDataFrame(rows, SCHEMA), rules=rules).collect()
+    assert all((r["verdict"] == "block") == ("/bad/" in r["path"]) for r in got)
+    assert {r["template"] for r in got} == {"b.com/a/b/c/d/bad/<n>", "b.com/a/b/c/d/good/<n>"}
+
+
 def test_odd_rows(spark):
     deep = "https://d.com/" + "/".join(f"s{k}" for k in range(3000))
     got = judge(spark, [deep, deep, None, None, "https://d.com//a//", "://"])

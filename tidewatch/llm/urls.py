@@ -1,15 +1,18 @@
 """URL filter: rules first, then a tree of path templates for every host.
 
-The tree grows level by level. At a node a segment is *variable* if it is a number
-or if the node has too many different children for their pages; variable segments
-become one wildcard. The few others are branches; branches next to each other in
-their share of blocked pages are merged while a two-proportion test cannot tell
-them apart. A template is a path from the root; it is rejected if the smoothed
-share of blocked pages among its labelled ones is high enough.
+The tree grows level by level until no path has segments left; segments that all
+paths of a node share are taken in one step. Numbers in a segment are *variable*.
+So are the infrequent children of a node that has too many different ones for
+their pages: they become one wildcard. All others are branches, however many;
+branches next to each other in their share of blocked pages are merged while a
+two-proportion test cannot tell them apart. A template is a path from the root; it
+is rejected if the smoothed share of blocked pages among its labelled ones is high
+enough.
 
 Each level is an aggregation by (host, node, segment), combined before its
-shuffle, so a host with a third of all pages is counted in every task. Only nodes
-with few children get as far as a window, which holds those children alone.
+shuffle, so a host with a third of all pages is counted in every task. Children of
+a node with equal counts always merge, so the window that compares neighbours
+holds one row for every different pair of counts, not for every child.
 """
 
 from __future__ import annotations
@@ -22,12 +25,13 @@ from tidewatch.llm.common import materialize, source, table
 
 #: (verdict, host and path); a rule fits its host and all subdomains.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Levels of a tree; what lies deeper is one last segment.
-DEPTH = 4
 #: A node with more children than this, or with fewer than two pages a child, has a variable segment.
+#: A merged branch of more children is named by its first one and their number.
 CHILDREN = 16
 #: Two branches differ if their shares lie this many standard errors apart.
 Z = 1.96
+#: Children with fewer pages are infrequent: ``Z`` cannot tell all blocked from none blocked among 3 pages each, but among 4.
+ENOUGH = 4
 #: Weight of the prior, and the share of blocked pages from which a template is rejected.
 PRIOR_PAGES, REJECT = 4.0, 0.8
 
@@ -53,35 +57,52 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _level(paths: DataFrame, depth: int) -> DataFrame:
-    """``paths`` (host, path, node, rest, pages, blocked, allowed) one segment further down."""
-    last = F.array_join("rest", "/") if depth == DEPTH else F.element_at("rest", 1)
-    step = paths.withColumn("seg", F.when(F.size("rest") == 0, F.lit(None)).otherwise(last))
-    step = step.withColumn("rest", F.array().cast("array<string>") if depth == DEPTH else F.slice("rest", 2, 1_000_000))
-    step = step.withColumn("seg", F.regexp_replace("seg", r"[0-9]+", "<n>"))
-    sums = [F.sum(c).alias(c) for c in ("pages", "blocked", "allowed")]
-    children = step.filter("seg IS NOT NULL").groupBy("host", "node", "seg").agg(*sums)
-    nodes = children.groupBy("host", "node").agg(
-        F.count(F.lit(1)).alias("kinds"), F.sum("pages").alias("all")
-    ).withColumn("variable", (F.col("kinds") > CHILDREN) | ((F.col("all") >= 4) & (F.col("kinds") * 2 > F.col("all"))))
-    few = children.join(nodes.filter("NOT variable").select("host", "node"), ["host", "node"])
-    share = (F.col("blocked") + 0.5) / (F.col("pages") + 1)
-    siblings = Window.partitionBy("host", "node").orderBy("share", "seg")  # at most CHILDREN rows
-    few = few.withColumn("share", share)
-    before, size = F.lag("share").over(siblings), F.lag("pages").over(siblings)
-    few = few.withColumn("was", before).withColumn("size", size)
+def _jump(paths: DataFrame) -> DataFrame:
+    """``paths`` moved on over the segments that all paths of their node share."""
+    ends = paths.groupBy("host", "node").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+    differ = F.array_position(F.zip_with("lo", "hi", lambda x, y: x == y), F.lit(False))
+    shared = F.when(differ == 0, F.size("lo")).otherwise(differ - 1).cast("int")
+    ends = ends.select("host", "node", F.slice("lo", F.lit(1), shared).alias("shared"))
+    moved = F.concat("node", F.array_join(F.transform("shared", lambda x: F.concat(F.lit("/"), x)), ""))
+    rest = F.slice("rest", F.size("shared") + 1, F.size("rest"))
+    return paths.join(ends, ["host", "node"]).select("host", "path", moved.alias("node"), rest.alias("rest"), "pages", "blocked", "allowed")
+
+
+def _branches(children: DataFrame) -> DataFrame:
+    """host, node, seg and branch of the frequent ``children`` (host, node, seg, pages, blocked)."""
+    pairs = children.groupBy("host", "node", "pages", "blocked").agg(F.count(F.lit(1)).alias("segs"))
+    pairs = pairs.withColumn("share", (F.col("blocked") + 0.5) / (F.col("pages") + 1))
+    siblings = Window.partitionBy("host", "node").orderBy("share", "pages", "blocked")
+    pairs = pairs.withColumn("was", F.lag("share").over(siblings)).withColumn("size", F.lag("pages").over(siblings))
     pooled = (F.col("share") * F.col("pages") + F.col("was") * F.col("size")) / (F.col("pages") + F.col("size"))
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("pages") + 1 / F.col("size")))
-    few = few.withColumn("new", F.coalesce(F.col("share") - F.col("was") > Z * error, F.lit(True)).cast("int"))
-    few = few.withColumn("nth", F.sum("new").over(siblings.rowsBetween(Window.unboundedPreceding, 0)))
-    group = Window.partitionBy("host", "node", "nth")
-    few = few.withColumn("names", F.array_sort(F.collect_list("seg").over(group)))
-    name = F.when(F.size("names") == 1, F.col("seg")).otherwise(F.concat(F.lit("{"), F.array_join("names", "|"), F.lit("}")))
-    branches = few.select("host", "node", "seg", name.alias("branch"))
-    step = step.join(nodes.select("host", "node", "variable"), ["host", "node"], "left").join(branches, ["host", "node", "seg"], "left")
-    branch = F.when(F.col("variable"), F.lit("*")).otherwise(F.col("branch"))
-    grown = F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), branch))
-    return step.withColumn("node", grown).select("host", "path", "node", "rest", "pages", "blocked", "allowed")
+    pairs = pairs.withColumn("new", F.coalesce(F.col("share") - F.col("was") > Z * error, F.lit(True)).cast("int"))
+    pairs = pairs.withColumn("nth", F.sum("new").over(siblings.rowsBetween(Window.unboundedPreceding, 0)))
+    pairs = pairs.withColumn("members", F.sum("segs").over(Window.partitionBy("host", "node", "nth")))
+    named = children.join(pairs.select("host", "node", "pages", "blocked", "nth", "members"), ["host", "node", "pages", "blocked"])
+    few = F.col("members") <= CHILDREN  # the names of a larger branch are never gathered
+    groups = named.groupBy("host", "node", "nth").agg(
+        F.array_sort(F.collect_list(F.when(few, F.col("seg")))).alias("names"), F.min("seg").alias("least"), F.max("members").alias("members")
+    )
+    listed = F.concat(F.lit("{"), F.array_join("names", "|"), F.lit("}"))
+    counted = F.concat(F.lit("{"), F.col("least"), F.lit("|..."), F.col("members").cast("string"), F.lit("}"))
+    name = F.when(F.col("members") == 1, F.col("least")).when(few, listed).otherwise(counted)
+    return named.join(groups.select("host", "node", "nth", name.alias("branch")), ["host", "node", "nth"]).select("host", "node", "seg", "branch")
+
+
+def _level(paths: DataFrame) -> DataFrame:
+    """``paths`` (host, path, node, rest, pages, blocked, allowed), none at its end, down to the next nodes."""
+    step = materialize(_jump(paths), "url-shared").withColumn("seg", F.get("rest", F.lit(0)))
+    children = step.filter("seg IS NOT NULL").groupBy("host", "node", "seg").agg(F.sum("pages").alias("pages"), F.sum("blocked").alias("blocked"))
+    children = materialize(children, "url-children")
+    nodes = children.groupBy("host", "node").agg(F.count(F.lit(1)).alias("kinds"), F.sum("pages").alias("all"))
+    nodes = nodes.withColumn("variable", (F.col("kinds") > CHILDREN) | ((F.col("all") >= 4) & (F.col("kinds") * 2 > F.col("all"))))
+    children = children.join(nodes.select("host", "node", "variable"), ["host", "node"])
+    frequent = _branches(children.filter(~F.col("variable") | (F.col("pages") >= ENOUGH)).drop("variable"))
+    step = step.join(frequent, ["host", "node", "seg"], "left")
+    grown = F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), F.coalesce("branch", F.lit("*"))))
+    rest = F.slice("rest", F.lit(2), F.size("rest"))
+    return step.select("host", "path", grown.alias("node"), rest.alias("rest"), "pages", "blocked", "allowed")
 
 
 def templates(judged: DataFrame) -> DataFrame:
@@ -91,11 +112,13 @@ def templates(judged: DataFrame) -> DataFrame:
         F.count(F.when(F.col("verdict") == "block", 1)).alias("blocked"),
         F.count(F.when(F.col("verdict") == "allow", 1)).alias("allowed"),
     )
-    paths = paths.withColumn("node", F.lit("")).withColumn("rest", F.filter(F.split("path", "/"), lambda s: s != ""))
-    for depth in range(1, DEPTH + 1):
-        paths = materialize(paths, "url-paths")
-        paths = _level(paths, depth)
-    return materialize(paths, "url-templates")
+    segments = F.split(F.regexp_replace("path", r"[0-9]+", "<n>"), "/")
+    paths = materialize(paths.withColumn("node", F.lit("")).withColumn("rest", F.filter(segments, lambda s: s != "")), "url-paths")
+    done = paths.filter(F.size("rest") == 0)
+    while not (left := paths.filter(F.size("rest") > 0)).isEmpty():
+        paths = materialize(_level(left), "url-paths")
+        done = done.unionByName(paths.filter(F.size("rest") == 0))
+    return materialize(done.drop("rest"), "url-templates")
 
 
 def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
