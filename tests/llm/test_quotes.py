@@ -44,3 +44,22 @@ def test_odd_rows(spark):
 def test_long_chain_is_one_thread(spark):
     rows = [(1, t, "u", f"line {t}\n> line {t - 1}") for t in range(60)]
     assert [(r["reply_to"], r["thread"]) for r in link(spark, rows)] == [(None, 0)] + [(t - 1, 0) for t in range(1, 60)]
+
+
+LONG = "The boat left the harbour at nine in the morning, with all of the crew on board"
+
+
+def test_deeper_quotes_rewrapped_quotes_and_latest_owners_link(spark):
+    rows = [
+        (1, 0, "u", f"Hello there.\n{LONG} and nobody ashore."),
+        (1, 1, "u", "> > Hello there.\nagain"),  # level 2 alone
+        (1, 2, "u", "> The boat left the harbour\n> at nine in the\n> morning, with all of the crew\nreally"),  # wrapped anew
+        (1, 3, "u", "> Hello\n> there.\nshort"),
+        (1, 4, "u", "Hello there."),
+        (1, 5, "u", "> Hello there.\nlatest owner"),
+        (1, 6, "u", "Hello there.\n> hello there."),  # not itself
+        (1, 7, "u", f"> > {LONG}\n> latest owner\nlevel 1 first"),
+        (1, 8, "u", "> yes, we said there. was no boat\nno"),  # short own lines within an unknown quote
+        (1, 9, "u", f"> Hello there.\n> {LONG}\nmost words"),
+    ]
+    assert [r["reply_to"] for r in link(spark, rows)] == [None, 0, 0, 0, None, 4, 4, 5, None, 0]

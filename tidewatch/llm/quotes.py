@@ -1,22 +1,25 @@
 """Quotation linking of conversations, in DataFrame operations alone.
 
 A message is cut into lines. The marks ``>`` before a line give its quote level; a
-line of level 0 is the message's own. Own lines are hashed after normalisation,
-and the earliest message of a conversation that owns a line is its original.
-Lines quoted at level 1 join to their originals; the message that most quoted
-words come from is the one replied to. Replies make trees; a conversation in
-reply order goes through its trees, oldest first, and each of them by turn.
-
-An original is one row for a line, found by an aggregation that is combined
-before its shuffle, so no quoting is paired with another. A conversation of any
-size is never gathered: its messages stay rows, and trees are found by
-:func:`~tidewatch.llm.common.components`.
+line of level 0 is the message's own. Lines of one level are joined to one text, so
+a quote that a mail client wrapped anew still fits. Every ``WORDS`` words in a row
+are hashed, and shorter lines and sentences as a whole. A quoted piece joins to the
+latest earlier message of its conversation that has it among its own words; the
+message that most quoted words of level 1 come from is the one replied to, or of
+the next level where nothing of a level is known. Replies make trees; a
+conversation in reply order goes through its trees, oldest first, and each of them
+by turn.
+
+Quoted pieces and their owners meet in one stream ordered by turn, so no quoting is
+paired with another. A conversation of any size is never gathered: its messages
+stay rows, and trees are found by :func:`~tidewatch.llm.common.components`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewatch.llm.common import components, materialize, source, table
 
@@ -25,6 +28,10 @@ _MARKS = r"^((?:[ \t]*>)+)"
 _INTRO = r"^(?:On|Am|Le|El) .{1,200}(?:wrote|schrieb|écrit|escribió)[^:]{0,80}:$"
 
 
+#: Words of a piece; shorter lines and sentences are pieces as they are.
+WORDS = 5
+
+
 def level(line: Column) -> Column:
     """How many quote marks a line begins with."""
     return F.length(F.regexp_replace(F.regexp_extract(line, _MARKS, 1), r"[ \t]", ""))
@@ -34,9 +41,13 @@ def content(line: Column) -> Column:
     return F.regexp_replace(line, _MARKS + " ?", "")
 
 
-def normalised(line: Column) -> Column:
-    """What of a line counts when lines are compared: letters without case, white space as one blank."""
-    return F.lower(F.trim(F.regexp_replace(content(line), r"\s+", " ")))
+def passage(lines: Column, at: Column) -> Column:
+    """The text of one level in lower case; a blank line where lines of another level stood."""
+    return F.lower(F.array_join(F.transform(lines, lambda x: F.when(x["level"] == at, content(x["line"])).otherwise("")), "\n"))
+
+
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
 def lines_of(text: Column) -> Column:
@@ -57,6 +68,48 @@ def own_text(lines: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(own, r"\A\s*\n|\s+\z", ""), r"\n(?:[ \t]*\n){2,}", "\n\n")
 
 
+def pieces(messages: DataFrame) -> DataFrame:
+    """uid, conv_id, turn, level, hash, start and size (in words of the level's text) of every piece of ``text``."""
+    keys = ["uid", "conv_id", "turn", "level"]
+    in_order = Window.partitionBy("uid", "level").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+
+    def short(cut: Column) -> DataFrame:
+        each = messages.select(*keys, F.posexplode(cut).alias("nth", "piece")).withColumn("words", words_of(F.col("piece")))
+        each = each.withColumn("size", F.size("words")).withColumn("start", F.coalesce(F.sum("size").over(in_order), F.lit(0)))
+        each = each.filter((F.col("size") > 0) & (F.col("size") < WORDS))
+        return each.select(*keys, F.md5(F.array_join("words", " ")).alias("hash"), F.col("start").cast("int").alias("start"), "size")
+
+    lines = short(F.split("text", "\n"))
+    sentences = short(F.split("text", r"(?<=[.!?])\s+|\n\s*\n"))
+    words = messages.select(*keys, words_of(F.col("text")).alias("words")).filter(F.size("words") >= WORDS)
+    windows = F.transform(F.sequence(F.lit(0), F.size("words") - WORDS), lambda i: F.md5(F.array_join(F.slice("words", i + 1, WORDS), " ")))
+    runs = words.select(*keys, F.posexplode(windows).alias("start", "hash")).select(*keys, "hash", "start", F.lit(WORDS).alias("size"))
+    return lines.union(sentences).union(runs).withColumn("hash", F.unhex("hash"))
+
+
+def reply_votes(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, level, from and words: how many quoted words of a level come from which message."""
+    rows = rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL").withColumn("uid", F.monotonically_increasing_id())
+    levels = F.array_distinct(F.transform("lines", lambda x: x["level"]))
+    quoting = rows.select("uid", "conv_id", "turn", "lines", F.explode(F.filter(levels, lambda x: x > 0)).alias("level"))
+    text = passage(F.col("lines"), F.col("level")).alias("text")
+    quoted = materialize(pieces(quoting.select("uid", "conv_id", "turn", "level", text)), "chat-quoted")
+    # Only conversations with quotes are cut into own pieces, and only pieces that are quoted are kept.
+    own = rows.withColumn("level", F.lit(0)).join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
+    own = pieces(own.select("uid", "conv_id", "turn", "level", text)).select("conv_id", "hash", "turn").distinct()
+    own = own.join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
+    asked = quoted.select("conv_id", "hash", "turn").distinct().withColumn("own", F.lit(0))
+    # A message never answers itself: its question comes before its own piece.
+    before = Window.partitionBy("conv_id", "hash").orderBy("turn", "own")
+    owners = own.withColumn("own", F.lit(1)).unionByName(asked)
+    owners = owners.withColumn("from", F.last(F.when(F.col("own") == 1, F.col("turn")), ignorenulls=True).over(before))
+    owners = owners.filter("own = 0 AND `from` IS NOT NULL").select("conv_id", "hash", "turn", "from")
+    found = quoted.join(owners, ["conv_id", "hash", "turn"])
+    found = found.withColumn("word", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)))
+    found = found.select("conv_id", "turn", "level", "from", "uid", "word").distinct()
+    return found.groupBy("conv_id", "turn", "level", "from").agg(F.count(F.lit(1)).alias("words"))
+
+
 def link_quotes(
     messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
@@ -65,21 +118,15 @@ def link_quotes(
     conv_id, turn, role, reply_to (turn of the message replied to), thread (turn of
     the tree's first message), n_quoted (lines), depth (deepest level) and text
     without quotes. Sorted by (conv_id, thread, turn) a conversation reads in reply
-    order. Only earlier messages of the same conversation are replied to; where
-    two give as many words, the later one. Messages that quote nothing known begin
+    order. Only earlier messages of the same conversation are replied to; the latest
+    that has the quoted words, and where two give as many words, the later one. Messages that quote nothing known begin
     a tree. Null ids or turns link with nothing, null texts have no lines, and rows
     with the same id and turn are one message with the lines of all.
     """
     rows = source(messages, conv_id=conv_id, turn=turn, role=role, text=text).withColumn("lines", lines_of(F.col("text")))
     rows = materialize(rows, "chat-lines")
-    each = rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("lines").alias("x"))
-    each = each.select("conv_id", "turn", F.col("x.level").alias("level"), normalised(F.col("x.line")).alias("line")).filter("line <> ''")
-    each = each.withColumn("hash", F.unhex(F.md5("line"))).withColumn("words", F.size(F.split("line", " ")))
-    originals = each.filter("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("from"))
-    quoted = each.filter("level = 1").groupBy("conv_id", "turn", "hash").agg(F.max("words").alias("words"))
-    votes = quoted.join(originals, ["conv_id", "hash"]).filter(F.col("from") < F.col("turn"))
-    votes = votes.groupBy("conv_id", "turn", "from").agg(F.sum("words").alias("words"))
-    replies = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("words", "from"))["from"].alias("reply_to"))
+    best = F.max(F.struct((-F.col("level")).alias("near"), "words", "from"))
+    replies = reply_votes(rows).groupBy("conv_id", "turn").agg(best["from"].alias("reply_to"))
     replies = materialize(replies, "chat-replies")
     edges = replies.select(F.struct("conv_id", "turn").alias("a"), F.struct("conv_id", F.col("reply_to").alias("turn")).alias("b"))
     trees = components(edges).select(F.col("node.conv_id").alias("conv_id"), F.col("node.turn").alias("turn"), F.col("root.turn").alias("thread"))
