@@ -1,4 +1,4 @@
-"""Line dedup by winnowing, in DataFrame operations alone.
+"""Line dedup by whole windows of lines, in DataFrame operations alone.
 
 A *run* is a series of consecutive lines of one document; blank lines do not count.
 The rule: a line goes if it lies in a run of at least ``min_words`` words that
@@ -8,8 +8,8 @@ Windows are measured in words: from each line forward, and from each line back,
 to the shortest run of ``min_words`` words. Any line of a repeated run lies in such
 a window inside the run, so looking at windows finds all of it. A window's
 smallest line hash is its fingerprint. Only fingerprints met in two places go on
-to the comparison of whole windows, which extends the match to the lines before
-and after the fingerprint. Windows that overlap or adjoin then make up maximal
+to the comparison of whole windows by hash, which alone decides: no subset of
+fingerprints is selected and no match is extended line by line. Windows that overlap or adjoin then make up maximal
 runs, and the blank lines within them go too.
 
 A fingerprint or a window that a third of the corpus shares is met once in each
