@@ -48,3 +48,17 @@ def test_contamination_rule(docs, spark):
     rows = [(n, f"{item} {prose(50, n - 13, 10**9)}".strip()) for n in (13, 260, 261)]
     out = found(docs, spark, rows, [("a", item, "")]).select("doc_id", d.hit_words().alias("n"), d.contaminated().alias("c"))
     assert {r["doc_id"]: (r["n"], r["c"]) for r in out.collect()} == {13: (13, True), 260: (13, True), 261: (13, False)}
+
+
+def test_blocks_carry_numbers_and_shared_windows_find_all_items(docs, spark):
+    template = prose(3, 30)
+    items = [(f"i{k:03}", f"{template} {prose(100 + k, 15, 10**9)}", "") for k in range(200)]
+    bench = spark.createDataFrame(items, "item_id string, text string, spans string")
+    blocks, owners = d.benchmark_blocks(bench, "item_id", "text", 13, 100_000)
+    rows = [r for b in blocks for r in b.collect()]
+    assert all(isinstance(r["number"], int) and len(r) == 2 for r in rows)
+    shared = {r["number"] for r in rows if r["gram"] in template}
+    assert len(shared) == 1 and owners.filter(owners["number"] == shared.pop()).count() == 200
+    out = d.find_contamination(docs([(1, template), (2, items[7][1]), (2, items[7][1]), (3, "clean")]), bench).collect()
+    every = [i for i, _, _ in items]
+    assert sorted((r["doc_id"], r["__found"]["items"]) for r in out) == [(1, every), (2, every), (2, every), (3, [])]

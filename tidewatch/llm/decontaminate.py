@@ -2,8 +2,10 @@
 
 A task turns each text into words, looks for runs of words that benchmarks use at
 all, and slides windows over those runs only. A window is looked up as the words
-themselves, so a hit is verified by being found. No shuffle takes place.
+themselves, so a hit is verified by being found.
 
+What is broadcast is a number for each window, never its items: windows of the same
+items share a number, and rows with hits join their numbers to the items afterwards.
 The broadcast set has a bound: ``block_windows`` windows. A larger benchmark is
 cut by hash into blocks that keep the bound, and the documents are scanned once a
 block; what earlier blocks found travels with the row. So every size is exact.
@@ -16,7 +18,7 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,22 +47,22 @@ def windows(text: str | None, width: int = WIDTH) -> list[tuple[str, ...]]:
 
 
 class Windows:
-    """A block of windows: by length, each with its items, and the words they use."""
+    """A block of windows: by length, each with its number, and the words they use."""
 
-    def __init__(self, rows: list[tuple[str, list[str]]]):
-        self.items: dict[int, dict[tuple[str, ...], tuple[str, ...]]] = {}
+    def __init__(self, rows: list[tuple[str, int]]):
+        self.items: dict[int, dict[tuple[str, ...], int]] = {}
         self.vocabulary: set[str] = set()
-        for text, ids in rows:
+        for text, number in rows:
             gram = tuple(text.split(" "))
-            self.items.setdefault(len(gram), {})[gram] = tuple(ids)
+            self.items.setdefault(len(gram), {})[gram] = number
             self.vocabulary.update(gram)
 
-    def find(self, w: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Merged word spans (start, end) covered by windows, and the items they are from."""
+    def find(self, w: list[str]) -> tuple[list[tuple[int, int]], set[int]]:
+        """Merged word spans (start, end) covered by windows, and the numbers of these."""
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        numbers: set[int] = set()
         if not self.items:
-            return spans, items
+            return spans, numbers
         shortest, known = min(self.items), self.vocabulary
         outside = [i for i, x in enumerate(w) if x not in known]
         begin = 0
@@ -68,12 +70,12 @@ class Windows:
             if end - begin >= shortest:
                 for n, grams in self.items.items():
                     for i in range(begin, end - n + 1):
-                        ids = grams.get(tuple(w[i : i + n]))
-                        if ids is not None:
-                            items.update(ids)
+                        number = grams.get(tuple(w[i : i + n]))
+                        if number is not None:
+                            numbers.add(number)
                             spans.append((i, i + n))
             begin = end + 1
-        return merged(spans), items
+        return merged(spans), numbers
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -86,8 +88,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, width: int, block_windows: int) -> list[DataFrame]:
-    """The windows (words, item ids) cut by hash into blocks of fewer than ``block_windows``."""
+def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, width: int, block_windows: int) -> tuple[list[DataFrame], DataFrame]:
+    """(gram, number) cut by hash into blocks of fewer than ``block_windows``, and (number, item_id); windows of the same items have one number."""
     spark = benchmark.sparkSession
     small_batches(spark)
 
@@ -99,11 +101,17 @@ def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, width: int,
             )
 
     items = source(benchmark, item_id=item_id, text=text).withColumn("item_id", F.col("item_id").cast("string"))
-    grams = materialize(items.mapInArrow(cut, "gram string, item_id string").distinct(), "benchmark-windows")
+    pairs = materialize(items.mapInArrow(cut, "gram string, item_id string").distinct(), "benchmark-windows")
+    # Sums of two 64-bit hashes and a count stand for the set of a window's items, which is never gathered.
+    named = pairs.withColumn("x", F.xxhash64("item_id")).withColumn("y", F.xxhash64(F.lit("y"), "item_id"))
+    sums = [F.sum(F.when(F.col("item_id").isNull(), 0).otherwise(F.col(c)).cast("decimal(38,0)")).alias(c) for c in ("x", "y")]
+    sets = named.groupBy("gram").agg(F.count("item_id").alias("n"), *sums)
+    numbers = sets.groupBy("n", "x", "y").agg(F.min("gram").alias("least")).withColumn("number", F.monotonically_increasing_id())
+    numbers = materialize(numbers, "benchmark-numbers")
+    grams = materialize(sets.join(numbers, ["n", "x", "y"]).select("gram", "number"), "benchmark-grams")
+    owners = numbers.select("number", F.col("least").alias("gram")).join(pairs.filter("item_id IS NOT NULL"), "gram").select("number", "item_id")
     blocks = max(1, math.ceil(2 * grams.count() / block_windows))
-    own = grams.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == F.lit(0))
-    parts = [own] + [grams.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == F.lit(k)) for k in range(1, blocks)]
-    return [p.groupBy("gram").agg(F.array_sort(F.collect_set("item_id")).alias("ids")) for p in parts]
+    return [grams.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == F.lit(k)) for k in range(blocks)], owners
 
 
 FOUND = T.StructType(
@@ -113,6 +121,7 @@ FOUND = T.StructType(
         T.StructField("items", T.ArrayType(T.StringType())),
     ]
 )
+SCANNED = T.StructType([*FOUND.fields[:2], T.StructField("numbers", T.ArrayType(T.LongType()))])
 
 
 def find_contamination(
@@ -131,11 +140,11 @@ def find_contamination(
     id is null marks its words but is not listed. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
-    out = docs.withColumn("__found", F.lit(None).cast(FOUND))
-    blocks = benchmark_blocks(benchmark, item_id, item_text, width, block_windows)
+    out = docs.withColumn("__found", F.lit(None).cast(SCANNED))
+    blocks, owners = benchmark_blocks(benchmark, item_id, item_text, width, block_windows)
     schema = out.schema
     for k, block in enumerate(blocks):
-        rows = [(r["gram"], r["ids"]) for r in block.collect()]  # bounded by block_windows
+        rows = [(r["gram"], r["number"]) for r in block.collect()]  # bounded by block_windows
         if len(rows) > block_windows:
             raise RuntimeError(f"a block holds {len(rows)} windows; block_windows is {block_windows}")
         sent = spark.sparkContext.broadcast(rows)
@@ -146,20 +155,33 @@ def find_contamination(
                 found = []
                 for t, was in zip(b[text].to_pylist(), b["__found"].to_pylist(), strict=True):
                     w = words(t)
-                    spans, items = known.find(w)
+                    spans, numbers = known.find(w)
                     if was:
                         old = was["spans"]
                         spans = merged([*spans, *zip(old[::2], old[1::2], strict=True)])
-                        items.update(was["items"])
-                    found.append({"n_words": len(w), "spans": [x for s in spans for x in s], "items": sorted(items)})
+                        numbers.update(was["numbers"])
+                    found.append({"n_words": len(w), "spans": [x for s in spans for x in s], "numbers": sorted(numbers)})
                 at = b.schema.get_field_index("__found")
                 yield b.set_column(at, b.schema.field(at).name, pa.array(found, b.schema.field(at).type))
 
         small_batches(spark)
-        out = out.mapInArrow(scan, schema)
-        if k < len(blocks) - 1:  # one block's set in a worker at a time
-            out = materialize(out, "scanned")
-    return out
+        out = materialize(out.mapInArrow(scan, schema), "scanned")  # one block's set in a worker at a time
+    return with_items(out, owners)
+
+
+def with_items(scanned: DataFrame, owners: DataFrame) -> DataFrame:
+    """The items of the numbers in ``__found``, worked out once for rows of the same numbers; rows without hits are not moved."""
+    hit = F.size("__found.numbers") > 0
+    rows = scanned.filter(hit).withColumn("__key", F.md5(F.array_join("__found.numbers", ",")))
+    sets = rows.select("__key", "__found.numbers").distinct().select("__key", F.explode("numbers").alias("number"))
+    items = sets.join(owners, "number").groupBy("__key").agg(F.array_sort(F.collect_set("item_id")).alias("__items"))
+
+    def finished(items: Column) -> Column:
+        return F.struct(F.col("__found.n_words").alias("n_words"), F.col("__found.spans").alias("spans"), items.alias("items")).cast(FOUND)
+
+    none = F.array().cast("array<string>")
+    rows = rows.join(items, "__key", "left").withColumn("__found", finished(F.coalesce("__items", none))).select(*scanned.columns)
+    return rows.union(scanned.filter(~hit).withColumn("__found", finished(none)))
 
 
 def hit_words() -> F.Column:
