@@ -16,6 +16,7 @@ from tidewatch.llm.quality import op6_quality
 from tidewatch.llm.quotes import OP5_SQL, op5_quotation_linking
 from tidewatch.llm.sharding import op2_sharding
 from tidewatch.llm.urls import op8_url_filter
+from tidewatch.llm.vector_codes import OP11_SQL, op11_vector_codes
 from tidewatch.llm.vectors import op10_near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,9 +32,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_packing,
         op10_near_vectors,
+        op11_vector_codes,
     )
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_quotation_linking": OP5_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_quotation_linking": OP5_SQL, "op11_vector_codes": OP11_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
