@@ -7,6 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewatch.llm.alignment import op12_alignment
 from tidewatch.llm.decontaminate import OP3_SQL, op3_decontamination
 from tidewatch.llm.lines import OP4_SQL, op4_line_dedup
 from tidewatch.llm.near_join import op7_near_join
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_packing,
         op10_near_vectors,
         op11_vector_codes,
+        op12_alignment,
     )
 } | {"pipeline": corpus_pipeline.run}
 
