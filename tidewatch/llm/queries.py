@@ -14,6 +14,7 @@ from tidewatch.llm.near_join import op7_near_join
 from tidewatch.llm.packing import op9_packing
 from tidewatch.llm.pii import op1_pii
 from tidewatch.llm.quality import op6_quality
+from tidewatch.llm.quality_rules import op13_quality_rules
 from tidewatch.llm.quotes import OP5_SQL, op5_quotation_linking
 from tidewatch.llm.sharding import op2_sharding
 from tidewatch.llm.urls import op8_url_filter
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_near_vectors,
         op11_vector_codes,
         op12_alignment,
+        op13_quality_rules,
     )
 } | {"pipeline": corpus_pipeline.run}
 
