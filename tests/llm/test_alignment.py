@@ -129,6 +129,20 @@ def test_a_pair_that_most_links_share_makes_more_units(docs, plain, monkeypatch)
     assert in_order(tuple(x) for x in documents.collect()) == in_order(plain(rows)[0])
 
 
+def test_counts_of_a_radix_from_many_tasks(spark, docs, plain, monkeypatch):
+    monkeypatch.setattr(alignment, "RADIX", 2)
+    rows = [(k, t) for k, t in enumerate(ODD)]
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(was, ("23", "false"), strict=True):
+            spark.conf.set(k, v)
+        documents, _ = align(docs(rows), A, B)
+        assert in_order(tuple(x) for x in documents.collect()) == in_order(plain(rows)[0])
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     whole = Aligner(A, B).batch(ODD)
     monkeypatch.setattr(alignment, "CACHE_SEGMENTS", 3)

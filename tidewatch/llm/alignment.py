@@ -39,7 +39,7 @@ RADIX, SPILL, RUN, UNIT, PIECE = 8, 1 << 20, 1 << 16, 1 << 22, 1 << 13
 #: A key is the B id and then this many bits of the A id.
 A_BITS = 17
 #: Segments and characters of segments that a worker remembers before it starts afresh.
-CACHE_SEGMENTS, CACHE_CHARS = 400_000, 30_000_000
+CACHE_SEGMENTS, CACHE_CHARS = 600_000, 30_000_000
 #: Where white space starts with a blank or a line end, both tokenizers cut. Other white space stays inside.
 _SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 
@@ -130,28 +130,29 @@ class Aligner:
         raw = [s.encode("utf-8", "replace") for s in new]
         a_ids = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
         b_ids = self.b_ids(new)
-        same = np.array(
-            [
-                b"".join(map(self.a_bytes.__getitem__, a)) == r == b"".join(map(self.b_bytes.__getitem__, b))
-                for r, a, b in zip(raw, a_ids, b_ids, strict=True)
-            ]
-        )
-        a_ids, b_ids = ([x if ok else [] for x, ok in zip(side, same, strict=True)] for side in (a_ids, b_ids))
-        a_counts, b_counts = (np.array([len(x) for x in side], np.int64) for side in (a_ids, b_ids))
-        a, b = (np.fromiter((i for x in side for i in x), np.int64) for side in (a_ids, b_ids))
+        whole = b"".join(raw)
+        flat = [list(itertools.chain.from_iterable(side)) for side in (a_ids, b_ids)]
+        same = np.ones(len(new), bool)
+        if any(b"".join(map(t.__getitem__, ids)) != whole for t, ids in zip((self.a_bytes, self.b_bytes), flat, strict=True)):
+            spelled = ([b"".join(map(t.__getitem__, x)) for x in side] for t, side in ((self.a_bytes, a_ids), (self.b_bytes, b_ids)))
+            same = np.array([r == x == y for r, x, y in zip(raw, *spelled, strict=True)])
+            a_ids, b_ids = ([x if ok else [] for x, ok in zip(side, same, strict=True)] for side in (a_ids, b_ids))
+            flat = [list(itertools.chain.from_iterable(side)) for side in (a_ids, b_ids)]
+        a_counts, b_counts = (np.fromiter(map(len, side), np.int64, len(side)) for side in (a_ids, b_ids))
+        a, b = (np.array(ids, np.int64) for ids in flat)
         a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         # Every overlap of an A and a B token is one stretch between two neighbouring ends of either side.
         ends = np.union1d(a_ends, b_ends)
         both = np.intersect1d(a_ends, b_ends, assume_unique=True)
         keys = (b[np.searchsorted(b_ends, ends)] << A_BITS) | a[np.searchsorted(a_ends, ends)]
-        sizes = np.where(same, np.array([len(r) for r in raw], np.int64), 0)
+        sizes = np.where(same, np.fromiter(map(len, raw), np.int64, len(raw)), 0)
         upto = np.cumsum(sizes)
         last = np.searchsorted(ends, upto, side="right")
         cuts = np.searchsorted(both, upto, side="right")
         n_groups = np.diff(cuts, prepend=0)
         # The text of a group: the A ids up to its end, then the B ids.
         a_to, b_to = np.searchsorted(a_ends, both) + 1, np.searchsorted(b_ends, both) + 1
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        a_text, b_text = (list(map(str, ids)) for ids in flat)
         texts, i, j = [], 0, 0
         for x, y in zip(a_to.tolist(), b_to.tolist(), strict=True):
             texts.append(f"{a_text[i] if x - i == 1 else ','.join(a_text[i:x])}|{b_text[j] if y - j == 1 else ','.join(b_text[j:y])}")
@@ -345,7 +346,7 @@ def each_unit(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator
 
 
 def pair_runs(runs: DataFrame) -> DataFrame:
-    """(radix, first, blob): the counts of all pairs in B-major order, and whether each is its B id's highest."""
+    """(radix, blob): the counts of all pairs in B-major order, and whether each is its B id's highest."""
 
     def count(batches):
         for _, own in each_unit(batches, ["blob"]):
@@ -368,7 +369,7 @@ def pair_runs(runs: DataFrame) -> DataFrame:
         for r in np.unique(radix).tolist():
             at = np.flatnonzero(radix == r)
             blob = packed(steps=np.diff(keys[at], prepend=0), counts=counts[at], best=best[at])
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([int(keys[at[0]])]), pa.array([blob])], ["radix", "first", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([blob])], ["radix", "blob"])
 
     def maxima(batches):
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -383,27 +384,28 @@ def pair_runs(runs: DataFrame) -> DataFrame:
         if len(keys):
             yield from blocks(keys, counts)
 
-    return by_b.mapInArrow(maxima, "radix int, first long, blob binary")
+    return by_b.mapInArrow(maxima, "radix int, blob binary")
 
 
 def given_back(runs: DataFrame, pairs: DataFrame, slices: DataFrame) -> DataFrame:
     """uid, n_best and count_sum of the documents of every run."""
     every = pairs.join(slices, "radix").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    both = every.select("radix", "slice", "first", "blob").unionByName(
-        runs.select("radix", "slice", F.lit(None).cast("long").alias("first"), "blob")
+    both = every.select("radix", "slice", F.lit(False).alias("run"), "blob").unionByName(
+        runs.select("radix", "slice", F.lit(True).alias("run"), "blob")
     )
-    both = both.withColumn("last", F.col("first").isNull())
 
     def look_up(batches):
-        for _, own in each_unit(batches, ["first", "blob"]):
+        for _, own in each_unit(batches, ["run", "blob"]):
             known, held = [], None
-            for first, blob in own:
-                if first is not None:
+            for is_run, blob in own:
+                if not is_run:
                     part = unpacked(blob)
                     known.append((np.cumsum(part["steps"]), part["counts"], part["best"]))
                     continue
-                held = held or tuple(np.concatenate(x) for x in zip(*sorted(known, key=lambda k: int(k[0][0])), strict=True))
-                known = []
+                if held is None:  # the B ids of a radix come from many tasks
+                    held = tuple(np.concatenate(x) for x in zip(*known, strict=True))
+                    order = np.argsort(held[0])
+                    held, known = tuple(x[order] for x in held), []
                 run = unpacked(blob)
                 at = np.repeat(np.searchsorted(held[0], np.cumsum(run["steps"])), run["sizes"])
                 uids = np.cumsum(run["uids"])
@@ -412,7 +414,7 @@ def given_back(runs: DataFrame, pairs: DataFrame, slices: DataFrame) -> DataFram
                 np.add.at(best, run["doc"], run["links"] * held[2][at])
                 yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(best), pa.array(total)], ["uid", "n_best", "count_sum"])
 
-    return units(both, ["last", "first"]).mapInArrow(look_up, "uid long, n_best long, count_sum long")
+    return units(both, ["run"]).mapInArrow(look_up, "uid long, n_best long, count_sum long")
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
