@@ -9,7 +9,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tidewatch.operators import dispatch, models, paths, vector
+from tidewatch.operators import dispatch, models, nearest, paths, vector
 from tidewatch.plans import surge
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -86,7 +86,7 @@ def test_nearest_point(spark):
     rng = random.Random(2)
     pts = [(i, rng.random(), rng.random()) for i in range(50)]
     way = [(i, rng.random(), rng.random()) for i in range(20)] + [(20, 0.5, 0.5), (21, 0.5, 0.5)]
-    got = vector.nearest_point(
+    got = nearest.nearest_point(
         spark.createDataFrame(pts + [(99, 0.5, 0.5)], "zone long, lon double, lat double"), spark.createDataFrame(way, "idx long, lon double, lat double")
     ).collect()
     assert len(got) == 51
@@ -407,12 +407,50 @@ def test_lateral_keeps_or_drops_rows_without_an_answer(spark):
     assert sorted((r.n, r.w or "") for r in left.collect()) == [(1, "a"), (1, "b"), (2, ""), (3, ""), (4, "a"), (4, "b")]
 
 
-def test_nearest_point_on_odd_layouts(spark):
-    import random
+def nearest_of(spark, points, marks):
+    got = nearest.nearest_point(spark.createDataFrame(points, "zone long, lon double, lat double"), spark.createDataFrame(marks, "idx long, lon double, lat double"))
+    return {q.zone: (q.d2, q.idx) for q in got.collect()}
+
+
+def plainly(points, marks):
+    real = [m for m in marks if all(v is not None and abs(v) < float("inf") for v in m[1:])]
+    return {z: min(((x - a) * (x - a) + (y - b) * (y - b), i) for i, a, b in real) for z, x, y in points if x is not None and abs(x) < float("inf")}
 
+
+def test_nearest_point_on_odd_layouts(spark):
     r = random.Random(8)
     marks = [(k, r.choice([0.0, 0.001, 5.0]) + r.random() * 1e-3, r.random() * 1e-3) for k in range(300)] + [(900, 400.0, -3.0), (901, 400.0, -3.0)]
-    points = [(k, r.uniform(-10, 420), r.uniform(-10, 10)) for k in range(200)] + [(500, 400.0, -3.0), (501, None, 1.0)]
-    got = vector.nearest_point(spark.createDataFrame(points, "zone long, lon double, lat double"), spark.createDataFrame(marks, "idx long, lon double, lat double"))
-    want = {z: min(((x - a) ** 2 + (y - b) ** 2, i) for i, a, b in marks) for z, x, y in points if x is not None}
-    assert {q.zone: (q.d2, q.idx) for q in got.collect()} == want
+    marks += [(902, None, 1.0), (903, float("nan"), 1.0), (904, 1.0, float("-inf"))]
+    points = [(k, r.uniform(-10, 420), r.uniform(-10, 10)) for k in range(200)] + [(500, 400.0, -3.0)]
+    odd = [(501, None, 1.0), (502, float("nan"), 1.0), (503, float("inf"), 1.0)]
+    assert nearest_of(spark, points + odd, marks) == plainly(points, marks)
+    assert nearest_of(spark, points, marks[-3:]) == {} and nearest_of(spark, [], marks) == {}
+
+
+def test_nearest_point_with_all_points_outside(spark):
+    r = random.Random(9)
+    marks = [(k, r.random(), r.random()) for k in range(1500)]
+    points = [(k, r.choice([-1, 1]) * r.uniform(5, 5000), r.uniform(-3000, 3000)) for k in range(300)]
+    assert nearest_of(spark, points, marks) == plainly(points, marks)
+
+
+def test_nearest_point_on_lines_and_clusters(spark):
+    """All waypoints on one meridian, on a coarse grid full of ties, and nearly all in one far corner."""
+    r = random.Random(10)
+    points = [(k, r.uniform(-2, 12), r.uniform(-2, 12)) for k in range(150)] + [(200 + k, k % 11 + 0.5, 4.5) for k in range(11)]
+    for marks in (
+        [(k, 3.0, r.random() * 10) for k in range(700)],
+        [(k, float(k % 11), float(k // 11 % 11)) for k in range(400)],
+        [(k, 9 + r.random() * 1e-6, 9 + r.random() * 1e-6) for k in range(800)] + [(k, r.random() * 10, r.random() * 10) for k in range(1000, 1010)],
+    ):
+        assert nearest_of(spark, points, marks) == plainly(points, marks)
+
+
+def test_points_meet_few_waypoints(spark):
+    """Every point goes to a few leaves, however far outside it lies."""
+    r = random.Random(11)
+    marks = spark.createDataFrame([(k, r.random(), r.random()) for k in range(4000)], "idx long, x double, y double")
+    levels, leaves = nearest._levels(marks, 4000)
+    sizes = [len(x.marks) for x in leaves.collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 2 * nearest.LEAF
+    assert levels[0].count() == 1 and all(len(x.children) <= nearest.FAN**2 for level in levels for x in level.collect())

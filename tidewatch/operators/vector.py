@@ -171,53 +171,6 @@ def search_results(hits: DataFrame, kb: DataFrame, fields: Sequence[str] = ("chu
     )
 
 
-def nearest_point(points: DataFrame, waypoints: DataFrame, key: str = "zone") -> DataFrame:
-    """Nearest waypoint of each point by squared distance (lowest idx on a tie).
-
-    Waypoints lie in the cells of a grid, about one to a cell. A point meets those of
-    its own cell and the eight around it; the best one is final if it is no farther
-    than a cell's side, which the eight cover. The other points go on with
-    cells four times as wide, until a cell holds all waypoints.
-    """
-    marks = waypoints.select("idx", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    count, x0, x1, y0, y1 = marks.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()  # one row
-    asked = points.select(F.col(key).alias("__key"), F.col("lon").alias("px"), F.col("lat").alias("py"))
-    asked = asked.groupBy("px", "py").agg(F.count(F.lit(1))).select("px", "py")
-    if not count:
-        return points.limit(0).select(key, F.lit(None).cast("long").alias("idx"), F.lit(None).cast("double").alias("d2"))
-    span = max(x1 - x0, y1 - y0)
-    side = span / max(1.0, count**0.5) or 1.0
-    left, found = materialize(asked.where("px IS NOT NULL AND py IS NOT NULL"), "asked"), None
-    while True:
-        whole = side > span
-
-        def cell(x: str, origin: float, side=side) -> Column:
-            return F.floor((F.col(x) - F.lit(origin)) / F.lit(side))
-
-        if whole:  # every waypoint is met
-            near = left.withColumn("cx", F.lit(0)).withColumn("cy", F.lit(0))
-            placed = marks.withColumn("cx", F.lit(0)).withColumn("cy", F.lit(0))
-            # a coarse grid of few points: spread over the tasks, not paired in one
-            near = near.withColumn("cx", F.pmod(F.xxhash64("px", "py"), F.lit(64)).cast("int"))
-            placed = placed.withColumn("cx", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        else:
-            steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-            near = left.withColumn("s", F.explode(steps)).withColumn("cx", cell("px", x0) + F.col("s.a")).withColumn("cy", cell("py", y0) + F.col("s.b"))
-            placed = marks.withColumn("cx", cell("x", x0)).withColumn("cy", cell("y", y0))
-        dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
-        best = near.join(placed, ["cx", "cy"]).groupBy("px", "py").agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), "idx")).alias("b"))
-        done = best if whole else best.where(F.col("b.d2") <= side * side)
-        done = materialize(done, "near")
-        found = done if found is None else found.unionByName(done)
-        if whole:
-            break
-        left = materialize(left.join(done, ["px", "py"], "left_anti"), "asked")
-        if left.isEmpty():
-            break
-        side *= 4
-    return points.join(found.withColumnsRenamed({"px": "lon", "py": "lat"}), ["lon", "lat"]).select(key, F.col("b.idx").alias("idx"), F.col("b.d2").alias("d2"))
-
-
 # -- cells ----------------------------------------------------------------------------
 
 

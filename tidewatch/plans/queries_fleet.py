@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import dispatch, paths, vector
+from tidewatch.operators import dispatch, nearest, paths, vector
 from tidewatch.plans import inputs as i
 from tidewatch.plans import surge
 from tidewatch.plans.inputs import DISPATCHES_SQL
@@ -358,4 +358,4 @@ def _(spark, d):
     marks = t.table(spark, d, "part").select(
         F.col("p_partkey").alias("idx"), (F.col("p_retailprice") - 900).alias("lon"), (F.col("p_size") * 3).cast("double").alias("lat")
     )
-    return vector.nearest_point(points, marks).withColumn("d2", F.round("d2", 6))
+    return nearest.nearest_point(points, marks).withColumn("d2", F.round("d2", 6))
