@@ -362,8 +362,97 @@ def test_keyed_table_reads_touched_partitions_only_and_keeps_newer_rows(spark, t
     assert rows(table.read(spark).select("zone", "seq")) == [("a", 5), ("b", 1), ("c", 1)]
     assert [r["seq"] for r in spark.read.parquet(table.rejected).collect()] == [9]
     assert len(table._manifest(spark)[1]["versions"]) == 2
+    assert [r["seq"] for r in spark.read.parquet(table.outdated).collect()] == [3]
+    table.vacuum(spark, letters=True)
+    assert table.read(spark).count() == 3 and table._numbers(spark) == [2]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(table.rejected)
+
+
+def test_null_and_empty_partitions_lose_no_rows(spark, rows, tmp_path):
+    """Partitions named by nothing, by an empty text, by the word null and by a path keep apart."""
+    table = keyed.KeyedTable(str(tmp_path / "t"), ["k"], "part", F.col("p"))
+    schema = "k long, p string, v string"
+    values = [None, "", "null", "=", "a/b=c", "__HIVE_DEFAULT_PARTITION__"]
+    table.apply(spark.createDataFrame([(k, p, "old") for k, p in enumerate(values)], schema))
+    table.apply(spark.createDataFrame([(k + 10, p, "new") for k, p in enumerate(values)], schema))
+    want = sorted([(k, p, "old") for k, p in enumerate(values)] + [(k + 10, p, "new") for k, p in enumerate(values)], key=repr)
+    assert rows(table.read(spark).select("k", "p", "v")) == want
+    assert rows(table.read(spark, [None]).select("k")) == [(0,), (10,)] and rows(table.read(spark, [""]).select("k")) == [(1,), (11,)]
+
+
+def test_rows_without_an_order_are_the_oldest(spark, rows, tmp_path):
+    table = keyed.KeyedTable(str(tmp_path / "t"), ["k"], "part", F.col("k") % 2)
+    schema = "k long, seq long, v string"
+    table.apply(spark.createDataFrame([(1, None, "a"), (2, 5, "a")], schema), order="seq")
+    table.apply(spark.createDataFrame([(1, None, "b"), (2, None, "b"), (3, None, "b"), (4, 1, "x"), (4, None, "y")], schema), order="seq", name="two")
+    assert rows(table.read(spark).select("k", "seq", "v")) == [(1, None, "b"), (2, 5, "a"), (3, None, "b"), (4, 1, "x")]
+    assert rows(spark.read.parquet(f"{table.outdated}/batch=two").select("k", "v")) == [(2, "b")]
+    table.apply(spark.createDataFrame([(1, 7, "c"), (1, None, "d")], schema), order="seq")
+    assert rows(table.read(spark, ["1"]).select("k", "seq", "v")) == [(1, 7, "c"), (3, None, "b")]
+
+
+def test_two_writers_lose_nothing(spark, rows, tmp_path):
+    """The second writer commits while the first merges: once elsewhere, once in the same partition."""
+    table = keyed.KeyedTable(str(tmp_path / "t"), ["k"], "part", F.col("k") % 2)
+    frame = lambda *r: spark.createDataFrame(list(r), "k long, n long")
+    table.apply(frame((0, 0), (1, 0)))
+    calls = []
+
+    def merge_beside(other):
+        def merge(target, batch, keys):
+            calls.append(other)
+            if calls.count(other) == 1:
+                table.apply(other)
+            return keyed.upsert_replace(target, batch, keys)
+
+        return merge
+
+    table.apply(frame((2, 2)), merge_beside(frame((3, 3))))
+    assert len(calls) == 1 and rows(table.read(spark).select("k", "n")) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+    calls.clear()
+    table.apply(frame((4, 4)), merge_beside(frame((2, 9), (6, 6))))
+    assert len(calls) == 2 and rows(table.read(spark).select("k", "n")) == [(0, 0), (1, 0), (2, 9), (3, 3), (4, 4), (6, 6)]
+    assert table._numbers(spark) == [1, 2, 3, 4, 5]
+    assert not table._publish(spark, 5, {})
+
+
+def test_changes_of_all_four_kinds(spark, rows, tmp_path):
+    table = keyed.KeyedTable(str(tmp_path / "t"), ["k"], "part", F.col("k") % 2)
+    frame = lambda *r: spark.createDataFrame(list(r), "k long, n long")
+    table.apply(frame((1, 1), (2, 2), (3, 3)))
+    table.apply(frame((1, 5), (2, 2), (4, 4)))
+    table.apply(frame((3, 8)), keyed.upsert_merge)
+    table.apply(frame((2, None), (9, None)), keyed.remove_keys)
+    got = rows(table.changes(spark).select("version", "operationType", "k", "n"))
+    assert got == [(1, "insert", 1, 1), (1, "insert", 2, 2), (1, "insert", 3, 3), (2, "insert", 4, 4), (2, "replace", 1, 5), (3, "update", 3, 8), (4, "delete", 2, 2)]
+    assert rows(table.changes(spark, 2, 3).select("operationType", "k")) == [("update", 3)] and table.changes(spark, 4).count() == 0
+    assert rows(table.read(spark).select("k", "n")) == [(1, 5), (3, 8), (4, 4)]
     table.vacuum(spark)
-    assert table.read(spark).count() == 3
+    with pytest.raises(ValueError, match="version 3 is gone"):
+        table.changes(spark, 3)
+
+
+def test_old_partitions_are_dropped_unread(spark, rows, tmp_path):
+    import shutil
+
+    day = lambda n: dt.datetime(2024, 1, 1 + n // 24, n % 24)
+    table = keyed.KeyedTable(str(tmp_path / "t"), ["k"], "part", F.col("k") % 4, time="t")
+    data = [(k, day(24 * (k % 4) + 6 * (k // 4)) if k != 12 else None) for k in range(16)]
+    frame = spark.createDataFrame(data, "k long, t timestamp")
+    table.apply(frame)
+    now, days = F.lit("2024-01-05 09:00:00").cast("timestamp"), 2  # the limit is 9:00 of the third day
+    want = rows(keyed.retain(frame, "t", now, days))
+    versions = table._manifest(spark)[1]["versions"]
+    assert sorted(table._by_age({"versions": versions}, table._limit(spark, now, days))) == [["=0", "=2"], ["=1"], ["=3"]]
+    shutil.rmtree(versions["=1"]["path"].removeprefix("file:"))  # reading it would fail
+    assert rows(table.retain(spark, "t", now, days).select("k", "t")) == want
+    table.drop_before(spark, now, days)
+    after = table._manifest(spark)[1]["versions"]
+    assert set(after) == {"=0", "=2", "=3"} and after["=3"] == versions["=3"]
+    assert rows(table.read(spark).select("k", "t")) == want
+    table.drop_before(spark, now, days)
+    assert rows(table.read(spark).select("k", "t")) == want
 
 
 def test_a_batch_lost_before_its_manifest_changes_nothing(spark, tmp_path, monkeypatch):

@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import materialize
+from tidewatch.session import materialize, tasks
 
 #: Most slices along an axis when a tile is cut, and waypoints a leaf should hold.
-FAN, LEAF = 8, 16
+FAN, LEAF = 4, 32
 
 
 def _finite(column: str) -> Column:
@@ -85,7 +85,9 @@ def nearest_point(points: DataFrame, waypoints: DataFrame, key: str = "zone") ->
     marks = materialize(places, "marks")
     count = marks.count()
     asked = points.select(F.col("lon").cast("double").alias("px"), F.col("lat").cast("double").alias("py"))
-    asked = asked.where(_finite("px") & _finite("py")).distinct().withColumn("node", F.lit(0).cast("long"))
+    # a few bytes a point and much work: spread by number, not by size
+    asked = asked.where(_finite("px") & _finite("py")).distinct().repartition(tasks(points.sparkSession), "px", "py")
+    asked = asked.withColumn("node", F.lit(0).cast("long"))
     if not count:
         return points.limit(0).select(key, F.lit(None).cast(marks.schema["idx"].dataType).alias("idx"), F.lit(None).cast("double").alias("d2"))
     levels, leaves = _levels(marks, count)

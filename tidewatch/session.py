@@ -55,6 +55,11 @@ def _default_fs(spark: SparkSession) -> str:
     return spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks after a shuffle, as the session sets them."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder."""
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
