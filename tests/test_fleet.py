@@ -184,6 +184,23 @@ class FirstSentence:
         return ["Likely related: " + p.split("<<DOC 1 START>>\n", 1)[1].split("\n", 2)[2].split(". ", 1)[0] for p in prompts]
 
 
+class Opening:
+    """Repeats the first words, refuses prompts that begin with T."""
+
+    def write(self, prompts, max_tokens):
+        if any(p.startswith("T") for p in prompts):
+            raise ValueError("refused")
+        return [" ".join(p.split(" ")[: min(max_tokens, 3)]) for p in prompts]
+
+
+def test_generate_by_a_writer_or_a_column(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (2, "The end"), (3, None), (4, "a b c d")], "n int, p string")
+    got = {r.n: (r.response, r.response_error) for r in models.generate(df, "p", Opening(), on_error="row", retries=1, timeout=60).collect()}
+    assert got == {1: ("a b c", None), 2: (None, "ValueError: refused"), 3: (None, None), 4: ("a b c", None)}
+    by_column = models.generate(df, "p", lambda p: F.substring_index(p, " ", 2), on_error="row")
+    assert {r.n: (r.response, r.response_error) for r in by_column.collect()} == {1: ("a b", None), 2: ("The end", None), 3: (None, None), 4: ("a b", None)}
+
+
 def test_explained_surges_drop_or_keep_unmatched(spark):
     a = spark.createDataFrame([("Marigny", T0, 50, 10, True), ("Uptown", T0, 9, 9, False)], "pickup_zone string, window_time timestamp, request_count long, expected_requests long, is_surge boolean")
     kb = models.embed(spark.createDataFrame([(f"d{i}", f"event {i} in Marigny. more") for i in range(4)], "document_id string, chunk string"), "chunk")

@@ -14,7 +14,7 @@ from tidewatch.operators.models import embed
 from tidewatch.operators.validate import required
 from tidewatch.sources.rides import read_rides
 from tidewatch.sources.schemas import RIDES, TRAFFIC
-from tidewatch.streaming import jobs
+from tidewatch.streaming import jobs, stateful
 
 T0 = dt.datetime(2026, 5, 29, 8, 0)
 TRAFFIC_COLUMNS = ["window_start", "window_end", "window_time", "pickup_zone", "request_count", "total_passengers", "total_revenue"]
@@ -89,13 +89,88 @@ def test_stateful_detector_equals_batch(spark, tmp_path, max_train, more):
         part = traffic.where(F.minute("window_start").between(lo, hi - 1))
         part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/t/b{n}")
     source = jobs.table_stream(spark, f"{tmp_path}/t/*", TRAFFIC, files_per_trigger=1)
-    scored = jobs.detect_stream(source, confidence=99.0, min_train=5, max_train=max_train)
+    scored = stateful.detect_stream(source, confidence=99.0, min_train=5, max_train=max_train)
     done(jobs.append(scored, str(tmp_path / "out"), str(tmp_path / "cp")))
     cols = ["pickup_zone", "window_time", "is_anomaly", F.round("forecast", 6).alias("f"), F.round("upper_bound", 6).alias("u")]
     want = detect(traffic, confidence=99.0, min_train=5, max_train=max_train)
     assert rows_of(spark.read.parquet(str(tmp_path / "out")).select(*cols)) == rows_of(want.select(*cols))
 
 
+def test_detector_writes_what_a_batch_changes(spark, monkeypatch):
+    """The state of a long history: few entries a batch are written, old ones go, sums stay exact."""
+    import numpy as np
+    import pandas as pd
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, x):
+            self.held = x
+
+    class Entries(dict):
+        writes = 0
+
+        def containsKey(self, k):
+            return k in self
+
+        def getValue(self, k):
+            return self[k]
+
+        def updateValue(self, k, v):
+            self.writes += 1
+            self[k] = v
+
+        def removeKey(self, k):
+            del self[k]
+
+    for whole in (True, False):
+        d = stateful.Detector("v", "at", whole, 5, 1000, 2.5, 0.0)
+        d.sums, d.buckets = Value(), Entries()
+        rng, values, got = np.random.default_rng(3), [], []
+        for size in [1, 2500, *[3] * 200]:
+            new = rng.integers(0, 50, size) + 10_000_000 if whole else rng.normal(5, 2, size)
+            frame = pd.DataFrame({"v": new, "at": range(len(values), len(values) + size)})
+            values += new.tolist()
+            d.buckets.writes = 0
+            got.append(pd.concat(d.handleInputRows(("a",), iter([frame]), None)))
+            assert d.buckets.writes <= size // stateful.BUCKET + 2 and len(d.buckets) <= 1000 // stateful.BUCKET + 2
+        forecast, x = pd.concat(got)["forecast"].to_numpy(), np.array(values, float)
+        plain = [x[max(0, i - 1000) : i].mean() if i >= 5 else np.nan for i in range(len(x))]
+        assert np.allclose(forecast, plain, rtol=1e-12, equal_nan=True)
+
+
+def test_overdue_anomalies_come_once_as_time_passes(spark, tmp_path):
+    """Cancelled in time, before the anomaly, too late, never, by an empty text, twice, and not yet due."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    asked = [("in time", 0), ("before", 30), ("too late", 40), ("never", 50), ("empty", 60), ("twice", 70), ("restart", 150), ("open", 990)]
+    told = [("before", 10, "doc"), ("in time", 39, "doc"), ("empty", 61, ""), ("too late", 90, "doc"), ("twice", 71, "doc"), ("twice", 200, "doc"), ("end", 1000, "doc")]
+    schema = "pickup_zone string, window_time timestamp, n long, ingested_at timestamp"
+    evidence = "pickup_zone string, window_time timestamp, top_chunk_1 string, enriched_at timestamp"
+
+    def more(lo, hi):
+        for name, kind, rows in (
+            ("a", schema, [(z, T0, 7, at(s)) for z, s in asked if lo <= s < hi]),
+            ("e", evidence, [(z, T0, c, at(s)) for z, s, c in told if lo <= s < hi]),
+        ):
+            spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/b{lo}")
+
+    def run():
+        streams = (jobs.table_stream(spark, f"{tmp_path}/{n}/*", spark.createDataFrame([], k).schema, 1) for n, k in (("a", schema), ("e", evidence)))
+        done(jobs.append(stateful.overdue(*streams), str(tmp_path / "out"), str(tmp_path / "cp")))
+        return {(r.pickup_zone, r.n) for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()}
+
+    for lo, hi in ((0, 45), (45, 95)):
+        more(lo, hi)
+    run()
+    for lo, hi in ((95, 180), (180, 980), (980, 2000)):
+        more(lo, hi)
+    want = {("too late", 7), ("never", 7), ("empty", 7), ("restart", 7)}
+    assert run() == want and spark.read.schema(schema).parquet(str(tmp_path / "out")).count() == len(want)
+
+
 def test_keyed_sink_with_dead_letters_is_replayable(spark, tmp_path):
     schema = "zone string, t timestamp, n long"
     data = [[("a", T0, 1), (None, T0, 5), ("b", T0, 2)], [("a", T0, 7), ("c", T0 + dt.timedelta(days=1), 3)]]

@@ -9,7 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.prompts import likely_cause
@@ -139,7 +139,7 @@ def embed(
 def generate(
     df: DataFrame,
     prompt: str,
-    client: Writer,
+    client: Writer | Callable[[Column], Column],
     out: str = "response",
     max_tokens: int = 500,
     batch: int = 16,
@@ -147,7 +147,13 @@ def generate(
     timeout: float | None = None,
     retries: int = 0,
 ) -> DataFrame:
-    """Add the reply to a prompt column; equal prompts are sent once, failures as in :func:`embed`."""
+    """Add the reply to a prompt column; equal prompts are sent once, failures as in :func:`embed`.
+
+    ``client`` may also be a function of the prompt column, such as a model function of the platform's own SQL.
+    """
+    if not hasattr(client, "write"):
+        replied = df.withColumn(out, client(F.col(prompt)))
+        return replied.withColumn(f"{out}_error", F.lit(None).cast("string")) if on_error == "row" else replied
 
     def call(prompts: list) -> list:
         replies = client.write(prompts, max_tokens)

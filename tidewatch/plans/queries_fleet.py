@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewatch.operators import dispatch, nearest, paths, vector
 from tidewatch.plans import inputs as i
 from tidewatch.plans import surge
 from tidewatch.plans.inputs import DISPATCHES_SQL
-from tidewatch.plans.registry import CALENDAR_SQL, KB_SQL, LINE_SURGES, query
+from tidewatch.plans.registry import CALENDAR_SQL, EVENT_SURGES, KB_SQL, LINE_SURGES, query
 from tidewatch.session import materialize
 from tidewatch.sources import tables as t
 
@@ -115,17 +116,29 @@ def _(spark, d):
     )
 
 
-class FirstSentence:
-    """Stands in for a text model: the beginning of the first document in the prompt."""
-
-    def write(self, prompts, max_tokens):
-        bodies = [p.split("<<DOC 1 START>>\n", 1)[1].split("\n", 2)[2] for p in prompts]
-        return ["Likely related: " + " ".join(b.split(". ", 1)[0].split()[:max_tokens]) for b in bodies]
+def first_sentence(prompt: Column) -> Column:
+    """A call that answers with the beginning of the first document in the prompt."""
+    document = F.regexp_extract(prompt, r"<<DOC 1 START>>\n[^\n]*\n[^\n]*\n([^\n]*?)(\. |\n)", 1)
+    return F.concat(F.lit("Likely related: "), document)
 
 
 @query("v6_explained_surges")
 def _(spark, d):
-    return surge.explained(i.surges(spark, d), _built(spark, d), FirstSentence())
+    return surge.explained(i.surges(spark, d), _built(spark, d), first_sentence)
+
+
+@query(
+    "v6_explained_keys",
+    f"""WITH {EVENT_SURGES}, {CALENDAR_SQL} SELECT pickup_zone, window_time, request_count, expected_requests, least(3, (SELECT count(*) FROM calendar)) AS chunks
+    FROM surges WHERE EXISTS (SELECT 1 FROM calendar)""",
+)
+def _(spark, d):
+    """Every surge with as many chunks as there are, up to three, and a reason from the first."""
+    found = surge.explained(i.surges(spark, d), _built(spark, d), first_sentence)
+    chunks = F.size(F.filter(F.array(*[f"top_chunk_{n}" for n in (1, 2, 3)]), lambda c: c.isNotNull()))
+    told = F.substring_index(F.substring_index("top_chunk_1", ". ", 1), "\n", 1)
+    agrees = F.col("anomaly_reason") == F.trim(F.concat(F.lit("Likely related: "), told))
+    return found.where(agrees).select("pickup_zone", "window_time", "request_count", "expected_requests", chunks.cast("long").alias("chunks"))
 
 
 # -- dispatch ---------------------------------------------------------------------------------

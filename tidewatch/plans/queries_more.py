@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import first_embedding
 from tidewatch.operators import joins
-from tidewatch.operators.keyed import KeyedTable
+from tidewatch.operators.keyed import RETENTION_DAYS, KeyedTable, remove_keys, upsert_merge
 from tidewatch.operators.models import HashEmbedder, embed, generate, lateral
 from tidewatch.plans import bootstrap
 from tidewatch.plans import inputs as i
@@ -131,23 +131,14 @@ def _(spark, d):
     return vectors.select("conv_id", "turn", F.size("embedding").alias("dim"), F.round(norm, 5).alias("norm"))
 
 
-class Opening:
-    """Stands in for a text model: repeats the first words, refuses prompts that begin with T."""
-
-    def write(self, prompts, max_tokens):
-        if any(p.startswith("T") for p in prompts):
-            raise ValueError("refused")
-        return [" ".join(p.split(" ")[: min(max_tokens, 3)]) for p in prompts]
-
-
 @query(
     "m2_generate",
-    """SELECT conv_id, turn, CASE WHEN text NOT LIKE 'T%' THEN array_to_string(string_split(text, ' ')[1:3], ' ') END AS response,
-    CASE WHEN text LIKE 'T%' THEN 'ValueError: refused' END AS response_error FROM conversations""",
+    """SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:3], ' ') AS response, CAST(NULL AS VARCHAR) AS response_error FROM conversations""",
 )
 def _(spark, d):
+    """The call is a column function: the first words."""
     turns = t.table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return generate(turns, "text", Opening(), on_error="row", retries=1, timeout=60).drop("text")
+    return generate(turns, "text", lambda p: F.substring_index(p, " ", 3), on_error="row").drop("text")
 
 
 # -- the snapshot --------------------------------------------------------------------------
@@ -384,3 +375,49 @@ def _(spark, d):
 def _(spark, d):
     table = KeyedTable(new_path(spark, "keyed"), ["zone", "window_start"], "day", F.to_date("window_start"))
     return spark.read.parquet(_sunk(spark, d, table).rejected).select("event_id", "zone", "window_start")
+
+
+# -- versions of a keyed table ------------------------------------------------------------
+
+
+@query(
+    "g1_change_capture",
+    """WITH numbered AS (SELECT user_id, event_id, value, event_id % 3 AS part,
+      row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY event_id DESC) AS nth FROM events),
+    one AS (SELECT user_id, event_id, value, 'new' AS state FROM numbered WHERE part = 0 AND nth = 1),
+    b2 AS (SELECT n.user_id, n.event_id, n.value, 'again' AS state FROM numbered n LEFT JOIN one USING (user_id)
+      WHERE part = 1 AND nth = 1 AND (one.event_id IS NULL OR n.event_id >= one.event_id)),
+    two AS (SELECT * FROM b2 UNION ALL SELECT * FROM one WHERE user_id NOT IN (SELECT user_id FROM b2)),
+    b3 AS (SELECT n.user_id, n.event_id, n.value FROM numbered n LEFT JOIN two USING (user_id)
+      WHERE part = 2 AND nth = 1 AND (two.event_id IS NULL OR n.event_id >= two.event_id)),
+    three AS (SELECT user_id, b3.event_id, b3.value, two.state FROM b3 LEFT JOIN two USING (user_id)
+      UNION ALL SELECT * FROM two WHERE user_id NOT IN (SELECT user_id FROM b3))
+    SELECT 1 AS version, 'insert' AS operationType, * FROM one
+    UNION ALL SELECT 2, CASE WHEN user_id IN (SELECT user_id FROM one) THEN 'replace' ELSE 'insert' END, * FROM b2
+    UNION ALL SELECT 3, CASE WHEN user_id IN (SELECT user_id FROM two) THEN 'update' ELSE 'insert' END, * FROM three
+      WHERE user_id IN (SELECT user_id FROM b3)
+    UNION ALL SELECT 4, 'delete', * FROM three WHERE user_id % 10 = 0""",
+)
+def _(spark, d):
+    """What four batches changed: rows put in, replaced, merged into and removed."""
+    table = KeyedTable(new_path(spark, "captured"), ["user_id"], "bucket", F.pmod("user_id", F.lit(8)))
+    events = t.table(spark, d, "events").select("user_id", "event_id", "value")
+    part = lambda n: events.where(F.col("event_id") % 3 == n)
+    table.apply(part(0).withColumn("state", F.lit("new")), order="event_id")
+    table.apply(part(1).withColumn("state", F.lit("again")), order="event_id")
+    table.apply(part(2), upsert_merge, order="event_id")
+    table.apply(events.where("user_id % 10 = 0").select("user_id"), remove_keys)
+    return table.changes(spark).select(F.col("version").cast("int").alias("version"), "operationType", "user_id", "event_id", "value", "state")
+
+
+@query(
+    "k6_drop_by_manifest",
+    f"""WITH {EVENT_TRAFFIC}, {i.RAW_LOG_SQL} SELECT pickup_zone, window_time, dispatched_at FROM log
+    WHERE dispatched_at IS NULL OR dispatched_at >= TIMESTAMP '2024-01-25' - INTERVAL 7 DAY""",
+)
+def _(spark, d):
+    """Retention of a stored table: old partitions go unread, partly old ones are written anew."""
+    table = KeyedTable(new_path(spark, "log"), ["pickup_zone", "window_time"], "day", F.to_date("window_time"), time="dispatched_at")
+    table.apply(i.dispatch_log(spark, d).select("pickup_zone", "window_time", "dispatched_at"))
+    table.drop_before(spark, F.lit("2024-01-25").cast("timestamp"), RETENTION_DAYS["zone_traffic"])
+    return table.read(spark).select("pickup_zone", "window_time", "dispatched_at")

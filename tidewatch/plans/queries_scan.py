@@ -30,16 +30,24 @@ def _(spark, d):
 
 @query(
     "s2_decode_wire",
-    f"""WITH {RIDES} SELECT request_id, customer_email, pickup_zone, drop_off_zone, price, number_of_passengers,
-    date_trunc('milliseconds', request_ts) AS request_ts, 100042 AS schema_id FROM rides""",
+    """SELECT event_id AS "offset", CASE WHEN user_id % 10 <> 0 THEN CAST(7 AS BIGINT) END AS schema_id,
+    CASE WHEN user_id % 10 <> 0 AND user_id % 10 <> 1 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k,
+    CASE user_id % 10 WHEN 0 THEN 'not_wire_format' WHEN 1 THEN 'bad_record' END AS error FROM events""",
 )
 def _(spark, d):
-    captured = rides.encode_wire(t.rides_from_events(spark, d), 100042)
-    decoded = rides.decode_wire(captured).where(F.col("error").isNull())
-    return decoded.select(
-        "request_id", "customer_email", "pickup_zone", "drop_off_zone", "price", "number_of_passengers",
-        "request_ts", F.col("schema_id").cast("int").alias("schema_id"),
-    )
+    """Framed messages split from others; JSON bodies read, cut ones marked."""
+    bare = F.col("props").cast("binary")
+    sent = F.when(F.col("user_id") % 10 == 1, F.expr("substring(cast(props AS binary), 1, 3)")).otherwise(bare)
+    raw = F.when(F.col("user_id") % 10 == 0, bare).otherwise(F.concat(F.lit(b"\x00\x00\x00\x00\x07"), sent))
+    captured = t.table(spark, d, "events").select(
+        F.base64(raw).alias("value"), (F.col("user_id") % 6).cast("int").alias("partition"), F.col("event_id").alias("offset")
+    )
+
+    def body(column):
+        fields = F.from_json(column.cast("string"), "k int")
+        return F.when(fields["k"].isNotNull(), fields)
+
+    return rides.decode_wire(captured, body).drop("partition")
 
 
 @query(

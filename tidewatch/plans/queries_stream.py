@@ -14,7 +14,7 @@ from tidewatch.session import materialize, new_path
 from tidewatch.sources import tables as t
 from tidewatch.sources.rides import with_event_time
 from tidewatch.sources.schemas import TRAFFIC
-from tidewatch.streaming import jobs
+from tidewatch.streaming import jobs, stateful
 
 
 def _streamed(spark, d, name: str) -> DataFrame:
@@ -60,7 +60,7 @@ def _(spark, d):
 def _(spark, d):
     out, mark = new_path(spark, "stream-scored"), new_path(spark, "mark")
     windows = jobs.table_stream(spark, _traffic_table(spark, d), TRAFFIC)
-    _finish(jobs.append(jobs.detect_stream(windows, confidence=i.CONFIDENCE), out, mark))
+    _finish(jobs.append(stateful.detect_stream(windows, confidence=i.CONFIDENCE), out, mark))
     return _scored(spark.read.parquet(out))
 
 
@@ -79,6 +79,27 @@ def _(spark, d):
     return table.read(spark).select("zone", "window_start", "event_id")
 
 
+@query(
+    "st7_overdue",
+    f"""WITH {EVENT_TRAFFIC}, a AS (SELECT pickup_zone, window_time, request_count FROM traffic WHERE request_count >= 3),
+    e AS (SELECT *, window_time + to_seconds(request_count * 17 % 80) AS told FROM a WHERE request_count % 4 <> 0),
+    seen AS (SELECT least((SELECT max(window_time) FROM a), (SELECT max(told) FROM e)) - INTERVAL 5 SECOND AS till)
+    SELECT a.pickup_zone, a.window_time, a.request_count FROM a LEFT JOIN e USING (pickup_zone, window_time), seen
+    WHERE a.window_time + INTERVAL 40 SECOND <= till AND (e.told IS NULL OR e.told > a.window_time + INTERVAL 40 SECOND)""",
+)
+def _(spark, d):
+    """Anomalies and evidence as two event streams; a timer for every anomaly."""
+    rows = i.traffic(spark, d).where(F.col("request_count") >= 3).select("pickup_zone", "window_time", "request_count", F.col("window_time").alias("ingested_at"))
+    rows = materialize(rows, "anomalies")
+    delay = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("request_count") * 17 % 80)
+    told = rows.where(F.col("request_count") % 4 != 0).withColumns({"enriched_at": F.col("window_time") + delay, "top_chunk_1": F.lit("a document")})
+    told = materialize(told.select("pickup_zone", "window_time", "enriched_at", "top_chunk_1"), "evidence")
+    streams = [spark.readStream.schema(x.schema).parquet(str(x.inputFiles()[0]).rsplit("/", 1)[0]) for x in (rows, told)]
+    out, mark = new_path(spark, "overdue"), new_path(spark, "mark")
+    _finish(jobs.append(stateful.overdue(*streams), out, mark))
+    return spark.read.schema(rows.schema).parquet(out).select("pickup_zone", "window_time", "request_count")
+
+
 @query(
     "st7_backfill_keys",
     f"""WITH {EVENT_SURGES} SELECT pickup_zone, window_time, 'backfill' AS enriched_by FROM surges WHERE request_count % 2 = 0""",

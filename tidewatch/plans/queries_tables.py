@@ -201,25 +201,28 @@ def _(spark, d):
 
 
 Z99 = 2.5758293035489004
+#: Keeps rounded values off the ties, where the last bit of a sum decides.
+NUDGE = 1e-7
 
 
 @query(
     "w3_detect_trend_order1",
     f"""WITH {EVENT_TRAFFIC}, lagged AS (SELECT *, lag(request_count) OVER z AS x, row_number() OVER z - 1 AS i FROM traffic
       WINDOW z AS (PARTITION BY pickup_zone ORDER BY window_time)),
-    fits AS (SELECT *, coalesce(regr_slope(request_count, x) OVER w, 0) AS b,
-      coalesce(regr_intercept(request_count, x) OVER w, avg(request_count) FILTER (x IS NOT NULL) OVER w) AS a, CAST(regr_count(request_count, x) OVER w AS BIGINT) AS n,
+    fits AS (SELECT *, CASE WHEN regr_sxx(request_count, x) OVER w > 0 THEN regr_slope(request_count, x) OVER w ELSE 0 END AS b,
+      CASE WHEN regr_sxx(request_count, x) OVER w > 0 THEN regr_intercept(request_count, x) OVER w
+        ELSE avg(request_count) FILTER (x IS NOT NULL) OVER w END AS a, CAST(regr_count(request_count, x) OVER w AS BIGINT) AS n,
       regr_syy(request_count, x) OVER w AS syy, regr_sxy(request_count, x) OVER w AS sxy FROM lagged
       WINDOW w AS (PARTITION BY pickup_zone ORDER BY window_time ROWS BETWEEN 336 PRECEDING AND 1 PRECEDING)),
     ready AS (SELECT *, i >= 15 AS ok, {Z99} * sqrt(greatest(syy - b * sxy, 0) / nullif(n - 2, 0)) * sqrt(1 + 1.0 / nullif(n, 0)) AS half FROM fits)
-    SELECT pickup_zone, window_time, CASE WHEN ok THEN round(a + b * x, 4) END AS forecast, CASE WHEN ok THEN round(2 * half, 4) END AS width,
+    SELECT pickup_zone, window_time, CASE WHEN ok THEN round(a + b * x + {NUDGE}, 3) END AS forecast, CASE WHEN ok THEN round(2 * half + {NUDGE}, 3) END AS width,
     coalesce(ok AND (request_count < a + b * x - half OR request_count > a + b * x + half), false) AS is_anomaly FROM ready""",
 )
 def _(spark, d):
     scored = anomaly.detect_trend(i.traffic(spark, d), confidence=99.0, max_train=336, order=1)
     return scored.select(
-        "pickup_zone", "window_time", F.round("forecast", 4).alias("forecast"),
-        F.round(F.col("upper_bound") - F.col("lower_bound"), 4).alias("width"), "is_anomaly",
+        "pickup_zone", "window_time", F.round(F.col("forecast") + NUDGE, 3).alias("forecast"),
+        F.round(F.col("upper_bound") - F.col("lower_bound") + NUDGE, 3).alias("width"), "is_anomaly",
     )
 
 

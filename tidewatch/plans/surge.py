@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def announced(anomalies: DataFrame) -> DataFrame:
 def explained(
     anomalies: DataFrame,
     kb: DataFrame,
-    writer: Writer,
+    writer: Writer | Callable[[Column], Column],
     embedder: Embedder | None = None,
     k: int = 3,
     keep_unmatched: bool = False,

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
+import json
+from collections.abc import Callable
 from datetime import datetime
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,137 +58,27 @@ def schema_audit(captured: DataFrame) -> DataFrame:
     )
 
 
-def _varint(buf: bytes, at: int) -> tuple[int, int]:
-    shift = acc = 0
-    while True:
-        byte = buf[at]
-        at += 1
-        acc |= (byte & 0x7F) << shift
-        if byte < 0x80:
-            return (acc >> 1) ^ -(acc & 1), at
-        shift += 7
-
-
-def _record(buf: bytes) -> tuple:
-    at, out = 0, []
-    for kind in ("s", "s", "s", "s", "d", "i", "i"):
-        if kind == "d":
-            out.append(struct.unpack_from("<d", buf, at)[0])
-            at += 8
-            continue
-        number, at = _varint(buf, at)
-        if kind == "i":
-            out.append(number)
-            continue
-        if number < 0 or at + number > len(buf):
-            raise ValueError("short record")
-        out.append(buf[at : at + number].decode("utf-8"))
-        at += number
-    if at != len(buf):
-        raise ValueError("bytes after the record")
-    return tuple(out)
-
-
-_DECODED = pa.schema(
-    [
-        ("partition", pa.int32()),
-        ("offset", pa.int64()),
-        ("schema_id", pa.int64()),
-        ("request_id", pa.string()),
-        ("customer_email", pa.string()),
-        ("pickup_zone", pa.string()),
-        ("drop_off_zone", pa.string()),
-        ("price", pa.float64()),
-        ("number_of_passengers", pa.int32()),
-        ("request_ms", pa.int64()),
-        ("error", pa.string()),
-    ]
-)
-_DECODED_DDL = (
-    "partition int, offset long, schema_id long, request_id string, customer_email string, pickup_zone string,"
-    " drop_off_zone string, price double, number_of_passengers int, request_ms long, error string"
-)
-
-
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for part, off, sid, body in zip(*(c.to_pylist() for c in batch.columns)):
-            fields, error = (None,) * 7, None
-            if sid is None or body is None:
-                error = "not_wire_format"
-            else:
-                try:
-                    fields = _record(body)
-                except (IndexError, ValueError, struct.error):
-                    error = "bad_record"
-            rows.append((part, off, sid, *fields, error))
-        columns = list(zip(*rows)) if rows else [[] for _ in _DECODED]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, type=f.type) for c, f in zip(columns, _DECODED)], schema=_DECODED
-        )
-
-
-def decode_wire(captured: DataFrame) -> DataFrame:
-    """Captured messages as ride columns plus ``error``; no row is dropped.
-
-    Framing is checked JVM-side; only the fixed seven-field Avro body is decoded
-    in Arrow batches (``from_avro`` needs a jar that is not always present).
-    Rows with ``error`` go to the dead-letter table, see ``operators.validate``.
+def ride_avro(body: Column) -> Column:
+    """An Avro ride record as a struct, where the connector is on the classpath; null for a bad record."""
+    from pyspark.sql.avro.functions import from_avro
+
+    kinds = {"string": "string", "double": "double", "integer": "int", "timestamp": {"type": "long", "logicalType": "timestamp-millis"}}
+    fields = [{"name": f.name, "type": kinds[f.dataType.typeName()]} for f in RIDES.fields]
+    return from_avro(body, json.dumps({"type": "record", "name": "ride", "fields": fields}), {"mode": "PERMISSIVE"})
+
+
+def decode_wire(captured: DataFrame, body: Callable[[Column], Column] = ride_avro) -> DataFrame:
+    """Captured messages as partition, offset, schema_id, the fields of ``body`` and ``error``; no row is dropped.
+
+    ``body`` turns the bytes behind the frame into a struct, or null where they are no
+    record. Rows with ``error`` (not_wire_format, bad_record) have no fields and go to the
+    dead-letter table, see ``operators.validate``.
     """
-    raw = captured.select("partition", "offset", wire_bytes().alias("raw"))
-    framed = raw.select(
-        "partition",
-        "offset",
-        wire_schema_id(F.col("raw")).alias("schema_id"),
-        F.expr("substring(raw, 6)").alias("body"),
-    )
-    decoded = framed.mapInArrow(_decode, _DECODED_DDL)
-    return decoded.withColumn("request_ts", F.timestamp_millis("request_ms")).drop("request_ms")
-
-
-def _zigzag(number: int) -> bytes:
-    acc, out = (number << 1) ^ (number >> 63), bytearray()
-    while acc > 0x7F:
-        out.append((acc & 0x7F) | 0x80)
-        acc >>= 7
-    out.append(acc)
-    return bytes(out)
-
-
-def encode_wire(rides: DataFrame, schema_id: int, partitions: int = 6) -> DataFrame:
-    """Rides as captured messages (inverse of :func:`decode_wire`)."""
-    header = b"\x00" + schema_id.to_bytes(4, "big")
-    fields = ("request_id", "customer_email", "pickup_zone", "drop_off_zone")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = batch.to_pydict()
-            out = []
-            for i in range(batch.num_rows):
-                body = bytearray(header)
-                for name in fields:
-                    text = cols[name][i].encode("utf-8")
-                    body += _zigzag(len(text)) + text
-                body += struct.pack("<d", cols["price"][i])
-                body += _zigzag(cols["number_of_passengers"][i]) + _zigzag(cols["ms"][i])
-                out.append(bytes(body))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("partition"), batch.column("offset"), pa.array(out, pa.binary())],
-                names=["partition", "offset", "body"],
-            )
-
-    keyed = rides.select(
-        F.pmod(F.xxhash64("request_id"), F.lit(partitions)).cast("int").alias("partition"),
-        F.xxhash64("request_id").alias("offset"),
-        *fields,
-        "price",
-        "number_of_passengers",
-        F.unix_millis("request_ts").alias("ms"),
-    )
-    return keyed.mapInArrow(encode, "partition int, offset long, body binary").select(
-        F.lit(None).cast("string").alias("key"), F.base64("body").alias("value"), "partition", "offset"
-    )
+    framed = captured.withColumn("__raw", wire_bytes()).withColumn("__schema", wire_schema_id(F.col("__raw")))
+    payload = F.when(F.col("__schema").isNotNull(), F.expr("substring(__raw, 6)"))
+    read = framed.withColumn("__body", payload).withColumn("__fields", body(F.col("__body")))
+    error = F.when(F.col("__schema").isNull(), "not_wire_format").when(F.col("__fields").isNull(), "bad_record")
+    return read.select("partition", "offset", F.col("__schema").alias("schema_id"), "__fields.*", error.alias("error"))
 
 
 # -- event-time rebase --------------------------------------------------------

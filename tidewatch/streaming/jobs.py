@@ -5,18 +5,14 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.operators.aggregates import status_rollup, zone_traffic
-from tidewatch.operators.anomaly import CONFIDENCE, MAX_TRAIN, MIN_TRAIN, z_value
 from tidewatch.operators.joins import without_evidence
 from tidewatch.operators.keyed import KeyedTable, upsert_replace
 from tidewatch.operators.models import Embedder, embed, explain
@@ -25,6 +21,7 @@ from tidewatch.functions.exprs import hit
 from tidewatch.functions.prompts import fallback_query
 from tidewatch.operators.vector import search, search_results
 from tidewatch.session import materialize
+from tidewatch.streaming.stateful import own_state
 
 
 def table_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -66,7 +63,8 @@ def traffic(rides: DataFrame, size: str = "1 minute") -> DataFrame:
 
 def append(df: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     writer = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start(path)
+    with own_state(df.sparkSession):
+        return (writer.trigger(availableNow=True) if once else writer).start(path)
 
 
 def flush_until(rides: DataFrame, until: Column, size: str = "1 minute") -> DataFrame:
@@ -125,70 +123,6 @@ def offer_once(anomalies: DataFrame, column: str = "ingested_at", seconds: int =
     return anomalies.withWatermark(column, f"{seconds} seconds").dropDuplicatesWithinWatermark(["pickup_zone", "window_time"])
 
 
-# -- detector with state -----------------------------------------------------------------
-
-
-def detect_stream(
-    traffic: DataFrame,
-    value: str = "request_count",
-    at: str = "window_time",
-    key: str = "pickup_zone",
-    min_train: int = MIN_TRAIN,
-    max_train: int = MAX_TRAIN,
-    confidence: float = CONFIDENCE,
-    min_sd: float = 0.0,
-) -> DataFrame:
-    """The detector over a stream of closed windows, equal to the batch one when
-    windows of a zone arrive in order of time.
-
-    The state of a zone is its last ``max_train`` values. Runs on the table the
-    traffic job writes, since two stateful steps do not share a query here.
-    """
-    z = z_value(confidence)
-    whole = isinstance(traffic.schema[value].dataType, T.IntegralType)
-    extra = [
-        T.StructField("forecast", T.DoubleType()),
-        T.StructField("lower_bound", T.DoubleType()),
-        T.StructField("upper_bound", T.DoubleType()),
-        T.StructField("is_anomaly", T.BooleanType()),
-    ]
-    schema = T.StructType(traffic.schema.fields + extra)
-    state_schema = T.StructType([T.StructField("history", T.ArrayType(T.DoubleType()))])
-
-    def score(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(at, ignore_index=True)
-        past = np.asarray(state.get[0] if state.exists else [], dtype=float)
-        x = np.concatenate([past, rows[value].to_numpy(float)])
-        # Sums count from the oldest value, in whole numbers where values are whole.
-        origin = x[0] if len(x) else 0.0
-        c = (x - origin).astype(object if whole else float)
-        if whole:
-            c = np.array([int(v) for v in c], dtype=object)
-        zero = 0 if whole else 0.0
-        sums, squares = np.concatenate([[zero], np.cumsum(c)]), np.concatenate([[zero], np.cumsum(c * c)])
-        here = np.arange(len(past), len(x))
-        lo = np.maximum(0, here - max_train)
-        n = here - lo
-        total, square = sums[here] - sums[lo], squares[here] - squares[lo]
-        ok = n >= max(min_train, 2)
-        safe = np.where(ok, n, 2).astype(float)
-        mean = (total + (int(origin) * n if whole else origin * n)).astype(float) / safe
-        spread = (n * square - total * total).astype(float)
-        sd = np.maximum(np.sqrt(np.maximum(spread, 0) / (safe * (safe - 1))), min_sd)
-        half = z * sd * np.sqrt(1 + 1 / safe)
-        now = x[here]
-        rows["forecast"] = np.where(ok, mean, np.nan)
-        rows["lower_bound"] = np.where(ok, mean - half, np.nan)
-        rows["upper_bound"] = np.where(ok, mean + half, np.nan)
-        rows["is_anomaly"] = ok & ((now < mean - half) | (now > mean + half))
-        state.update((x[-max_train:].tolist(),))
-        yield rows
-
-    scored = traffic.groupBy(key).applyInPandasWithState(score, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-    bounds = ("forecast", "lower_bound", "upper_bound")
-    return scored.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in bounds})
-
-
 # -- late evidence ---------------------------------------------------------------------------
 
 
