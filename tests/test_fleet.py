@@ -232,7 +232,64 @@ def test_one_surge_is_rank_and_cumulative_seats(spark):
              ("V5", "Uptown", "available", 9), ("V6", "Bywater", "in_dock", 9), ("V7", "Bywater", "available", 7)]
     got = dispatch.plan(surges_df(spark, [("French Quarter", T0, 40, 16)]), fleet(spark, boats), stops(spark)).collect()
     # nearest first, then larger; stops once 24 seats are covered
-    assert [(r.vessel_id, r.cost) for r in sorted(got, key=lambda r: r["round"])] == [("V2", 2), ("V3", 2), ("V1", 2), ("V7", 4)]
+    assert [(r.vessel_id, r.cost) for r in sorted(got, key=lambda r: (r["round"], r.cost, -r.capacity))] == [("V2", 2), ("V3", 2), ("V1", 2), ("V7", 4)]
+
+
+def plain_plan(surges, boats, at):
+    """The rule of dispatch.plan with lists: (zone, window, vessel, round)."""
+    free = {v: (at[z], c) for v, z, a, c in boats if a == "available" and c > 0}
+    short = {(z, w): [n - e, 0] for z, w, n, e in surges if n > e}
+    out, r = [], 0
+    while True:
+        r += 1
+        open_ = {k: v for k, v in short.items() if v[0] > 0 and v[1] < 8}
+        if not free or not open_:
+            return out
+        largest = max(c for _, c in free.values())
+        asks = {k: min(8 - b, -(-left // largest)) for k, (left, b) in open_.items()}
+        zones = {at[k[0]] for k in asks}
+        lack = {x: sum(open_[k][0] for k in asks if at[k[0]] == x) for x in zones}
+        claims = {}
+        for x in zones:
+            near = sorted((abs(x - s), -c, v) for v, (s, c) in free.items() if s != x)
+            for cost, _, v in near[: sum(n for k, n in asks.items() if at[k[0]] == x)]:
+                claims.setdefault(v, []).append((cost, -lack[x], x))
+        won = {}
+        for v, who in claims.items():
+            tied = sorted(c for c in who if c[0] == min(who)[0])
+            stop = sorted((-c, u) for u, (s, c) in free.items() if s == free[v][0])
+            cost, _, x = tied[stop.index((-free[v][1], v)) % len(tied)]
+            won.setdefault(x, []).append((cost, -free[v][1], v))
+        if not won:
+            return out
+        for x, got in won.items():
+            got.sort()
+            for k in sorted((k for k in asks if at[k[0]] == x), key=lambda k: (-open_[k][0], k[1], k[0])):
+                for cost, c, v in got[: asks[k]]:
+                    out.append((*k, v, r))
+                    short[k][0] += c
+                    short[k][1] += 1
+                    del free[v]
+                got = got[asks[k] :]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_equals_plain_lists(spark, seed):
+    r = random.Random(seed)
+    at = dict(STOPS)
+    boats = [(f"V{k:02d}", r.choice(list(at)), r.choice(["available"] * 5 + ["in_dock"]), r.choice([1, 4, 5, 9])) for k in range(r.choice([6, 30, 60]))]
+    asked = [(z, T0 + dt.timedelta(minutes=m), r.choice([3, 20, 60, 200]), r.choice([0, 5, 60])) for z in at for m in range(r.choice([1, 3]))]
+    got = dispatch.plan(surges_df(spark, asked), fleet(spark, boats), stops(spark)).collect()
+    assert sorted((x.pickup_zone, x.window_time, x.vessel_id, x["round"]) for x in got) == sorted(plain_plan(asked, boats, at))
+
+
+def test_many_boats_a_round(spark):
+    """Ten surges of one stop and 24 boats at 24 others: handed out in a few rounds."""
+    path = spark.createDataFrame([(f"Z{k}", k) for k in range(30)], "zone string, idx int")
+    boats = [(f"V{k:02d}", f"Z{k + 3}", "available", 5) for k in range(24)]
+    s = surges_df(spark, [("Z0", T0 + dt.timedelta(minutes=k), 40, 0) for k in range(10)])
+    got = dispatch.plan(s, fleet(spark, boats), path).collect()
+    assert len({x.vessel_id for x in got}) == 24 and max(x["round"] for x in got) <= 2
 
 
 def test_two_surges_never_share_a_boat(spark):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewatch.functions.prompts import dispatch_reason
@@ -16,103 +16,120 @@ from tidewatch.session import materialize, release
 MAX_BOATS = 8
 HIRED = "hired"
 SURGE = ["pickup_zone", "window_time"]
-#: Stops of the path in one chunk.
+#: Stops of the path in one chunk, and costs.
 STOPS = 4096
 
 
-def _nearest_offers(free: DataFrame, stops: DataFrame) -> DataFrame:
-    """Per stop, the stop on either side that offers the best boat, by distance first.
+def _ranked(boats: DataFrame) -> DataFrame:
+    """Boats numbered along the path from 0, upwards and downwards; within a stop the larger ones first."""
+    big = [F.col("capacity").desc(), "vessel_id"]
+    coarse = lambda c: F.floor(c / STOPS)
+    up = running_before(boats, [], ["stop", *big], F.col("stop"), {"up": F.lit(1).cast("long")}, coarse=coarse)
+    down = running_before(up.withColumn("__back", -F.col("stop")), [], ["__back", *big], F.col("__back"), {"down": F.lit(1).cast("long")}, coarse=coarse)
+    first = down.groupBy("stop").agg(F.min("up").alias("__first"))
+    return down.join(first, "stop").withColumn("place", F.col("up") - F.col("__first")).drop("__back", "__first")
 
-    ``stops`` (zone, idx) is the list of stops of the path, one row a zone, cut into
-    chunks of ``STOPS`` along the path: an offer is carried along within a chunk, and
-    one row a chunk carries it into the next ones. No (surge, vessel) pairs are
-    formed. Within a stop the largest boat comes first.
-    """
-    best = free.groupBy("zone").agg(F.min(F.struct((-F.col("capacity")).alias("neg_capacity"), "vessel_id")).alias("b"))
-    offer = F.when(F.col("b").isNotNull(), F.struct("idx", "b.neg_capacity", "b.vessel_id", F.col("zone").alias("stop")))
-    here = stops.join(best, "zone", "left").withColumn("__offer", offer).withColumn("__part", F.floor(F.col("idx") / STOPS))
-    ends = here.where(F.col("__offer").isNotNull()).groupBy("__part").agg(
-        F.max_by("__offer", "idx").alias("__last"), F.min_by("__offer", "idx").alias("__first")
-    )
-    parts = here.select("__part").distinct().join(ends, "__part", "left")
-    along = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for every STOPS stops
-    against = Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = parts.select(
-        "__part", F.last("__last", ignorenulls=True).over(along).alias("__cd"), F.last("__first", ignorenulls=True).over(against).alias("__cu")
-    )
-    down = Window.partitionBy("__part").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    up = Window.partitionBy("__part").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
 
-    def priced(own: Column, carried: str) -> Column:
-        o = F.coalesce(own, F.col(carried))
-        cost = F.abs(F.col("idx") - o.getField("idx")).alias("cost")
-        return F.when(o.isNotNull(), F.struct(cost, o["neg_capacity"].alias("neg_capacity"), o["vessel_id"].alias("vessel_id"), o["stop"].alias("stop")))
+def _claims(zones: DataFrame, boats: DataFrame) -> DataFrame:
+    """(zone, vessel) for the ``wanted`` nearest boats of each zone, those of its own stop excluded.
 
-    near = here.withColumn("__d", F.last("__offer", ignorenulls=True).over(down)).withColumn("__u", F.last("__offer", ignorenulls=True).over(up))
-    near = near.join(carry, "__part").select("zone", F.least(priced(F.col("__d"), "__cd"), priced(F.col("__u"), "__cu")).alias("offer"))
-    return near.where(F.col("offer").isNotNull())
+    On either side of a zone its nearest boats have consecutive numbers along the path,
+    so a zone names ``wanted`` numbers a side and meets those boats by equality.
+    """
+    supply = boats.select(F.col("stop").alias("at"), F.lit(1).cast("long").alias("n"))
+    along = supply.unionByName(zones.select(F.col("zone").alias("at"), F.lit(0).cast("long").alias("n"))).groupBy("at").agg(F.sum("n").alias("n"))
+    upto = running_before(along, [], ["at"], F.col("at"), {"below": F.col("n")}, totals=True, coarse=lambda c: F.floor(c / STOPS))
+    edges = upto.select(F.col("at").alias("zone"), (F.col("below") + F.col("n")).alias("first_up"), (F.col("below_total") - F.col("below")).alias("first_down"))
+    # numbers count boats: those at the zone's own stop lie before the first one on either side
+    asked = zones.join(edges, "zone")
 
+    def side(first: str, number: str) -> DataFrame:
+        span = F.sequence(F.col(first), F.col(first) + F.col("wanted") - 1)
+        return asked.withColumn(number, F.explode(span)).join(boats, number).select("zone", "wanted", "lack", "vessel_id", "stop", "capacity", "place")
 
-def _placed(df: DataFrame, first: str, then: Sequence[str], chunk: Column) -> DataFrame:
-    """Position of each row at its stop, from 0, in the order of ``first`` and ``then``."""
-    return running_before(df, ["stop"], [first, *then], chunk, {"place": F.lit(1).cast("long")})
+    near = side("first_up", "up").unionByName(side("first_down", "down")).withColumn("cost", F.abs(F.col("zone") - F.col("stop")))
+    order = ["cost", F.col("capacity").desc(), "vessel_id"]
+    nth = running_before(near, ["zone"], order, F.col("cost"), {"nth": F.lit(1).cast("long")}, coarse=lambda c: F.floor(c / STOPS))
+    return nth.where(F.col("nth") < F.col("wanted"))
 
 
 def plan(surges: DataFrame, vessels: DataFrame, stops: DataFrame, max_boats: int = MAX_BOATS) -> DataFrame:
     """Boats sent to each surge: pickup_zone, window_time, vessel_id, round, cost, capacity, base_zone.
 
-    Seats needed are requests above the expected ones. In a round every surge still
-    short of seats and below ``max_boats`` boats turns to the nearest other stop with
-    a free boat (then the larger boat there, then the lower id); at a stop, the
-    surges in the order of what they lack and its boats in the order of their size
-    are matched by position. Rounds end when none claims anything, so a surge
-    is left short only with ``max_boats`` boats or when no other zone has a free one.
+    Seats needed are requests above the expected ones. In a round
 
-    What each round took is written to the shared folder, so a round's plan does not
-    hold the earlier ones.
+    - a surge still short of seats asks for as many boats as it needs at the least: the
+      seats it lacks by those of the largest free boat, up to ``max_boats`` in all;
+    - the surges of a stop together claim that many boats, nearest first (then larger,
+      then the lower id), from other stops;
+    - a boat goes to the nearest claiming stop. Stops equally near take turns along the
+      boats of its stop, the one that lacks more seats first;
+    - at a stop, surges that lack more (then earlier, then by zone) take first, each the
+      nearest boats that are left.
+
+    All this is running sums of demand against running sums of supply, so a round hands
+    out every claimed boat. Rounds end when none is claimed, so a surge is left short
+    only with ``max_boats`` boats or when no other stop has a free one. A boat that a
+    nearer stop took is made up for in the next round: rounds grow with the number of
+    stops that contend for the same boats, not with the boats.
+
+    What a round took is one small table in the shared folder; plans don't hold earlier rounds.
     """
-    canonical = materialize(stops.groupBy("idx").agg(F.min("zone").alias("zone")), "stops")
-    named = canonical.withColumnRenamed("zone", "stop")
     need = materialize(
         surges.select(*SURGE, (F.col("request_count") - F.col("expected_requests")).cast("long").alias("need"))
         .where(F.col("need") > 0)
-        .join(stops.select(F.col("zone").alias("pickup_zone"), "idx"), "pickup_zone")
-        .join(named, "idx"),
+        .join(stops.select(F.col("zone").alias("pickup_zone"), F.col("idx").alias("zone")), "pickup_zone"),
         "need",
     )
     fleet = materialize(
         vessels.where((F.col("availability") == "available") & (F.col("vessel_id") != ""))
         .select("vessel_id", F.col("base_zone").alias("zone"), F.col("capacity").cast("long").alias("capacity"))
+        .where("capacity > 0")
         .join(stops, "zone")
-        .join(named, "idx")
-        .select("vessel_id", F.col("zone").alias("base_zone"), F.col("stop").alias("zone"), "capacity"),
+        .select("vessel_id", F.col("zone").alias("base_zone"), F.col("idx").alias("stop"), "capacity"),
         "fleet",
     )
-    taken, r = None, 0
+    rounds: list[DataFrame] = []
     while True:
-        r += 1
-        free, short = fleet, need.withColumn("left", F.col("need"))
-        if taken is not None:
+        free, short = fleet, need.withColumns({"left": F.col("need"), "boats": F.lit(0).cast("long")})
+        if rounds:
+            taken = reduce(DataFrame.unionByName, rounds)
             free = fleet.join(taken.select("vessel_id"), "vessel_id", "left_anti")
             got = taken.groupBy(*SURGE).agg(F.sum("capacity").alias("seats"), F.count(F.lit(1)).alias("boats"))
             short = need.join(got, SURGE, "left").withColumn("left", F.col("need") - F.coalesce("seats", F.lit(0)))
-            short = short.where(F.coalesce("boats", F.lit(0)) < max_boats)
-        offers = _nearest_offers(free, canonical).withColumnRenamed("zone", "own")
-        claims = short.where(F.col("left") > 0).withColumnRenamed("stop", "own").join(offers, "own")
-        claims = claims.select(*SURGE, F.col("offer.stop").alias("stop"), F.col("offer.cost").alias("cost"), (-F.col("left")).alias("neg"))
-        wanted = _placed(claims, "neg", ["window_time", "pickup_zone"], F.struct("neg", F.to_date("window_time").alias("day")))
-        boats = free.select("vessel_id", "capacity", F.col("zone").alias("stop"), (-F.col("capacity")).alias("neg"))
-        offered = _placed(boats.join(claims.select("stop").distinct(), "stop"), "neg", ["vessel_id"], F.col("neg"))
-        won = wanted.join(offered.drop("neg"), ["stop", "place"]).select(*SURGE, "vessel_id", F.lit(r).alias("round"), "cost", "capacity")
+            short = short.withColumn("boats", F.coalesce("boats", F.lit(0)))
+        largest = free.agg(F.max("capacity").alias("c")).first()["c"]
+        if largest is None:
+            break
+        short = short.where((F.col("left") > 0) & (F.col("boats") < max_boats))
+        short = short.withColumn("asks", F.least(max_boats - F.col("boats"), F.ceil(F.col("left") / largest)).cast("long"))
+        short = materialize(short, "short")
+        boats = materialize(_ranked(free), "boats")
+        zones = short.groupBy("zone").agg(F.sum("asks").alias("wanted"), F.sum("left").alias("lack"))
+        claims = _claims(zones, boats)
+        nearest = claims.groupBy("vessel_id", "stop", "capacity", "place").agg(
+            F.min("cost").alias("cost"),
+            F.sort_array(F.collect_list(F.struct("cost", (-F.col("lack")).alias("l"), "zone"))).alias("all"),
+        )
+        tied = F.filter("all", lambda c: c["cost"] == F.col("cost"))  # two at most, one on either side
+        turn = F.get(tied, F.pmod(F.col("place"), F.size(tied)).cast("int"))["zone"]
+        won = nearest.select("vessel_id", "capacity", "cost", turn.alias("zone"))
+        order = ["cost", F.col("capacity").desc(), "vessel_id"]
+        coarse = lambda c: F.floor(c / STOPS)
+        won = running_before(won, ["zone"], order, F.col("cost"), {"slot": F.lit(1).cast("long")}, coarse=coarse)
+        first = running_before(short.withColumn("neg", -F.col("left")), ["zone"], ["neg", "window_time", "pickup_zone"], F.col("neg"), {"before": F.col("asks")}, coarse=coarse)
+        slots = first.withColumn("slot", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("asks") - 1)))
+        sent = slots.join(won, ["zone", "slot"]).select(*SURGE, "vessel_id", F.lit(len(rounds) + 1).alias("round"), "cost", "capacity")
         seen = Observation()
-        won = won.observe(seen, F.count(F.lit(1)).alias("boats"))
-        before, taken = taken, materialize(won if taken is None else taken.unionByName(won), f"round{r}")
-        if before is not None:
-            release(before)
+        rounds.append(materialize(sent.observe(seen, F.count(F.lit(1)).alias("boats")), f"round{len(rounds) + 1}"))
+        release(short)
+        release(boats)
         if seen.get["boats"] == 0:
             break
-    release(need)
-    return taken.join(fleet.select("vessel_id", "base_zone"), "vessel_id")
+    if not rounds:
+        none = need.limit(0).join(fleet.limit(0)).select(*SURGE, "vessel_id", F.lit(1).alias("round"), F.abs(F.col("zone") - F.col("stop")).alias("cost"), "capacity")
+        rounds = [none]
+    return reduce(DataFrame.unionByName, rounds).join(fleet.select("vessel_id", "base_zone"), "vessel_id")
 
 
 def completed_actions(surges: DataFrame, assigned: DataFrame, cause: str | None = None) -> DataFrame:

@@ -136,15 +136,15 @@ def _(spark, d):
     """Every surge with as many chunks as there are, up to three, and a reason from the first."""
     found = surge.explained(i.surges(spark, d), _built(spark, d), first_sentence)
     chunks = F.size(F.filter(F.array(*[f"top_chunk_{n}" for n in (1, 2, 3)]), lambda c: c.isNotNull()))
-    told = F.substring_index(F.substring_index("top_chunk_1", ". ", 1), "\n", 1)
-    agrees = F.col("anomaly_reason") == F.trim(F.concat(F.lit("Likely related: "), told))
+    told = F.concat(F.lit("Likely related: "), F.substring_index("top_chunk_1", "\n", 1))
+    agrees = F.startswith(told, F.col("anomaly_reason")) & (F.length("anomaly_reason") > F.length(F.lit("Likely related:")))
     return found.where(agrees).select("pickup_zone", "window_time", "request_count", "expected_requests", chunks.cast("long").alias("chunks"))
 
 
 # -- dispatch ---------------------------------------------------------------------------------
 
 
-def _plan_sql(rounds: int = 40) -> str:
+def _plan_sql(rounds: int = 12) -> str:
     """Rounds written out, more than the tables need: a round that claims nothing changes nothing."""
     parts = [
         f"""{LINE_SURGES}, stops AS (SELECT n_name AS zone, n_nationkey AS idx FROM nation),
@@ -156,16 +156,20 @@ def _plan_sql(rounds: int = 40) -> str:
     ]
     for r in range(1, rounds + 1):
         parts.append(f"""
-  free{r} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vidx ORDER BY capacity DESC, vessel_id) AS place FROM fleet
+  free{r} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vidx ORDER BY capacity DESC, vessel_id) - 1 AS place FROM fleet
     WHERE vessel_id NOT IN (SELECT vessel_id FROM taken{r - 1})),
-  short{r} AS (SELECT * FROM (SELECT n.pickup_zone, n.window_time, idx, need - coalesce(sum(capacity), 0) AS short, count(vessel_id) AS boats
+  short{r} AS MATERIALIZED (SELECT *, least(8 - boats, CAST(ceil(short / CAST((SELECT max(capacity) FROM free{r}) AS DOUBLE)) AS BIGINT)) AS asks
+    FROM (SELECT n.pickup_zone, n.window_time, idx, need - coalesce(sum(capacity), 0) AS short, count(vessel_id) AS boats
     FROM need n LEFT JOIN taken{r - 1} x ON x.pickup_zone = n.pickup_zone AND x.window_time = n.window_time
     GROUP BY n.pickup_zone, n.window_time, idx, need) WHERE short > 0 AND boats < 8),
-  claim{r} AS (SELECT s.pickup_zone, s.window_time, short, vidx FROM short{r} s JOIN free{r} f ON idx <> vidx
-    QUALIFY row_number() OVER (PARTITION BY s.pickup_zone, s.window_time ORDER BY abs(idx - vidx), capacity DESC, vessel_id) = 1),
-  rank{r} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vidx ORDER BY short DESC, window_time, pickup_zone) AS place FROM claim{r}),
-  taken{r} AS MATERIALIZED (SELECT * FROM taken{r - 1} UNION ALL SELECT pickup_zone, window_time, vessel_id, {r}, abs(idx - k.vidx), capacity
-    FROM rank{r} k JOIN free{r} f ON f.vidx = k.vidx AND f.place = k.place JOIN stops ON zone = pickup_zone)""")
+  claim{r} AS (SELECT *, abs(idx - vidx) AS cost FROM (SELECT idx, sum(asks) AS wanted, sum(short) AS lack FROM short{r} GROUP BY idx) JOIN free{r} ON idx <> vidx
+    QUALIFY row_number() OVER (PARTITION BY idx ORDER BY abs(idx - vidx), capacity DESC, vessel_id) <= wanted),
+  best{r} AS (SELECT * FROM claim{r} QUALIFY cost = min(cost) OVER (PARTITION BY vessel_id)),
+  won{r} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY cost, capacity DESC, vessel_id) - 1 AS slot FROM (SELECT * FROM best{r}
+    QUALIFY row_number() OVER (PARTITION BY vessel_id ORDER BY lack DESC, idx) - 1 = place % count(*) OVER (PARTITION BY vessel_id))),
+  first{r} AS (SELECT *, sum(asks) OVER (PARTITION BY idx ORDER BY short DESC, window_time, pickup_zone ROWS UNBOUNDED PRECEDING) - asks AS before FROM short{r}),
+  taken{r} AS MATERIALIZED (SELECT * FROM taken{r - 1} UNION ALL SELECT pickup_zone, window_time, vessel_id, {r}, cost, capacity
+    FROM first{r} f JOIN won{r} w ON f.idx = w.idx AND slot >= before AND slot < before + asks)""")
     return ",".join(parts) + f", assigned AS (SELECT t.*, base_zone FROM taken{rounds} t JOIN fleet USING (vessel_id))"
 
 
