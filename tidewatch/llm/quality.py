@@ -157,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows_per_label:
 
     Only labels 0 and 1 of ids that are not held out count; an id labelled twice is
     two rows. Without rows of both labels the model says the share of label 1, or
-    one half. The driver gets at most ``2 * rows_per_label`` rows of features.
+    one half. At most ``2 * rows_per_label`` rows of features go to the task that
+    trains; the driver gets the model, ``2 ** BITS`` numbers.
     """
     marked = source(labels, doc_id="doc_id", quality="quality").filter(
         F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))
@@ -184,13 +185,25 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows_per_label:
     id_type = texts.schema["doc_id"].dataType.simpleString()
     # Ids that documents repeat could pass the bound, so it is set again.
     rows = texts.mapInArrow(features, f"doc_id {id_type}, quality int, buckets array<int>, weights array<float>")
-    got = rows.orderBy(*by, F.hash("buckets")).limit(2 * rows_per_label).toArrow()
-    y = got["quality"].to_numpy()
-    if len(set(y.tolist())) < 2:
-        share = min(max(float(y.mean()) if len(y) else 0.5, 0.01), 0.99)
-        return np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
-    split = [[x.values.to_numpy() for x in got[c]] for c in ("buckets", "weights")]
-    return train(split[0], split[1], y)
+    got = rows.orderBy(*by, F.hash("buckets")).limit(2 * rows_per_label)
+
+    def learn(batches):
+        """One task trains, so that the driver sees the model alone."""
+        y, buckets, weights = [], [], []
+        for b in batches:
+            y.append(b["quality"].to_numpy())
+            buckets += [x.values.to_numpy() for x in b["buckets"]]
+            weights += [x.values.to_numpy() for x in b["weights"]]
+        y = np.concatenate(y) if y else np.zeros(0, np.int64)
+        if len(set(y.tolist())) < 2:
+            share = min(max(float(y.mean()) if len(y) else 0.5, 0.01), 0.99)
+            values, bias = np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
+        else:
+            values, bias = train(buckets, weights, y)
+        yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary()), pa.array([bias])], ["values", "bias"])
+
+    model = got.mapInArrow(learn, "values binary, bias double").first()
+    return (np.frombuffer(model["values"], np.float32), model["bias"]) if model else (np.zeros(1 << BITS, np.float32), 0.0)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
