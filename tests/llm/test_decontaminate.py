@@ -27,6 +27,14 @@ def test_blocks_change_nothing(docs, spark):
     assert by[2]["n_words"] == 0 and len(one) == len(rows)
 
 
+def test_a_column_called_like_the_helpers_stays(docs, spark):
+    frame = docs([(1, prose(1, 20)), (2, "clean")]).withColumnsRenamed({"uid": "__uid", "key": "__key"})
+    bench = spark.createDataFrame([("a", prose(1, 20))], "item_id string, text string")
+    for width in (400_000, 6):
+        out = d.find_contamination(frame.withColumn("__found", frame["size"]), bench, block_windows=width)
+        assert sorted((r["doc_id"], r["__uid"], r["__key"], r["__found"]["items"]) for r in out.collect()) == [(1, "u", "k", ["a"]), (2, "u", "k", [])]
+
+
 def test_removal(docs, spark):
     passage = prose(1, 20)
     rows = [(1, f"Before, {passage}! After"), (2, f"{prose(2, 800)} {passage}"), (3, "clean"), (4, None)]

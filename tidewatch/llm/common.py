@@ -13,18 +13,21 @@ from pyspark.sql.window import Window
 
 from tidewatch.session import materialize, release
 
-__all__ = ["components", "kept", "materialize", "numbered", "release", "small_batches", "source", "table", "text_key", "tasks"]
+__all__ = ["components", "kept", "materialize", "numbered", "release", "small_batches", "source", "table", "text_key", "tasks", "unused"]
 
 #: Rows of one Arrow batch: texts differ in length by five orders of magnitude.
 BATCH_ROWS = 256
 
 
-def kept(kind: str, key: object, make: Callable[[], Any]) -> Any:
+def kept(kind: str, key: object, make: Callable[[], Any], alone: bool = False) -> Any:
     """``make()``, once in the life of a Python worker; later tasks of the worker get the same object.
 
     Functions of the package travel by value, so its own globals are new in every task.
+    With ``alone`` objects of other kinds, which earlier jobs left, go first.
     """
     state = sys.modules.setdefault("tidewatch_worker_state", types.ModuleType("tidewatch_worker_state")).__dict__
+    for other in [k for k in state if alone and k != kind and not k.startswith("__")]:
+        del state[other]
     if state.get(kind, (None,))[0] != key:
         state[kind] = (key, make())
     return state[kind][1]
@@ -52,6 +55,13 @@ def source(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{theirs}`").alias(ours) for ours, theirs in columns.items()])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as keep it apart from the columns of ``df``."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that stand for a whole text; null stands for the empty text."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

@@ -8,7 +8,7 @@ What is broadcast is a number for each window, never its items: windows of the s
 items share a number, and rows with hits join their numbers to the items afterwards.
 The broadcast set has a bound: ``block_windows`` windows. A larger benchmark is
 cut by hash into blocks that keep the bound, and the documents are scanned once a
-block; what earlier blocks found travels with the row. So every size is exact.
+block; further blocks return hits alone. So every size is exact.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import materialize, small_batches, source, table
+from tidewatch.llm.common import kept, materialize, small_batches, source, table, unused
 
 WIDTH = 13
 #: Windows of one broadcast block, about 300 bytes each in a worker.
@@ -121,6 +123,8 @@ FOUND = T.StructType(
         T.StructField("items", T.ArrayType(T.StringType())),
     ]
 )
+#: What a further block finds: no texts, and only rows with hits.
+HITS = "uid long, spans array<long>, numbers array<long>"
 SCANNED = T.StructType([*FOUND.fields[:2], T.StructField("numbers", T.ArrayType(T.LongType()))])
 
 
@@ -135,52 +139,88 @@ def find_contamination(
 ) -> DataFrame:
     """``docs`` with ``__found``: n_words, spans (start, end, start, end, … in words) and items.
 
-    Every row of ``docs`` stays, once, with all its columns. Null and empty texts
-    have no words and no hits. Items without words have no windows; an item whose
-    id is null marks its words but is not listed. An empty benchmark hits nothing.
+    Every row of ``docs`` stays, once, with all its columns; one called ``__found`` is
+    replaced. Null and empty texts have no words and no hits. Items without words have
+    no windows; an item whose id is null marks its words but is not listed. An empty
+    benchmark hits nothing.
+
+    The rows are written once, with what the first block found. Any further block reads
+    the texts again and returns its hits alone, which join their rows at the end.
     """
     spark = docs.sparkSession
-    out = docs.withColumn("__found", F.lit(None).cast(SCANNED))
+    uid = unused(docs, "__uid")
+    rows = docs.withColumn("__found", F.lit(None).cast(SCANNED)).withColumn(uid, F.monotonically_increasing_id())
     blocks, owners = benchmark_blocks(benchmark, item_id, item_text, width, block_windows)
-    schema = out.schema
+    schema, more = rows.schema, []
+    small_batches(spark)
     for k, block in enumerate(blocks):
-        rows = [(r["gram"], r["number"]) for r in block.collect()]  # bounded by block_windows
-        if len(rows) > block_windows:
-            raise RuntimeError(f"a block holds {len(rows)} windows; block_windows is {block_windows}")
-        sent = spark.sparkContext.broadcast(rows)
-
-        def scan(batches, sent=sent):
-            known = Windows(sent.value)
+        listed = [(r["gram"], r["number"]) for r in block.collect()]  # bounded by block_windows
+        if len(listed) > block_windows:
+            raise RuntimeError(f"a block holds {len(listed)} windows; block_windows is {block_windows}")
+        sent, mark = spark.sparkContext.broadcast(listed), uuid.uuid4().hex
+
+        def scanned(b, sent=sent, mark=mark):
+            known = kept("windows", mark, lambda: Windows(sent.value), alone=True)  # one block's set in a worker at a time
+            found = []
+            for t in b[text].to_pylist():
+                w = words(t)
+                spans, numbers = known.find(w)
+                found.append({"n_words": len(w), "spans": [x for s in spans for x in s], "numbers": sorted(numbers)})
+            return found
+
+        def first(batches, scanned=scanned):
             for b in batches:
-                found = []
-                for t, was in zip(b[text].to_pylist(), b["__found"].to_pylist(), strict=True):
-                    w = words(t)
-                    spans, numbers = known.find(w)
-                    if was:
-                        old = was["spans"]
-                        spans = merged([*spans, *zip(old[::2], old[1::2], strict=True)])
-                        numbers.update(was["numbers"])
-                    found.append({"n_words": len(w), "spans": [x for s in spans for x in s], "numbers": sorted(numbers)})
                 at = b.schema.get_field_index("__found")
-                yield b.set_column(at, b.schema.field(at).name, pa.array(found, b.schema.field(at).type))
+                yield b.set_column(at, b.schema.field(at).name, pa.array(scanned(b), b.schema.field(at).type))
+
+        def later(batches, scanned=scanned):
+            for b in batches:
+                hits = [(u, f["spans"], f["numbers"]) for u, f in zip(b[uid].to_pylist(), scanned(b), strict=True) if f["spans"]]
+                columns = [pa.array([h[i] for h in hits], kind) for i, kind in enumerate((pa.int64(), *[pa.list_(pa.int64())] * 2))]
+                yield pa.RecordBatch.from_arrays(columns, ["uid", "spans", "numbers"])
+
+        if k == 0:
+            rows = materialize(rows.mapInArrow(first, schema), "scanned")
+        else:
+            more.append(materialize(rows.select(uid, text).mapInArrow(later, HITS), "scanned-hits"))
+        sent.destroy()
+    if more:
+        own = rows.filter(F.size("__found.spans") > 0).select(F.col(uid).alias("uid"), "__found.spans", "__found.numbers")
+        rows = _with_hits(rows, reduce(DataFrame.union, more, own), uid)
+    return with_items(rows.drop(uid), owners)
+
+
+def _with_hits(rows: DataFrame, hits: DataFrame, uid: str) -> DataFrame:
+    """``rows`` with the hits of all blocks in ``__found``."""
+
+    def together(batches):
+        for b in batches:
+            spans = [[x for s in merged([p for one in every for p in zip(one[::2], one[1::2], strict=True)]) for x in s] for every in b["spans"].to_pylist()]
+            numbers = [sorted({n for one in every for n in one}) for every in b["numbers"].to_pylist()]
+            columns = [b["uid"], pa.array(spans, pa.list_(pa.int64())), pa.array(numbers, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "spans", "numbers"])
 
-        small_batches(spark)
-        out = materialize(out.mapInArrow(scan, schema), "scanned")  # one block's set in a worker at a time
-    return with_items(out, owners)
+    every = hits.groupBy("uid").agg(F.collect_list("spans").alias("spans"), F.collect_list("numbers").alias("numbers"))  # a row a block
+    union = unused(rows, "__all")
+    every = every.mapInArrow(together, HITS).select(F.col("uid").alias(uid), F.struct("spans", "numbers").alias(union))
+    found = F.struct(F.col("__found.n_words").alias("n_words"), F.col(f"{union}.spans").alias("spans"), F.col(f"{union}.numbers").alias("numbers"))
+    joined = rows.join(every, uid, "left").withColumn("__found", F.when(F.col(union).isNotNull(), found.cast(SCANNED)).otherwise(F.col("__found")))
+    return joined.select(*rows.columns)
 
 
 def with_items(scanned: DataFrame, owners: DataFrame) -> DataFrame:
     """The items of the numbers in ``__found``, worked out once for rows of the same numbers; rows without hits are not moved."""
-    hit = F.size("__found.numbers") > 0
-    rows = scanned.filter(hit).withColumn("__key", F.md5(F.array_join("__found.numbers", ",")))
-    sets = rows.select("__key", "__found.numbers").distinct().select("__key", F.explode("numbers").alias("number"))
-    items = sets.join(owners, "number").groupBy("__key").agg(F.array_sort(F.collect_set("item_id")).alias("__items"))
+    hit, key = F.size("__found.numbers") > 0, unused(scanned, "__key")
+    rows = scanned.filter(hit).withColumn(key, F.md5(F.array_join("__found.numbers", ",")))
+    sets = rows.select(key, "__found.numbers").distinct().select(key, F.explode("numbers").alias("number"))
+    listed = unused(scanned, "__items")
+    items = sets.join(owners, "number").groupBy(key).agg(F.array_sort(F.collect_set("item_id")).alias(listed))
 
     def finished(items: Column) -> Column:
         return F.struct(F.col("__found.n_words").alias("n_words"), F.col("__found.spans").alias("spans"), items.alias("items")).cast(FOUND)
 
     none = F.array().cast("array<string>")
-    rows = rows.join(items, "__key", "left").withColumn("__found", finished(F.coalesce("__items", none))).select(*scanned.columns)
+    rows = rows.join(items, key, "left").withColumn("__found", finished(F.coalesce(listed, none))).select(*scanned.columns)
     return rows.union(scanned.filter(~hit).withColumn("__found", finished(none)))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.blocks import block_pairs, forest, in_blocks, units
-from tidewatch.llm.common import components, kept, materialize, small_batches, source, table, text_key
+from tidewatch.llm.common import components, kept, materialize, small_batches, source, table, text_key, unused
 from tidewatch.llm.decontaminate import words
 
 WORDS, THRESHOLD = 5, 0.8
@@ -299,14 +299,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     rows without words all stay.
     """
     decided = near_groups(docs, doc_id, text, **options).filter("kept")
-    stay = decided.select(
-        F.col("key").alias("__key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id")
-    ).distinct()
+    key, own, nth = (unused(docs, name) for name in ("__key", "__id", "__nth"))
+    stay = decided.select(F.col("key").alias(key), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(own)).distinct()
     wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")
-    keyed = docs.withColumn("__key", text_key(F.col(text))).withColumn("__id", F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")))
-    rows = keyed.join(stay, ["__key", "__id"], "left_semi")
-    rows = rows.withColumn("__nth", F.when(wordless, F.monotonically_increasing_id()).otherwise(F.lit(-1)))
-    return rows.dropDuplicates(["__key", "__id", "__nth"]).select(*docs.columns)
+    keyed = docs.withColumn(key, text_key(F.col(text))).withColumn(own, F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")))
+    rows = keyed.join(stay, [key, own], "left_semi")
+    rows = rows.withColumn(nth, F.when(wordless, F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    return rows.dropDuplicates([key, own, nth]).select(*docs.columns)
 
 
 def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
