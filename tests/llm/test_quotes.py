@@ -63,3 +63,25 @@ def test_deeper_quotes_rewrapped_quotes_and_latest_owners_link(spark):
         (1, 9, "u", f"> Hello there.\n> {LONG}\nmost words"),
     ]
     assert [r["reply_to"] for r in link(spark, rows)] == [None, 0, 0, 0, None, 4, 4, 5, None, 0]
+
+
+def test_many_lines_take_time_in_proportion(spark):
+    """A message of 20,000 lines, every second one quoted, and the one it answers."""
+    import time
+
+    def took(n):
+        said = "\n".join(f"line {k} says w{k} and w{k * 7} to you" for k in range(n // 2))
+        answer = "\n".join(f"> line {k} says w{k} and w{k * 7} to you\nyes {k}" for k in range(n // 2))
+        start = time.time()
+        got = link(spark, [(1, 0, "a", said), (1, 1, "b", answer)])
+        assert got[1]["reply_to"] == 0 and got[1]["n_quoted"] == n // 2 and got[1]["text"].count("\n") == n // 2 - 1
+        return time.time() - start
+
+    took(100)
+    assert took(20_000) < 8 * took(5_000) + 5
+
+
+def test_an_introduction_of_any_length(spark):
+    who = "x" * 500
+    got = link(spark, [(1, 0, "a", "Where is the boat now?"), (1, 1, "b", f"On Monday, {who} wrote{' ' * 100}:\n> Where is the boat now?\nHere")])
+    assert got[1]["text"] == "Here" and got[1]["n_quoted"] == 2

@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 from tidewatch.llm.common import components, materialize, source, table
 
 _MARKS = r"^((?:[ \t]*>)+)"
-#: "On <when>, <who> wrote:" before a quote, up to 200 characters.
-_INTRO = r"^(?:On|Am|Le|El) .{1,200}(?:wrote|schrieb|écrit|escribió)[^:]{0,80}:$"
+#: "On <when>, <who> wrote:" before a quote.
+_INTRO = r"^(?:On|Am|Le|El) .+(?:wrote|schrieb|écrit|escribió)[^:]*:$"
 
 
 #: Words of a piece; shorter lines and sentences are pieces as they are.
@@ -50,16 +50,21 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def lines_of(text: Column) -> Column:
-    """Lines of a text with their levels; a line that introduces a quote counts as quoted."""
-    marked = F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n"), lambda x: F.struct(x.alias("line"), level(x).alias("level")))
+def with_lines(rows: DataFrame) -> DataFrame:
+    """``rows`` with the lines of ``text`` and their levels; a line that introduces a quote counts as quoted.
+
+    The levels are a column of a step of their own, so a line looks at the next one and
+    nothing is worked out twice.
+    """
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n")
+    marked = rows.withColumn("marked", F.transform(lines, lambda x: F.struct(x.alias("line"), level(x).alias("level"))))
 
     def judge(x: Column, i: Column) -> Column:
-        follows = F.coalesce(F.get(marked, i + 1)["level"], F.lit(0)) > 0
+        follows = F.coalesce(F.get(F.col("marked"), i + 1)["level"], F.lit(0)) > 0
         intro = follows & x["line"].rlike(_INTRO)
         return F.struct(x["line"].alias("line"), F.when(intro, -1).otherwise(x["level"]).alias("level"))
 
-    return F.transform(marked, judge)
+    return marked.withColumn("lines", F.transform("marked", judge)).drop("marked")
 
 
 def own_text(lines: Column) -> Column:
@@ -82,7 +87,8 @@ def pieces(messages: DataFrame) -> DataFrame:
     lines = short(F.split("text", "\n"))
     sentences = short(F.split("text", r"(?<=[.!?])\s+|\n\s*\n"))
     words = messages.select(*keys, words_of(F.col("text")).alias("words")).filter(F.size("words") >= WORDS)
-    windows = F.transform(F.sequence(F.lit(0), F.size("words") - WORDS), lambda i: F.md5(F.array_join(F.slice("words", i + 1, WORDS), " ")))
+    windows = F.transform("words", lambda w, i: F.md5(F.concat_ws(" ", w, *[F.get(F.col("words"), i + k) for k in range(1, WORDS)])))
+    windows = F.slice(windows, F.lit(1), F.size("words") - WORDS + 1)
     runs = words.select(*keys, F.posexplode(windows).alias("start", "hash")).select(*keys, "hash", "start", F.lit(WORDS).alias("size"))
     return lines.union(sentences).union(runs).withColumn("hash", F.unhex("hash"))
 
@@ -123,8 +129,8 @@ def link_quotes(
     a tree. Null ids or turns link with nothing, null texts have no lines, and rows
     with the same id and turn are one message with the lines of all.
     """
-    rows = source(messages, conv_id=conv_id, turn=turn, role=role, text=text).withColumn("lines", lines_of(F.col("text")))
-    rows = materialize(rows, "chat-lines")
+    rows = source(messages, conv_id=conv_id, turn=turn, role=role, text=text)
+    rows = materialize(with_lines(rows), "chat-lines")
     best = F.max(F.struct((-F.col("level")).alias("near"), "words", "from"))
     replies = reply_votes(rows).groupBy("conv_id", "turn").agg(best["from"].alias("reply_to"))
     replies = materialize(replies, "chat-replies")
