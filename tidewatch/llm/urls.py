@@ -2,9 +2,8 @@
 
 The tree grows level by level until no path has segments left; segments that all
 paths of a node share are taken in one step. Numbers in a segment are *variable*.
-So are the infrequent children of a node that has too many different ones for
-their pages: they become one wildcard. All others are branches, however many;
-branches next to each other in their share of blocked pages are merged while a
+So are the infrequent children of a node, however many or few: they become one
+wildcard. The others are branches; branches next to each other in their share of blocked pages are merged while a
 two-proportion test cannot tell them apart. A template is a path from the root; it
 is rejected if the smoothed share of blocked pages among its labelled ones is high
 enough.
@@ -25,12 +24,11 @@ from tidewatch.llm.common import materialize, source, table
 
 #: (verdict, host and path); a rule fits its host and all subdomains.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: A node with more children than this, or with fewer than two pages a child, has a variable segment.
 #: A merged branch of more children is named by its first one and their number.
-CHILDREN = 16
+NAMED = 16
 #: Two branches differ if their shares lie this many standard errors apart.
 Z = 1.96
-#: Children with fewer pages are infrequent: ``Z`` cannot tell all blocked from none blocked among 3 pages each, but among 4.
+#: Children with fewer pages are infrequent and share the wildcard: ``Z`` cannot tell all blocked from none blocked among 3 pages each, but among 4.
 ENOUGH = 4
 #: Weight of the prior, and the share of blocked pages from which a template is rejected.
 PRIOR_PAGES, REJECT = 4.0, 0.8
@@ -80,7 +78,7 @@ def _branches(children: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("nth", F.sum("new").over(siblings.rowsBetween(Window.unboundedPreceding, 0)))
     pairs = pairs.withColumn("members", F.sum("segs").over(Window.partitionBy("host", "node", "nth")))
     named = children.join(pairs.select("host", "node", "pages", "blocked", "nth", "members"), ["host", "node", "pages", "blocked"])
-    few = F.col("members") <= CHILDREN  # the names of a larger branch are never gathered
+    few = F.col("members") <= NAMED  # the names of a larger branch are never gathered
     groups = named.groupBy("host", "node", "nth").agg(
         F.array_sort(F.collect_list(F.when(few, F.col("seg")))).alias("names"), F.min("seg").alias("least"), F.max("members").alias("members")
     )
@@ -95,10 +93,7 @@ def _level(paths: DataFrame) -> DataFrame:
     step = materialize(_jump(paths), "url-shared").withColumn("seg", F.get("rest", F.lit(0)))
     children = step.filter("seg IS NOT NULL").groupBy("host", "node", "seg").agg(F.sum("pages").alias("pages"), F.sum("blocked").alias("blocked"))
     children = materialize(children, "url-children")
-    nodes = children.groupBy("host", "node").agg(F.count(F.lit(1)).alias("kinds"), F.sum("pages").alias("all"))
-    nodes = nodes.withColumn("variable", (F.col("kinds") > CHILDREN) | ((F.col("all") >= 4) & (F.col("kinds") * 2 > F.col("all"))))
-    children = children.join(nodes.select("host", "node", "variable"), ["host", "node"])
-    frequent = _branches(children.filter(~F.col("variable") | (F.col("pages") >= ENOUGH)).drop("variable"))
+    frequent = _branches(children.filter(F.col("pages") >= ENOUGH))
     step = step.join(frequent, ["host", "node", "seg"], "left")
     grown = F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), F.coalesce("branch", F.lit("*"))))
     rest = F.slice("rest", F.lit(2), F.size("rest"))
