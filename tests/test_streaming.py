@@ -258,3 +258,59 @@ def test_backfill_skips_what_got_evidence_meanwhile(spark):
     assert [r.pickup_zone for r in got] == ["a"]
     assert got[0].anomaly_reason == "Surge. Likely cause: Parade (parade, high impact)."
     assert {got[0].top_chunk_1, got[0].top_chunk_2} == {"jazz night", "parade day"} and got[0].top_chunk_3 == ""
+
+
+def messages(spark, lo, hi):
+    """Offset n of partition n % 2 is n; a message a minute."""
+    from tidewatch.sources.captured_stream import SCHEMA
+
+    rows = [(n % 2, n, f"k{n}", f"v{n}", T0 + dt.timedelta(minutes=n)) for n in range(lo, hi)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize(("start", "first"), [("earliest", 0), ("latest", 40), ("2026-05-29T08:21:00", 21), ("2026-05-29T10:20:30+02:00", 21), ("2027-01-01T00:00:00", 40)])
+def test_captured_messages_from_a_start_position(spark, tmp_path, start, first):
+    from tidewatch.sources.captured_stream import captured_stream, write_captured
+
+    path, got = str(tmp_path / "capture"), lambda: sorted(r.offset for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    run = lambda s=start: done(jobs.append(captured_stream(spark, path, s), str(tmp_path / "out"), str(tmp_path / "cp")))
+    write_captured(messages(spark, 0, 25), path)
+    write_captured(messages(spark, 25, 40), path)
+    run()
+    assert got() == list(range(first, 40))
+    write_captured(messages(spark, 40, 50), path)
+    write_captured(messages(spark, 50, 53).withColumn("partition", F.lit(7)), path)  # a partition that is new
+    run("latest")  # a checkpoint goes on where it ended, whatever the start says
+    assert got() == list(range(first, 53))
+    rows = {r.offset: (r.partition, r.key, r.ts) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert rows[45] == (1, "k45", T0 + dt.timedelta(minutes=45)) and rows[51][0] == 7
+
+
+def test_late_rows_are_kept_beside(spark, tmp_path):
+    land(spark, tmp_path / "in", [ride(0, 0)], [ride(1, 300)], [ride(2, 310)], [ride(3, 1)], [ride(4, 306)], [ride(5, 900), ride(6, 2)], [ride(7, 250)])
+    source = jobs.table_stream(spark, f"{tmp_path}/in/*", RIDES, files_per_trigger=1)
+    done(jobs.split_late(source, str(tmp_path / "out"), str(tmp_path / "cp")))
+    ids = lambda df: sorted(r.request_id for r in df.collect())
+    kept, late = jobs.on_time(spark, str(tmp_path / "out"), RIDES), jobs.late(spark, str(tmp_path / "out"), RIDES)
+    assert ids(late) == ["R3", "R6", "R7"] and ids(kept) == ["R0", "R1", "R2", "R4", "R5"]
+    assert {r.request_id: r.batch for r in late.collect()} == {"R3": 3, "R6": 5, "R7": 6}
+    assert jobs.late(spark, str(tmp_path / "none"), RIDES).count() == 0
+
+
+def test_running_totals_merge_batches_and_runs(spark, tmp_path):
+    table = KeyedTable(str(tmp_path / "table"), ["zone"], "part", F.lit("all"))
+    schema = "zone string, n long"
+
+    def feed(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        source = jobs.table_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)
+        done(jobs.running_table(source.groupBy("zone").agg(F.sum("n").alias("n")), table, str(tmp_path / "cp")))
+        return {r.zone: r.n for r in table.read(spark).collect()}
+
+    feed(("a", 1), ("b", 2))
+    feed(("a", 10))
+    assert run() == {"a": 11, "b": 2}
+    feed(("b", 5), ("c", 7))
+    assert run() == {"a": 11, "b": 7, "c": 7}

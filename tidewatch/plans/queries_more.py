@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import first_embedding
 from tidewatch.operators import joins
+from tidewatch.operators.aggregates import latest_per_zone, stage_counters
 from tidewatch.operators.keyed import RETENTION_DAYS, KeyedTable, remove_keys, upsert_merge
 from tidewatch.operators.models import HashEmbedder, embed, generate, lateral
 from tidewatch.plans import bootstrap
@@ -15,6 +16,7 @@ from tidewatch.plans.registry import CALENDAR_SQL, EVENT_TRAFFIC, RAW_SQL, RIDES
 from tidewatch.session import materialize, new_path
 from tidewatch.sources import seeds, sinks
 from tidewatch.sources import tables as t
+from tidewatch.sources.captured_stream import captured_stream, write_captured
 from tidewatch.sources.rides import with_event_time
 from tidewatch.streaming import jobs
 
@@ -226,6 +228,97 @@ def _(spark, d):
     return jobs.progress_rows(spark, path).agg(F.sum("input_rows").alias("input_rows"), F.sum("late_rows").alias("late_rows"))
 
 
+@query(
+    "st3_late_table",
+    f"""WITH {LATE_SQL}, told AS (SELECT *, CAST(request_id AS BIGINT) % 2 = 1 AND (epoch_us(request_ts) // 3600000000 + 1) * 3600000000 <= w AS is_late FROM rides, mark)
+    SELECT pickup_zone, is_late, count(*) AS rows, CAST(sum(number_of_passengers) AS BIGINT) AS passengers FROM told GROUP BY ALL""",
+)
+def _(spark, d):
+    """Late rows are kept as rows: counted and late ones together are all."""
+    path, mark, newer = new_path(spark, "split"), new_path(spark, "mark"), F.col("event_id") % 2 == 0
+    schema = _rides(spark, d, newer).schema
+
+    def consume(feed):
+        jobs.split_late(jobs.table_stream(spark, feed, schema), path, mark, size="1 hour").awaitTermination()
+
+    _fed(spark, [_rides(spark, d, newer), _rides(spark, d, ~newer)], consume)
+    both = jobs.on_time(spark, path, schema).withColumn("is_late", F.lit(False)).unionByName(jobs.late(spark, path, schema).withColumn("is_late", F.lit(True)))
+    return both.groupBy("pickup_zone", "is_late").agg(F.count(F.lit(1)).alias("rows"), F.sum("number_of_passengers").alias("passengers"))
+
+
+def _running(spark, rows: DataFrame, total, table: KeyedTable) -> DataFrame:
+    """A table's rows fed in three batches to an update-mode aggregate; the keyed table at the end."""
+    rows, mark = materialize(rows, "changes"), new_path(spark, "mark")
+    parts = [rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(3)) == k) for k in range(3)]
+
+    def consume(feed):
+        jobs.running_table(total(jobs.table_stream(spark, feed, rows.schema)), table, mark).awaitTermination()
+
+    _fed(spark, parts, consume)
+    return table.read(spark)
+
+
+@query(
+    "a7_running_counters",
+    f"""WITH {EVENT_TRAFFIC} SELECT 'requests' AS stage, CAST(sum(request_count) AS BIGINT) AS value FROM traffic UNION ALL SELECT 'window', count(*) FROM traffic
+    UNION ALL SELECT 'detect', count(*) FILTER (request_count % 3 > 0) FROM traffic UNION ALL SELECT 'context', count(*) FILTER (request_count % 3 = 1) FROM traffic
+    UNION ALL SELECT 'agent', count(*) FILTER (request_count % 2 = 1) FROM traffic UNION ALL SELECT 'dispatch', count(*) FILTER (request_count % 2 = 1) FROM traffic""",
+)
+def _(spark, d):
+    """Counters of a feed that arrives in batches; each sends the stages that changed."""
+    traffic = i.traffic(spark, d)
+    n = F.col("request_count")
+
+    def part(df, name):
+        return df.select(F.lit(name).alias("collection"), "request_count", (n % 3 == 1).alias("has_evidence"), "pickup_zone", "window_time")
+
+    feed = part(traffic, "zone_traffic").unionByName(part(traffic.where(n % 3 > 0), "zone_anomalies")).unionByName(part(traffic.where(n % 2 == 1), "dispatch_log"))
+    table = KeyedTable(new_path(spark, "counters"), ["stage"], "part", F.lit("all"))
+    return _running(spark, feed, stage_counters, table).select("stage", "value")
+
+
+@query(
+    "a8_running_latest",
+    f"""WITH {EVENT_TRAFFIC} SELECT pickup_zone AS zone, max(window_start) AS window_start, arg_max(request_count, window_start) AS request_count FROM traffic GROUP BY 1""",
+)
+def _(spark, d):
+    """The newest window of every zone while windows arrive in any order."""
+    table = KeyedTable(new_path(spark, "latest"), ["zone"], "part", F.lit("all"))
+    return _running(spark, i.sunk_traffic(spark, d).select("zone", "window_start", "request_count"), latest_per_zone, table).drop("part", "batch")
+
+
+def _captured(spark, d) -> DataFrame:
+    return t.table(spark, d, "events").select(
+        (F.col("user_id") % 3).cast("int").alias("partition"), F.col("event_id").alias("offset"), F.col("event_type").alias("key"),
+        F.col("props").alias("value"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+
+
+_FROM_SQL = """half AS (SELECT max(event_id) // 2 AS h FROM events), first AS (SELECT user_id % 3 AS part,
+    coalesce(min(event_id) FILTER (ts >= TIMESTAMP '2024-01-08 00:00:00'), any_value(h) + 1) AS low FROM events, half WHERE event_id <= h GROUP BY 1)"""
+
+
+@query(
+    "st5_start_positions",
+    f"""WITH {_FROM_SQL} SELECT 'earliest' AS start, CAST(user_id % 3 AS INTEGER) AS partition, event_id AS "offset", event_type AS key FROM events
+    UNION ALL SELECT 'latest', user_id % 3, event_id, event_type FROM events, half WHERE event_id > h
+    UNION ALL SELECT 'instant', user_id % 3, event_id, event_type FROM events JOIN first ON user_id % 3 = part WHERE event_id >= low""",
+)
+def _(spark, d):
+    """Three consumers of one capture start before it grows and are restarted after."""
+    path = new_path(spark, "capture")
+    rows = materialize(_captured(spark, d), "messages")
+    half = rows.agg(F.floor(F.max("offset") / 2).alias("h")).first()["h"]
+    starts = {"earliest": "earliest", "latest": "latest", "instant": "2024-01-08T00:00:00"}
+    out = {name: (new_path(spark, name), new_path(spark, "mark")) for name in starts}
+    for part in (F.col("offset") <= half, F.col("offset") > half):
+        write_captured(rows.where(part), path)
+        for name, start in starts.items():
+            jobs.append(captured_stream(spark, path, start), *out[name]).awaitTermination()
+    parts = [spark.read.schema(rows.schema).parquet(p).select(F.lit(name).alias("start"), "partition", "offset", "key") for name, (p, _) in out.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "st4_fan_out",
     f"""WITH {RIDES} SELECT 'sink' AS consumer, count(*) AS rows FROM rides UNION ALL SELECT 'explain', count(DISTINCT pickup_zone) FROM rides

@@ -105,6 +105,69 @@ def keyed_sink(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def running_table(totals: DataFrame, table: KeyedTable, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Running aggregates of a stream as a keyed table: each batch sends the keys that changed (update mode).
+
+    ``totals`` is grouped by the table's keys. The state merges the partial sums; a row
+    carries the batch that it is of, so a batch that runs again replaces nothing newer.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table.apply(batch.withColumn("batch", F.lit(batch_id).cast("long")), order="batch", name=str(batch_id))
+
+    writer = totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    with own_state(totals.sparkSession):
+        return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def split_late(
+    rides: DataFrame, path: str, checkpoint: str, at: str = "request_ts", size: str = "1 minute", delay: str = "5 seconds", once: bool = True
+) -> StreamingQuery:
+    """Rows whose window has closed before their batch go to a side table, all others to the main one.
+
+    The watermark lags one batch: it is the newest time of the batches before, less
+    ``delay``, and a row is late if its window of ``size`` ends by then, as in
+    :func:`traffic`. Every batch writes its rows, its late rows and its newest time under its own number,
+    so a batch that runs again writes the same files. Read with :func:`on_time` and :func:`late`.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = _numbered(spark, f"{path}/newest", "newest timestamp").where(F.col("batch") < batch_id)
+        mark = seen.agg(F.max("newest").alias("m")).select(F.expr(f"m - INTERVAL {delay}")).first()[0]  # one row a batch
+        batch.persist()
+        try:
+            closed = F.window(at, size)["end"] <= F.lit(mark).cast("timestamp")
+            behind = F.coalesce(closed, F.lit(False))
+            batch.where(~behind).write.mode("overwrite").parquet(f"{path}/on_time/batch={batch_id}")
+            batch.where(behind).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+            batch.agg(F.max(at).cast("timestamp").alias("newest")).write.mode("overwrite").parquet(f"{path}/newest/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    writer = rides.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def _numbered(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """What batches have written under their numbers; none yet is an empty table."""
+    schema = T.StructType([*T.StructType.fromDDL(ddl).fields, T.StructField("batch", T.LongType())])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def on_time(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows that :func:`split_late` let through, with their batch."""
+    return _numbered(spark, f"{path}/on_time", schema.toDDL())
+
+
+def late(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows that came too late, with their batch."""
+    return _numbered(spark, f"{path}/late", schema.toDDL())
+
+
 def fan_out(
     open_stream: Callable[[], DataFrame], consumers: Mapping[str, Callable[[DataFrame, int], None]], checkpoint: str, once: bool = True
 ) -> dict[str, StreamingQuery]:
