@@ -149,3 +149,83 @@ def test_large_doubles_keep_their_differences(spark):
         past = x[max(0, k - 30) : k]
         half = z_value(99.0) * stdev(past) * (1 + 1 / len(past)) ** 0.5
         assert abs(got[k]["half"] - half) < 1e-4 and abs(got[k]["forecast"] - mean(past)) < 1e-5
+
+
+# -- seasonal-trend decomposition ------------------------------------------------------
+
+
+def plain_loess(y, q, x):
+    """One local fit, with lists."""
+    n = len(y)
+    k = min(q, n)
+    left = min(max(x - (k - 1) // 2, 0), n - k)
+    near = range(left, left + k)
+    h = max(max(abs(i - x) for i in near) + max(0, (q - n) // 2), 1) * 1.001
+    w = [(1 - (abs(i - x) / h) ** 3) ** 3 for i in near]
+    total = sum(w)
+    mx, my = (sum(a * b for a, b in zip(w, c)) / total for c in (near, [y[i] for i in near]))
+    sxx = sum(a * (i - mx) ** 2 for a, i in zip(w, near)) / total
+    sxy = sum(a * (i - mx) * y[i] for a, i in zip(w, near)) / total
+    return my + (sxy / sxx * (x - mx) if sxx > 1e-12 else 0)
+
+
+def plain_stl(y, period, seasonal):
+    from tidewatch.operators.seasonal import PASSES, windows_of
+
+    n, (low, window) = len(y), windows_of(period, seasonal)
+    trend = [0.0] * n
+    for _ in range(PASSES):
+        cycle = [0.0] * (n + 2 * period)
+        for phase in range(period):
+            sub = [y[i] - trend[i] for i in range(phase, n, period)]
+            for j in range(-1, len(sub) + 1):
+                cycle[phase + (j + 1) * period] = plain_loess(sub, seasonal, j)
+        wide = cycle
+        for k in (period, period, 3):
+            cycle = [sum(cycle[i : i + k]) / k for i in range(len(cycle) - k + 1)]
+        season = [wide[i + period] - plain_loess(cycle, low, i) for i in range(n)]
+        trend = [plain_loess([a - b for a, b in zip(y, season)], window, i) for i in range(n)]
+    return trend, season
+
+
+def test_decomposition_equals_plain_loops_in_any_chunks(spark):
+    from tidewatch.operators.seasonal import decompose
+
+    rng = random.Random(6)
+    shape = [0, 1, 5, 9, 4]
+    series = {"long": 400, "short": 7, "two": 10}
+    rows, y = [], {}
+    for zone, n in series.items():
+        y[zone] = [0.0] * n
+        for k in range(n):
+            if 0 < k < n - 1 and rng.random() < 0.1:
+                continue  # a window without rides
+            y[zone][k] = 20 + k / 10 + shape[k % 5] + rng.randint(0, 3)
+            rows.append((zone, T0 + dt.timedelta(hours=k), y[zone][k]))
+    df = spark.createDataFrame([*rows, ("long", None, 1.0), (None, T0, 2.0)], "pickup_zone string, window_time timestamp, request_count double")
+    for chunk in (60, 100_000):
+        got = decompose(df, 3600, 5, chunk=chunk).collect()
+        assert len(got) == len(rows) + 2 and sum(r.trend is None for r in got) == 2
+        for zone in ("long", "two"):
+            trend, season = plain_stl(y[zone], 5, 7)
+            for r in got:
+                if r.pickup_zone == zone and r.window_time:
+                    k = round((r.window_time - T0).total_seconds() / 3600)
+                    assert abs(r.trend - trend[k]) < 1e-6 and abs(r.seasonal - season[k]) < 1e-6
+                    assert abs(r.trend + r.seasonal + r.remainder - r.request_count) < 1e-9
+        assert all(r.seasonal == 0 for r in got if r.pickup_zone == "short")
+
+
+def test_a_season_is_no_anomaly_but_a_shift_in_it_is(spark):
+    from tidewatch.operators.seasonal import detect_deseasoned
+
+    rng = random.Random(1)
+    values = [[2, 3, 40, 60, 8, 2][k % 6] + rng.randint(0, 1) for k in range(300)]
+    values[250] += 30  # at an hour that is otherwise quiet
+    rows = [("z", T0 + dt.timedelta(hours=k), v) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "pickup_zone string, window_time timestamp, request_count long")
+    plain = {r.window_time for r in detect(df, confidence=99.9, min_train=60).where("is_anomaly").collect()}
+    found = {r.window_time for r in detect_deseasoned(df, 3600, 6, confidence=99.9, min_train=60).where("is_anomaly").collect()}
+    at = T0 + dt.timedelta(hours=250)
+    # the same hours a few days around take a part of the jump into their season
+    assert at in found and at not in plain and all(abs(t - at) <= dt.timedelta(hours=3 * 6) for t in found)

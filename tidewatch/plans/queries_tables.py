@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators import aggregates as agg
-from tidewatch.operators import anomaly, feed, joins, keyed, topk
+from tidewatch.operators import anomaly, feed, joins, keyed, seasonal, topk
 from tidewatch.plans import inputs as i
 from tidewatch.plans.inputs import RAW_LOG_SQL
 from tidewatch.plans.registry import (
@@ -226,6 +226,19 @@ def _(spark, d):
     )
 
 
+@query(
+    "w4_decompose",
+    f"WITH {EVENT_TRAFFIC} SELECT pickup_zone, window_time, CAST(request_count AS DOUBLE) AS parts, true AS small FROM traffic",
+)
+def _(spark, d):
+    """Trend, day and remainder add up to the value, and the trend stays within the values."""
+    traffic = i.traffic(spark, d).select("pickup_zone", "window_time", "request_count")
+    parts = seasonal.decompose(traffic, 3600, 24)
+    most = traffic.agg(F.max("request_count")).scalar()
+    small = (F.abs("trend") <= 2 * most) & (F.abs("seasonal") <= 2 * most)
+    return parts.select("pickup_zone", "window_time", F.round(F.col("trend") + F.col("seasonal") + F.col("remainder"), 6).alias("parts"), small.alias("small"))
+
+
 @query("w3_detect_trend")
 def _(spark, d):
     return _scored(anomaly.detect_trend(i.traffic(spark, d), confidence=99.0, max_train=336))
