@@ -85,8 +85,8 @@ def nearest_point(points: DataFrame, waypoints: DataFrame, key: str = "zone") ->
     marks = materialize(places, "marks")
     count = marks.count()
     asked = points.select(F.col("lon").cast("double").alias("px"), F.col("lat").cast("double").alias("py"))
-    # a few bytes a point and much work: spread by number, not by size
-    asked = asked.where(_finite("px") & _finite("py")).distinct().repartition(tasks(points.sparkSession), "px", "py")
+    # a few bytes a point and much work: spread by number, not by size (by a key of its own, or the two shuffles become one)
+    asked = asked.where(_finite("px") & _finite("py")).distinct().repartition(tasks(points.sparkSession), F.xxhash64("px", "py"))
     asked = asked.withColumn("node", F.lit(0).cast("long"))
     if not count:
         return points.limit(0).select(key, F.lit(None).cast(marks.schema["idx"].dataType).alias("idx"), F.lit(None).cast("double").alias("d2"))
@@ -96,7 +96,8 @@ def nearest_point(points: DataFrame, waypoints: DataFrame, key: str = "zone") ->
     first = asked
     for depth in range(len(levels)):
         nearest = F.array_min(F.transform("children", lambda c: F.struct(_to_box(c).alias("d"), c["node"].alias("node"))))
-        first = _below(first, levels, depth).withColumn("node", nearest["node"]).drop("children")
+        # never null, so the next join has no reason to work it out once more for a filter
+        first = _below(first, levels, depth).withColumn("node", F.coalesce(nearest["node"], F.lit(-1))).drop("children")
     bound = F.array_min(F.transform("marks", lambda m: F.struct(_to_mark(m).alias("d2"), m["idx"].alias("idx"))))
     best = first.join(leaves if levels else F.broadcast(leaves), "node").select("px", "py", bound.alias("b"))
     if levels:
