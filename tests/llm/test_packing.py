@@ -71,3 +71,25 @@ def test_round_trip_of_documents(spark, docs):
             end += length
         assert end <= 2048
     assert packing.pack_documents(docs([])).count() == 0
+
+
+def plain_best_fit(counts, capacity):
+    """Sequences that best fit needs, longest first, one piece at a time."""
+    rooms = []
+    for length in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+        fits = [k for k, r in enumerate(rooms) if r >= length]
+        if fits:
+            k = min(fits, key=lambda k: rooms[k])
+            rooms[k] -= length
+        else:
+            rooms.append(capacity - length)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_never_more_sequences_than_plain_best_fit(seed):
+    r = random.Random(seed)
+    counts = defaultdict(int)
+    for _ in range(600):
+        counts[min(2048, int(r.choice([r.uniform(1, 2048), r.uniform(500, 900), r.lognormvariate(6, 1)])) + 1)] += 1
+    assert sum(t for t, _ in packing.schedule(dict(counts))) <= plain_best_fit(counts, 2048)

@@ -22,6 +22,40 @@ def test_scorer_equals_the_features():
     assert scorer.means([None, ""]).tolist() == [0, 0]
 
 
+def test_training_equals_a_plain_loop(monkeypatch):
+    """Averaged vectors, softmax and gradient steps number by number, without numpy."""
+    import math
+
+    monkeypatch.setattr(quality, "BITS", 5)
+    monkeypatch.setattr(quality, "EPOCHS", 3)
+    r = random.Random(5)
+    labels = [r.randrange(2) for _ in range(40)]
+    buckets = [sorted(r.sample(range(32), r.choice([0, 3, 9]))) for _ in labels]
+    weights = [[1 / max(len(b), 1)] * len(b) for b in buckets]
+    got, bias_got = quality.train([np.array(b, np.int32) for b in buckets], [np.array(w, np.float32) for w in weights], np.array(labels))
+
+    rng, dims = np.random.default_rng(7), quality.DIMENSIONS
+    vectors = rng.uniform(-1 / dims, 1 / dims, (32, dims)).tolist()
+    out, bias, order = [[0.0, 0.0] for _ in range(dims)], [0.0, 0.0], np.arange(len(labels))
+    for epoch in range(3):
+        rng.shuffle(order)
+        for done, i in enumerate(order.tolist()):
+            rate = quality.RATE * (1 - (epoch + done / len(order)) / 3)
+            hidden = [sum(w * vectors[b][d] for b, w in zip(buckets[i], weights[i], strict=True)) for d in range(dims)]
+            e = [math.exp(sum(h * out[d][c] for d, h in enumerate(hidden)) + bias[c]) for c in (0, 1)]
+            error = [e[c] / sum(e) - (labels[i] == c) for c in (0, 1)]
+            back = [sum(out[d][c] * error[c] for c in (0, 1)) for d in range(dims)]
+            for d in range(dims):
+                for c in (0, 1):
+                    out[d][c] -= rate * hidden[d] * error[c]
+            bias = [bias[c] - 0.1 * rate * error[c] for c in (0, 1)]
+            for b, w in zip(buckets[i], weights[i], strict=True):
+                # a text's step is shared by its features, so it is scaled up by their number
+                vectors[b] = [v - rate * len(buckets[i]) * w * g for v, g in zip(vectors[b], back, strict=True)]
+    want = [sum(v * (o[1] - o[0]) for v, o in zip(row, out, strict=True)) for row in vectors]
+    assert np.allclose(got, want, atol=1e-4) and abs(bias_got - (bias[1] - bias[0])) < 1e-4
+
+
 def test_held_out_is_the_crc_rule(spark):
     got = spark.range(500).select("id", quality.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in got)

@@ -56,3 +56,27 @@ def test_bytes_are_nearly_equal_and_groups_whole(docs):
     assert all(len(s) == 1 for s in shards.values())
     assert any(x["size"] > FINE for x in got)
     assert max(loads.values()) - min(loads.values()) < 0.01 * sum(loads.values()) / 8
+
+
+def test_loads_equal_plain_longest_processing_time(spark):
+    """The whole query against one heap over all groups, largest first."""
+    from tidewatch.llm.common import table
+    from tidewatch.llm.sharding import op2_sharding
+
+    sf = "/root/testdata/sf0.001"
+    groups = Counter()
+    for r in table(spark, sf, "documents").collect():
+        groups[r.text or ""] += len((r.text or "").encode()) + 8
+    small = {t: n for t, n in groups.items() if n <= FINE}
+    large = [(t, n) for t, n in groups.items() if n > FINE]
+    heap = [(0, k) for k in range(24)]
+    for _, n in sorted([*large, *small.items()], key=lambda g: -g[1]):
+        load, k = heapq.heappop(heap)
+        heapq.heappush(heap, (load + n, k))
+    got = Counter()
+    for r in op2_sharding(spark, sf).collect():
+        got[r["shard"]] += r["size"]
+    loads = sorted(got[k] for k in range(24))
+    assert sum(loads) == sum(groups.values()) and max(loads) <= 1.01 * max(x for x, _ in heap)
+    if not large:  # classes are exact sizes there, and equal sizes may swap
+        assert loads == sorted(x for x, _ in heap)

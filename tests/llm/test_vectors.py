@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tidewatch.llm import vectors
 from tidewatch.llm.common import table
@@ -53,6 +54,18 @@ def test_recall_against_all_pairs(spark):
     assert sum(got[k]["component_id"] == rows[root[k]][0] for k in got) >= 0.99 * len(rows)
 
 
+@pytest.mark.parametrize("dim", [8, 16, 256, 768])
+def test_pairs_just_above_the_threshold_in_any_dimension(spark, dim):
+    """Pairs at cosine 0.935, far from all others."""
+    r = np.random.default_rng(dim)
+    rows = []
+    for k in range(150):
+        a, b = np.linalg.qr(r.standard_normal((dim, 2)))[0].T
+        rows += [(2 * k, (3 * a).tolist(), k), (2 * k + 1, (0.935 * a + math.sqrt(1 - 0.935**2) * b).tolist(), k)]
+    got = near(spark, rows)
+    assert sum(x["n_links"] for x in got) >= 0.95 * len(rows) and all(x["n_links"] <= 1 for x in got)
+
+
 def test_a_dense_group_in_blocks(spark):
     r = np.random.default_rng(2)
     rows = [(k, (np.ones(16) + 0.01 * r.standard_normal(16)).tolist(), 1) for k in range(300)] + [(900 + k, [1.0] * 16, 1) for k in range(50)]
