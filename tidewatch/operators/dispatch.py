@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.prompts import dispatch_reason
@@ -16,32 +16,31 @@ from tidewatch.session import materialize, release
 MAX_BOATS = 8
 HIRED = "hired"
 SURGE = ["pickup_zone", "window_time"]
-#: Stops of the path in one chunk, and costs.
+#: Stops of the path in one chunk.
 STOPS = 4096
 
 
-def _ranked(boats: DataFrame) -> DataFrame:
-    """Boats numbered along the path from 0, upwards and downwards; within a stop the larger ones first."""
-    big = [F.col("capacity").desc(), "vessel_id"]
-    coarse = lambda c: F.floor(c / STOPS)
-    up = running_before(boats, [], ["stop", *big], F.col("stop"), {"up": F.lit(1).cast("long")}, coarse=coarse)
-    down = running_before(up.withColumn("__back", -F.col("stop")), [], ["__back", *big], F.col("__back"), {"down": F.lit(1).cast("long")}, coarse=coarse)
-    first = down.groupBy("stop").agg(F.min("up").alias("__first"))
-    return down.join(first, "stop").withColumn("place", F.col("up") - F.col("__first")).drop("__back", "__first")
+def _numbered(boats: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Boats numbered along the path from 0, upwards and downwards, larger ones first at
+    a stop; and for each zone the first number beyond it on either side."""
+    supply = boats.groupBy(F.col("stop").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    along = supply.unionByName(zones.select(F.col("zone").alias("at"), F.lit(0).cast("long").alias("n"))).groupBy("at").agg(F.sum("n").alias("n"))
+    line = running_before(along, [], ["at"], F.floor(F.col("at") / STOPS), {"below": F.col("n")}, totals=True)
+    beyond = F.col("below_total") - F.col("below") - F.col("n")
+    place = F.row_number().over(Window.partitionBy("stop").orderBy(F.col("capacity").desc(), "vessel_id")) - 1
+    placed = boats.withColumn("place", place).join(line.withColumnRenamed("at", "stop"), "stop")
+    placed = placed.withColumns({"up": F.col("below") + F.col("place"), "down": beyond + F.col("place")})
+    ends = line.withColumns({"first_up": F.col("below") + F.col("n"), "first_down": beyond + F.col("n")})
+    asked = zones.join(ends.select(F.col("at").alias("zone"), "first_up", "first_down"), "zone")
+    return placed.select("vessel_id", "stop", "capacity", "place", "up", "down"), asked
 
 
-def _claims(zones: DataFrame, boats: DataFrame) -> DataFrame:
-    """(zone, vessel) for the ``wanted`` nearest boats of each zone, those of its own stop excluded.
+def _claims(asked: DataFrame, boats: DataFrame) -> DataFrame:
+    """The ``wanted`` nearest boats of each zone, those of its own stop excluded.
 
     On either side of a zone its nearest boats have consecutive numbers along the path,
     so a zone names ``wanted`` numbers a side and meets those boats by equality.
     """
-    supply = boats.select(F.col("stop").alias("at"), F.lit(1).cast("long").alias("n"))
-    along = supply.unionByName(zones.select(F.col("zone").alias("at"), F.lit(0).cast("long").alias("n"))).groupBy("at").agg(F.sum("n").alias("n"))
-    upto = running_before(along, [], ["at"], F.col("at"), {"below": F.col("n")}, totals=True, coarse=lambda c: F.floor(c / STOPS))
-    edges = upto.select(F.col("at").alias("zone"), (F.col("below") + F.col("n")).alias("first_up"), (F.col("below_total") - F.col("below")).alias("first_down"))
-    # numbers count boats: those at the zone's own stop lie before the first one on either side
-    asked = zones.join(edges, "zone")
 
     def side(first: str, number: str) -> DataFrame:
         span = F.sequence(F.col(first), F.col(first) + F.col("wanted") - 1)
@@ -49,7 +48,7 @@ def _claims(zones: DataFrame, boats: DataFrame) -> DataFrame:
 
     near = side("first_up", "up").unionByName(side("first_down", "down")).withColumn("cost", F.abs(F.col("zone") - F.col("stop")))
     order = ["cost", F.col("capacity").desc(), "vessel_id"]
-    nth = running_before(near, ["zone"], order, F.col("cost"), {"nth": F.lit(1).cast("long")}, coarse=lambda c: F.floor(c / STOPS))
+    nth = running_before(near, ["zone"], order, F.col("cost"), {"nth": F.lit(1).cast("long")})
     return nth.where(F.col("nth") < F.col("wanted"))
 
 
@@ -98,15 +97,13 @@ def plan(surges: DataFrame, vessels: DataFrame, stops: DataFrame, max_boats: int
             got = taken.groupBy(*SURGE).agg(F.sum("capacity").alias("seats"), F.count(F.lit(1)).alias("boats"))
             short = need.join(got, SURGE, "left").withColumn("left", F.col("need") - F.coalesce("seats", F.lit(0)))
             short = short.withColumn("boats", F.coalesce("boats", F.lit(0)))
-        largest = free.agg(F.max("capacity").alias("c")).first()["c"]
-        if largest is None:
-            break
+        largest = free.agg(F.max("capacity").alias("c")).scalar()
         short = short.where((F.col("left") > 0) & (F.col("boats") < max_boats))
         short = short.withColumn("asks", F.least(max_boats - F.col("boats"), F.ceil(F.col("left") / largest)).cast("long"))
         short = materialize(short, "short")
-        boats = materialize(_ranked(free), "boats")
-        zones = short.groupBy("zone").agg(F.sum("asks").alias("wanted"), F.sum("left").alias("lack"))
-        claims = _claims(zones, boats)
+        boats, asked = _numbered(free, short.groupBy("zone").agg(F.sum("asks").alias("wanted"), F.sum("left").alias("lack")))
+        boats = materialize(boats, "boats")
+        claims = _claims(asked, boats)
         nearest = claims.groupBy("vessel_id", "stop", "capacity", "place").agg(
             F.min("cost").alias("cost"),
             F.sort_array(F.collect_list(F.struct("cost", (-F.col("lack")).alias("l"), "zone"))).alias("all"),
@@ -115,9 +112,8 @@ def plan(surges: DataFrame, vessels: DataFrame, stops: DataFrame, max_boats: int
         turn = F.get(tied, F.pmod(F.col("place"), F.size(tied)).cast("int"))["zone"]
         won = nearest.select("vessel_id", "capacity", "cost", turn.alias("zone"))
         order = ["cost", F.col("capacity").desc(), "vessel_id"]
-        coarse = lambda c: F.floor(c / STOPS)
-        won = running_before(won, ["zone"], order, F.col("cost"), {"slot": F.lit(1).cast("long")}, coarse=coarse)
-        first = running_before(short.withColumn("neg", -F.col("left")), ["zone"], ["neg", "window_time", "pickup_zone"], F.col("neg"), {"before": F.col("asks")}, coarse=coarse)
+        won = running_before(won, ["zone"], order, F.col("cost"), {"slot": F.lit(1).cast("long")})
+        first = running_before(short.withColumn("neg", -F.col("left")), ["zone"], ["neg", "window_time", "pickup_zone"], F.col("neg"), {"before": F.col("asks")})
         slots = first.withColumn("slot", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("asks") - 1)))
         sent = slots.join(won, ["zone", "slot"]).select(*SURGE, "vessel_id", F.lit(len(rounds) + 1).alias("round"), "cost", "capacity")
         seen = Observation()
@@ -126,9 +122,6 @@ def plan(surges: DataFrame, vessels: DataFrame, stops: DataFrame, max_boats: int
         release(boats)
         if seen.get["boats"] == 0:
             break
-    if not rounds:
-        none = need.limit(0).join(fleet.limit(0)).select(*SURGE, "vessel_id", F.lit(1).alias("round"), F.abs(F.col("zone") - F.col("stop")).alias("cost"), "capacity")
-        rounds = [none]
     return reduce(DataFrame.unionByName, rounds).join(fleet.select("vessel_id", "base_zone"), "vessel_id")
 
 
