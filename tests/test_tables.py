@@ -482,6 +482,35 @@ def test_scratch_leaves_the_shared_folder_empty(spark):
     assert names() == before
 
 
+def test_a_cluster_may_share_a_folder_of_the_file_system(spark, tmp_path, monkeypatch):
+    from tidewatch import session
+
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(session, "_configured", lambda _: f"file://{tmp_path}/shared/")
+    assert session.shared_dir(spark) == f"file://{tmp_path}/shared"
+    assert session.materialize(spark.range(5), "x").count() == 5
+    assert not [p.name for p in (tmp_path / "shared").iterdir() if p.name.startswith("probe")]
+    # neither set: the warehouse
+    monkeypatch.setattr(session, "_configured", lambda _: None)
+    assert session.shared_dir(spark) == f"{spark.conf.get('spark.sql.warehouse.dir')}/tidewatch"
+
+
+def test_a_folder_that_loses_rows_is_refused_on_a_cluster(spark, tmp_path, monkeypatch):
+    from tidewatch import session
+
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    (tmp_path / "taken").write_text("")
+    monkeypatch.setattr(session, "_configured", lambda _: f"file://{tmp_path}/taken")
+    with pytest.raises(RuntimeError, match="cannot write and read"):
+        session.shared_dir(spark)
+    reader = type(spark.read)
+    whole = reader.parquet
+    monkeypatch.setattr(reader, "parquet", lambda self, *paths: whole(self, *paths).where("id > 0"))
+    monkeypatch.setattr(session, "_configured", lambda _: f"file://{tmp_path}/own")
+    with pytest.raises(RuntimeError, match="gave back"):
+        session.shared_dir(spark)
+
+
 def test_a_snapshot_section_that_fails_late_is_empty(spark):
     from tidewatch.plans.bootstrap import warm_start
 
