@@ -201,6 +201,15 @@ def test_generate_by_a_writer_or_a_column(spark):
     assert {r.n: (r.response, r.response_error) for r in by_column.collect()} == {1: ("a b", None), 2: ("The end", None), 3: (None, None), 4: ("a b", None)}
 
 
+def test_generate_query_marks_refused_prompts(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    turns = [(1, 0, "a b c d"), (1, 1, "The end"), (2, 0, None), (2, 1, "a b c d")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): (r.response, r.response_error) for r in entry.queries()["m2_generate"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): ("a b c", None), (1, 1): (None, "ValueError: refused"), (2, 0): (None, None), (2, 1): ("a b c", None)}
+
+
 def test_explained_surges_drop_or_keep_unmatched(spark):
     a = spark.createDataFrame([("Marigny", T0, 50, 10, True), ("Uptown", T0, 9, 9, False)], "pickup_zone string, window_time timestamp, request_count long, expected_requests long, is_surge boolean")
     kb = models.embed(spark.createDataFrame([(f"d{i}", f"event {i} in Marigny. more") for i in range(4)], "document_id string, chunk string"), "chunk")
