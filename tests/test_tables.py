@@ -256,6 +256,18 @@ def test_captured_messages_are_framed_decoded_and_audited(spark, tmp_path):
     audit = {x.schema_id: (x.messages, x.in_wire_format) for x in rides.schema_audit(read).collect()}
     assert audit == {100_123: (20, True), 0: (2, True), None: (4, False)}
 
+
+def test_decode_query_gives_every_field_of_every_ride(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    events = [(n, n, "click", n / 3, f'{{"k": {n}}}', at(n)) for n in range(12)] + [(12, None, None, None, None, None)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double, props string, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.request_id: tuple(r)[1:] for r in entry.queries()["s2_decode_wire"](spark, str(tmp_path)).collect()}
+    assert got["10"] == ("user10@example.com", "click", "stop-3", 10 / 3, 5, at(10), 100_042)
+    assert got["11"] == ("user11@example.com", "click", "stop-4", 11 / 3, 6, at(11), 100_042)
+    assert got["12"] == (None, None, None, None, None, None, 100_042) and len(got) == 13
+
+
 def test_rebase_ends_at_target(spark):
     df = spark.createDataFrame([(at(0),), (at(7),)], "request_ts timestamp")
     got = sorted(x.request_ts for x in rides.rebase(df, "2030-01-01 00:00:00").collect())
