@@ -201,6 +201,37 @@ def test_generate_by_a_writer_or_a_column(spark):
     assert {r.n: (r.response, r.response_error) for r in by_column.collect()} == {1: ("a b", None), 2: ("The end", None), 3: (None, None), 4: ("a b", None)}
 
 
+def test_pieces_of_a_block_give_the_same_hits(monkeypatch):
+    monkeypatch.setattr(vector, "QUERY_ROWS", 7)
+    monkeypatch.setattr(vector, "ITEM_ROWS", 40)
+    r = np.random.default_rng(5)
+    items = r.normal(size=(300, 16)) + 0.3
+    items[50:140] = items[3]  # a large group of copies
+    items[200:210] = items[17] + 1e-12  # ties once rounded
+    queries = np.concatenate([items[::9], r.normal(size=(20, 16))])
+    for odd in (False, True):
+        if odd:
+            items[[44, 250]] = np.nan
+        for metric in ("cosine", "euclidean"):
+            a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) if metric == "cosine" else x for x in (queries, items))
+            s = np.round(a @ b.T, vector.DIGITS) if metric == "cosine" else -np.square(a[:, None] - b[None]).sum(axis=2)
+            key = np.where(np.isnan(s), np.inf, s)
+            for k in (1, 5, 60):
+                row, col, score = vector._best_of_blocks(a, b, k, metric)
+                assert (np.bincount(row) == k).all()
+                want = np.argsort(-key, axis=1, kind="stable")[:, :k]
+                assert (np.round(score.reshape(-1, k), 8) == np.round(np.take_along_axis(s, want, 1), 8))[~np.isnan(score.reshape(-1, k))].all()
+                if metric == "cosine":
+                    assert (col.reshape(-1, k) == want).all()
+
+
+def test_blocks_stay_few_while_tables_grow(spark):
+    sizes = [(2_000, 2_000, 64), (100_000, 100_000, 64), (600_000, 600_000, 64), (600_000, 600_000, 1_024), (1, 600_000, 64), (600_000, 1, 64)]
+    df = spark.createDataFrame(sizes, "__nq long, __ni long, __dim int")
+    got = [tuple(r) for r in df.select(*vector._grid(vector.BLOCK, 96)).collect()]
+    assert got == [(1, 1), (10, 10), (10, 10), (147, 147), (1, 96), (96, 1)]
+
+
 def test_generate_query_marks_refused_prompts(spark, tmp_path):
     import __spark_entry__ as entry
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,7 +15,10 @@ from pyspark.sql import types as T
 
 from tidewatch.session import materialize
 
-BLOCK = 2048
+#: Rows of a block while there are few blocks, and values (rows times dimensions) of the largest one.
+BLOCK, BLOCK_VALUES = 2048, 2**22
+#: Rows of the two sides that are multiplied at once in a task.
+QUERY_ROWS, ITEM_ROWS = 1024, 4096
 DIGITS = 9
 
 
@@ -37,10 +41,90 @@ def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.repeat(rows, k), cols.ravel(), best.ravel()
 
 
-def _blocks(n: Column, size: int) -> Column:
+def _kept(k: int, rows: int, r: np.ndarray, c: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, scores) of the k best candidates of each row, best first; places without one hold column -1.
+    A score that is no number counts as the highest, as Spark sorts it."""
+    key = np.where(np.isnan(score), np.inf, score)
+    order = np.lexsort((c, -key, r))
+    r, c, score = r[order], c[order], score[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    best = place < k
+    cols, scores = np.full((rows, k), -1, dtype=np.int64), np.full((rows, k), -np.inf)
+    cols[r[best], place[best]], scores[r[best], place[best]] = c[best], score[best]
+    return cols, scores
+
+
+def _near(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of all pairs in double precision."""
+    if metric == "cosine":
+        return np.round(a @ b.T, DIGITS)
+    s = np.zeros((len(a), len(b)))
+    for d in range(a.shape[1]):
+        gap = a[:, d : d + 1] - b[:, d]
+        s -= np.square(gap, out=gap)
+    return s
+
+
+def _candidates(a32: np.ndarray, b32: np.ndarray, least: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """(row, column) of the pairs that may be among the k best, by single precision, whose error
+    is below ``slack``; ``least`` is each row's k-th best score so far. None if they are many."""
+    near = a32 @ b32.T
+    if k <= near.shape[1] and np.isinf(least).any():
+        least = np.maximum(least, np.partition(near, near.shape[1] - k, axis=1)[:, -k] - slack)
+    may = near >= (least - slack - 10.0**-DIGITS).astype(np.float32)[:, None]
+    if np.count_nonzero(may) > may.size // 16:
+        return None
+    return np.divmod(np.flatnonzero(may), may.shape[1])
+
+
+def _best_of_blocks(a: np.ndarray, b: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the k best rows of ``b`` for each row of ``a``; ties go to the lower column.
+
+    Products are taken piece by piece. For the cosine single precision sorts out what is
+    certainly worse than the best so far; the others are scored in double precision.
+    """
+    plain = metric != "cosine" or not (np.isfinite(a).all() and np.isfinite(b).all())
+    slack = 4 * (a.shape[1] + 4) * float(np.finfo(np.float32).eps)
+    a32, b32 = (None, None) if plain else (a.astype(np.float32), b.astype(np.float32))
+    out = []
+    for low in range(0, len(a), QUERY_ROWS):
+        part = a[low : low + QUERY_ROWS]
+        n = len(part)
+        cols, scores = np.full((n, k), -1, dtype=np.int64), np.full((n, k), -np.inf)
+        for at in range(0, len(b), ITEM_ROWS):
+            items = b[at : at + ITEM_ROWS]
+            found = None if plain else _candidates(a32[low : low + n], b32[at : at + ITEM_ROWS], scores[:, -1], k, slack)
+            if found is None:
+                r, c, s = _top(_near(part, items, metric), k)
+            else:
+                r, c = found
+                s = np.round(np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", part[r[i : i + 65_536]], items[c[i : i + 65_536]]) for i in range(0, len(r), 65_536))]), DIGITS)
+            if len(r):
+                old = cols >= 0
+                rows = np.nonzero(old)[0]
+                cols, scores = _kept(k, n, np.concatenate([rows, r]), np.concatenate([cols[old], c + at]), np.concatenate([scores[old], s]))
+        held = cols >= 0
+        out.append((np.nonzero(held)[0] + low, cols[held], scores[held]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _ceil(n: Column, size: Column) -> Column:
     return F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
 
 
+def _grid(block_rows: int, tasks: int) -> tuple[Column, Column]:
+    """Numbers of blocks of the queries and of the items, from __nq, __ni and __dim.
+
+    As few as give ``tasks`` pairs of blocks, since every row is sent once for each block
+    of the other side, and as many as keep a block under ``BLOCK_VALUES``.
+    """
+    most = F.greatest(F.lit(block_rows), F.floor(F.lit(BLOCK_VALUES) / F.greatest(F.col("__dim"), F.lit(1))))
+    few_q, few_i = _ceil(F.col("__nq"), F.lit(block_rows)), _ceil(F.col("__ni"), F.lit(block_rows))
+    side = F.lit(math.ceil(tasks**0.5))
+    q = F.greatest(_ceil(F.col("__nq"), most), F.least(few_q, F.greatest(side, _ceil(F.lit(tasks), few_i))))
+    return q, F.greatest(_ceil(F.col("__ni"), most), F.least(few_i, _ceil(F.lit(tasks), q)))
+
+
 def best_pairs(
     queries: DataFrame,
     items: DataFrame,
@@ -48,42 +132,43 @@ def best_pairs(
     group: str | None = None,
     metric: str = "cosine",
     block_rows: int = BLOCK,
-    counted: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """(query_id, item_id, score) of the ``k`` best items of each query.
 
     ``queries``: query_id, vec [, group]; ``items``: item_id, vec [, group]. With
     a group only items of the query's group are compared.
 
-    Both sides are cut by id hash into blocks of about ``block_rows`` rows, per
-    group; each (query block, item block) is one numpy product in one task that
-    emits ``k`` rows per query. No side is collected or broadcast, a group of any
-    size is spread over its blocks, and no list of pairs exists.
-
-    ``counted``: tables to take the row counts from where they are cheaper to
-    count (the counts only choose the number of blocks).
+    Both sides are cut by id hash into blocks, per group; each (query block, item
+    block) is one task's work, which multiplies pieces of them and emits ``k`` rows per
+    query. Blocks have about ``block_rows`` rows while that gives few pairs of blocks for
+    each core, and grow up to ``BLOCK_VALUES`` values after that, so the vectors sent grow with the rows up
+    to there, and beyond it with the rows times the number of such blocks; the comparisons
+    grow with the pairs. No side is collected or broadcast, a group of any size is
+    spread over its blocks, and no list of pairs exists.
     """
-    count_q, count_i = counted or (queries, items)
+    tasks = 8 * queries.sparkSession.sparkContext.defaultParallelism
+    size = lambda df: df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).alias("s")).scalar()
     if group is None:
         queries, items, group = queries.withColumn("__g", F.lit(0)), items.withColumn("__g", F.lit(0)), "__g"
-        n_q = count_q.agg(F.count(F.lit(1)).alias("n")).scalar()
-        n_i = count_i.agg(F.count(F.lit(1)).alias("n")).scalar()
-        q, i = queries.withColumns({"__nq": n_q, "__ni": n_i}), items.withColumns({"__nq": n_q, "__ni": n_i})
+        counts = {"__nq": size(queries)["n"], "__ni": size(items)["n"], "__dim": F.coalesce(size(items)["dim"], F.lit(1))}
+        q, i = queries.withColumns(counts), items.withColumns(counts)
     else:
         n_q = queries.groupBy(group).agg(F.count(F.lit(1)).alias("__nq"))
-        n_i = items.groupBy(group).agg(F.count(F.lit(1)).alias("__ni"))
+        n_i = items.groupBy(group).agg(F.count(F.lit(1)).alias("__ni"), F.max(F.size("vec")).alias("__dim"))
         sizes = n_q.join(n_i, group)
         q, i = queries.join(sizes, group), items.join(sizes, group)
-    size = F.lit(block_rows)
-    own_q = F.pmod(F.xxhash64("query_id"), _blocks(F.col("__nq"), size)).cast("int")
-    own_i = F.pmod(F.xxhash64("item_id"), _blocks(F.col("__ni"), size)).cast("int")
+    q_blocks, i_blocks = _grid(block_rows, tasks)
+    q = q.withColumns({"__qs": q_blocks, "__is": i_blocks})
+    i = i.withColumns({"__qs": q_blocks, "__is": i_blocks})
+    own_q = F.pmod(F.xxhash64("query_id"), F.col("__qs")).cast("int")
+    own_i = F.pmod(F.xxhash64("item_id"), F.col("__is")).cast("int")
     q = q.select(
         "query_id", "vec", F.col(group).alias("g"), own_q.alias("qb"),
-        F.explode(F.sequence(F.lit(0), _blocks(F.col("__ni"), size) - 1)).alias("ib"),
+        F.explode(F.sequence(F.lit(0), F.col("__is") - 1)).alias("ib"),
     )
     i = i.select(
         "item_id", "vec", F.col(group).alias("g"), own_i.alias("ib"),
-        F.explode(F.sequence(F.lit(0), _blocks(F.col("__nq"), size) - 1)).alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.col("__qs") - 1)).alias("qb"),
     )
 
     out = T.StructType(
@@ -101,14 +186,9 @@ def best_pairs(
         right = right.sort_values("item_id", ignore_index=True)
         if metric == "cosine":
             a, b = _unit(left["vec"]), _unit(right["vec"])
-            s = np.round(a @ b.T, DIGITS)
         else:
             a, b = np.stack(left["vec"].to_numpy()).astype(float), np.stack(right["vec"].to_numpy()).astype(float)
-            s = np.zeros((len(a), len(b)))
-            for d in range(a.shape[1]):
-                gap = a[:, d : d + 1] - b[:, d]
-                s -= np.square(gap, out=gap)
-        r, c, best = _top(s, k)
+        r, c, best = _best_of_blocks(a, b, k, metric)
         return pd.DataFrame(
             {"query_id": left["query_id"].to_numpy()[r], "item_id": right["item_id"].to_numpy()[c], "score": best}
         )
@@ -154,10 +234,7 @@ def search(queries: DataFrame, kb: DataFrame, k: int = 3, match: Sequence[str] =
     equal in them are compared. Zero vectors take no part.
     """
     group = "grp" if match else None
-    pairs = best_pairs(
-        _as_queries(queries, match), _as_items(kb, match), k, group, block_rows=block_rows, counted=(queries, kb)
-    )
-    return _scored(pairs)
+    return _scored(best_pairs(_as_queries(queries, match), _as_items(kb, match), k, group, block_rows=block_rows))
 
 
 def search_results(hits: DataFrame, kb: DataFrame, fields: Sequence[str] = ("chunk",)) -> DataFrame:
