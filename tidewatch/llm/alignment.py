@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import kept, materialize, small_batches, source, table
+from tidewatch.llm.common import materialize, remembering, small_batches, source, table
 
 #: Partitions by B id; records of a buffer, of a run, of a unit; keys that a merge takes from a run at once.
 RADIX, SPILL, RUN, UNIT, PIECE = 8, 1 << 20, 1 << 16, 1 << 22, 1 << 13
@@ -40,6 +40,8 @@ RADIX, SPILL, RUN, UNIT, PIECE = 8, 1 << 20, 1 << 16, 1 << 22, 1 << 13
 A_BITS = 17
 #: Segments and characters of segments that a worker remembers before it starts afresh.
 CACHE_SEGMENTS, CACHE_CHARS = 600_000, 30_000_000
+#: Segments that are tokenised at once; the tokenizers' own objects take about a kilobyte each.
+LEARN = 8192
 #: Where white space starts with a blank or a line end, both tokenizers cut. Other white space stays inside.
 _SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 
@@ -106,6 +108,9 @@ class Aligner:
         self.blank = self.b.piece_to_id("▁")
         self.forget()
 
+    def __len__(self) -> int:
+        return len(self.known)
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.chars = 0
@@ -173,8 +178,8 @@ class Aligner:
             self.forget()
         split = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
         new = sorted(set().union(*split).difference(self.known))
-        for k in range(0, len(new), 50_000):
-            self.learn(new[k : k + 50_000])
+        for k in range(0, len(new), LEARN):
+            self.learn(new[k : k + LEARN])
         facts, ends, out = self.facts.values, self.ends.values, []
         sizes = np.diff(ends, prepend=0)
         for segments in split:
@@ -303,7 +308,6 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     names = ["uid", "doc_id", *facts, "groups_sha256", "radix", "n", "blob"]
 
     def cut(batches):
-        aligner = kept("aligner", (a_path, b_path), lambda: Aligner(a_path, b_path))
         spill, doc_kind = Spill(), None
 
         def full():
@@ -312,19 +316,20 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 columns = [*empty, pa.array([radix], pa.int32()), pa.array([n], pa.int64()), pa.array([blob], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-        for b in batches:
-            doc_kind = b.column("doc_id").type
-            found = aligner.batch(b["text"].to_pylist())
-            for uid, (ids, _, _) in zip(b["uid"].to_pylist(), found, strict=True):
-                for keys, links in aligner.records(ids) if len(ids) else ():
-                    spill.add(uid, keys, links)
-                    if spill.n >= SPILL:
-                        yield from full()
-            counts = [pa.array([f[1][k] for f in found], pa.int64()) for k in range(4)]
-            n = b.num_rows
-            rest = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b["uid"], b["doc_id"], *counts, pa.array([f[2] for f in found], pa.string()), *rest], names)
-        yield from full()
+        with remembering("aligner", (a_path, b_path), lambda: Aligner(a_path, b_path)) as aligner:
+            for b in batches:
+                doc_kind = b.column("doc_id").type
+                found = aligner.batch(b["text"].to_pylist())
+                for uid, (ids, _, _) in zip(b["uid"].to_pylist(), found, strict=True):
+                    for keys, links in aligner.records(ids) if len(ids) else ():
+                        spill.add(uid, keys, links)
+                        if spill.n >= SPILL:
+                            yield from full()
+                counts = [pa.array([f[1][k] for f in found], pa.int64()) for k in range(4)]
+                n = b.num_rows
+                rest = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b["uid"], b["doc_id"], *counts, pa.array([f[2] for f in found], pa.string()), *rest], names)
+            yield from full()
 
     return rows.select("uid", "doc_id", "text").mapInArrow(cut, schema)
 

@@ -160,7 +160,7 @@ def find_contamination(
         sent, mark = spark.sparkContext.broadcast(listed), uuid.uuid4().hex
 
         def scanned(b, sent=sent, mark=mark):
-            known = kept("windows", mark, lambda: Windows(sent.value), alone=True)  # one block's set in a worker at a time
+            known = kept("windows", mark, lambda: Windows(sent.value))  # one block's set in a worker at a time
             found = []
             for t in b[text].to_pylist():
                 w = words(t)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.blocks import block_pairs, forest, in_blocks, units
-from tidewatch.llm.common import components, kept, materialize, small_batches, source, table, text_key, unused
+from tidewatch.llm.common import components, materialize, remembering, small_batches, source, table, text_key, unused
 from tidewatch.llm.decontaminate import words
 
 WORDS, THRESHOLD = 5, 0.8
@@ -56,6 +56,8 @@ class Shingler(dict):
         super().__init__()
         self.width = width
 
+    forget = dict.clear
+
     def __missing__(self, word: str) -> int:
         digest = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
         found = self[word] = int.from_bytes(digest, "little")
@@ -67,7 +69,7 @@ class Shingler(dict):
         if not w:
             return np.zeros(0, np.uint64)
         if len(self) > CACHE_WORDS:
-            self.clear()
+            self.forget()
         ids = np.fromiter(map(self.__getitem__, w), np.uint64, len(w))
         n = min(self.width, len(ids))
         h = np.zeros(len(ids) - n + 1, np.uint64)
@@ -121,11 +123,11 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     schema = rows.drop("text").withColumn("sig", F.lit(None).cast("binary")).schema
 
     def sign(batches):
-        shingler = kept("shingler", width, lambda: Shingler(width))
-        for b in batches:
-            found = [shingler.shingles(t) for t in b["text"].to_pylist()]
-            sigs = pa.array([minhash(s).astype("<u4").tobytes() if len(s) else None for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([b["uid"], b["doc_id"], b["key"], sigs], ["uid", "doc_id", "key", "sig"])
+        with remembering("shingler", width, lambda: Shingler(width)) as shingler:
+            for b in batches:
+                found = [shingler.shingles(t) for t in b["text"].to_pylist()]
+                sigs = pa.array([minhash(s).astype("<u4").tobytes() if len(s) else None for s in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([b["uid"], b["doc_id"], b["key"], sigs], ["uid", "doc_id", "key", "sig"])
 
     return rows.mapInArrow(sign, schema)
 
@@ -179,12 +181,12 @@ def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, width: in
     schema = "key binary, cluster binary, size long, sig binary, copies long, shingles binary"
 
     def shingle(batches):
-        shingler = kept("shingler", width, lambda: Shingler(width))
-        for b in batches:
-            found = pa.array([shingler.shingles(t).tobytes() for t in b["text"].to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [*(b[c] for c in ("key", "cluster", "size", "sig", "copies")), found], ["key", "cluster", "size", "sig", "copies", "shingles"]
-            )
+        with remembering("shingler", width, lambda: Shingler(width)) as shingler:
+            for b in batches:
+                found = pa.array([shingler.shingles(t).tobytes() for t in b["text"].to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [*(b[c] for c in ("key", "cluster", "size", "sig", "copies")), found], ["key", "cluster", "size", "sig", "copies", "shingles"]
+                )
 
     small_batches(spark)
     full = members.join(texts, "key").select("key", "cluster", "size", "sig", "copies", "text").mapInArrow(shingle, schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import kept, materialize, numbered, small_batches, source, table
+from tidewatch.llm.common import materialize, numbered, remembering, small_batches, source, table
 
 CAPACITY = 2048
 GROUPS = 16
@@ -61,6 +61,8 @@ class Encoder(dict):
         self.part = regex.compile(json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
+    forget = dict.clear
+
     def __missing__(self, word: str) -> bytes:
         parts = [word] if word.isascii() and word.isalpha() else self.part.findall(word)
         if parts == [word]:
@@ -81,7 +83,7 @@ class Encoder(dict):
 
     def encode(self, text: str | None) -> bytes:
         if len(self) > CACHE_WORDS:
-            self.clear()
+            self.forget()
         text = text or ""
         ids = b"".join(map(self.__getitem__, text.lower().split())) if self.plain(text) else self.whole(text)
         return ids + END_ID.to_bytes(4, "little")
@@ -98,29 +100,29 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        encoder = kept("encoder", tokenizer, lambda: Encoder(tokenizer))
-        for b in batches:
-            at, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(map(encoder.encode, b["text"].to_pylist())):
-                for k, s in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[s : s + 4 * capacity]
-                    at.append(i)
-                    piece.append(k)
-                    start.append(s // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            own = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b["uid"].take(own),
-                    b["doc_id"].take(own),
-                    pa.array(piece, pa.int32()),
-                    pa.array(start, pa.int64()),
-                    pa.array(length, pa.int64()),
-                    pa.array(crc, pa.int64()),
-                ],
-                ["uid", "doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+        with remembering("encoder", tokenizer, lambda: Encoder(tokenizer)) as encoder:
+            for b in batches:
+                at, piece, start, length, crc = [], [], [], [], []
+                for i, ids in enumerate(map(encoder.encode, b["text"].to_pylist())):
+                    for k, s in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[s : s + 4 * capacity]
+                        at.append(i)
+                        piece.append(k)
+                        start.append(s // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                own = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b["uid"].take(own),
+                        b["doc_id"].take(own),
+                        pa.array(piece, pa.int32()),
+                        pa.array(start, pa.int64()),
+                        pa.array(length, pa.int64()),
+                        pa.array(crc, pa.int64()),
+                    ],
+                    ["uid", "doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     return rows.mapInArrow(cut, f"uid long, doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import kept, small_batches, source, table
+from tidewatch.llm.common import remembering, small_batches, source, table
 
 #: Bound of the labelled sample: rows of either label that training may see.
 ROWS_PER_LABEL = 2_000
@@ -97,6 +97,9 @@ class Scorer:
         self.back = self.values[return_buckets()]
         self.forget()
 
+    def __len__(self) -> int:
+        return len(self.known)
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.sums = np.zeros(0)
@@ -217,10 +220,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text")
 
     def add(batches):
         values, bias = sent.value
-        scorer = kept("scorer", (values.tobytes(), bias), lambda: Scorer(values))
-        for b in batches:
-            p = 1 / (1 + np.exp(-np.clip(scorer.means(b.column(at).to_pylist()) + bias, -500, 500)))
-            yield b.append_column("__score", pa.array(p))
+        with remembering("scorer", (values.tobytes(), bias), lambda: Scorer(values)) as scorer:
+            for b in batches:
+                p = 1 / (1 + np.exp(-np.clip(scorer.means(b.column(at).to_pylist()) + bias, -500, 500)))
+                yield b.append_column("__score", pa.array(p))
 
     return docs.mapInArrow(add, docs.withColumn("__score", F.lit(0.0)).schema)
 
