@@ -11,6 +11,7 @@ QUERIES = [
     "op4_line_dedup",
     "op10_near_vectors",
     "op11_vector_codes",
+    "op13_quality_rules",
 ]
 
 
