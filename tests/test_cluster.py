@@ -12,6 +12,7 @@ QUERIES = [
     "op7_near_join",
     "op10_near_vectors",
     "op11_vector_codes",
+    "op12_alignment",
     "op13_quality_rules",
 ]
 
