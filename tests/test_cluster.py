@@ -19,6 +19,7 @@ QUERIES = [
     "dsp2_completed_actions",
     "a7_stage_counters",
     "dsp3_vessels_after_dispatch",
+    "dsp_plan",
 ]
 
 
