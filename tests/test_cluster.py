@@ -21,6 +21,7 @@ QUERIES = [
     "dsp3_vessels_after_dispatch",
     "dsp_plan",
     "g1_change_capture",
+    "f1_surges_only",
 ]
 
 
