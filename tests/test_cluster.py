@@ -23,6 +23,7 @@ QUERIES = [
     "g1_change_capture",
     "f1_surges_only",
     "j1_lateral_call_left",
+    "j1_lateral_call",
 ]
 
 
