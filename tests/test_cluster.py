@@ -26,6 +26,7 @@ QUERIES = [
     "j1_lateral_call",
     "j5_stream_enrichment",
     "k6_drop_by_manifest",
+    "j7_nearest_point",
 ]
 
 
