@@ -28,6 +28,7 @@ QUERIES = [
     "k6_drop_by_manifest",
     "j7_nearest_point",
     "j8_overlapping_events",
+    "k9_offer_once",
 ]
 
 
