@@ -29,6 +29,7 @@ QUERIES = [
     "j7_nearest_point",
     "j8_overlapping_events",
     "k9_offer_once",
+    "m1_embed",
 ]
 
 
