@@ -31,6 +31,7 @@ QUERIES = [
     "k9_offer_once",
     "m1_embed",
     "m3_dispatch_request",
+    "m3_surge_query",
 ]
 
 
