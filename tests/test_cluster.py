@@ -33,6 +33,7 @@ QUERIES = [
     "m3_dispatch_request",
     "m3_surge_query",
     "m4_rule_explanation",
+    "p9_anomaly_cards",
 ]
 
 
