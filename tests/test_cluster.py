@@ -34,6 +34,7 @@ QUERIES = [
     "m3_surge_query",
     "m4_rule_explanation",
     "p9_anomaly_cards",
+    "r4_trips",
 ]
 
 
