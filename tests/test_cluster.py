@@ -35,6 +35,7 @@ QUERIES = [
     "m4_rule_explanation",
     "p9_anomaly_cards",
     "r4_trips",
+    "r5_positions",
 ]
 
 
