@@ -10,6 +10,7 @@ SF = "/root/testdata/sf0.001"
 QUERIES = [
     "op4_line_dedup",
     "op7_near_join",
+    "op8_url_filter",
     "op10_near_vectors",
     "op11_vector_codes",
     "op12_alignment",
