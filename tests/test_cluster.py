@@ -9,6 +9,7 @@ from tidewatch.session import scratch
 SF = "/root/testdata/sf0.001"
 QUERIES = [
     "op2_sharding",
+    "op3_decontamination",
     "op4_line_dedup",
     "op5_quotation_linking",
     "op7_near_join",
