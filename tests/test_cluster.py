@@ -14,6 +14,7 @@ QUERIES = [
     "op5_quotation_linking",
     "op7_near_join",
     "op8_url_filter",
+    "op9_packing",
     "op10_near_vectors",
     "op11_vector_codes",
     "op12_alignment",
