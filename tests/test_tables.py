@@ -3,6 +3,7 @@
 import datetime as dt
 import decimal
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -324,6 +325,21 @@ def test_seed_calendar(spark, tmp_path):
     assert seeds.read_vessels(spark, str(tmp_path / "v.json")).first().capacity == 6
 
 
+def test_seed_lists_are_bounded_and_whole(spark, tmp_path, monkeypatch):
+    """Lists don't grow with the table, nor with an id that many rows share."""
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(seeds, "LIST_BYTES", 2_000, raising=False)
+    text = 'say "hi",\n[{ä\u2028}]\\'
+    docs = [(8, text * 5, "en", "web", 7)] * 300 + [(None, text, None, None, None)] * 3 + [(n, None, "de", "web", n) for n in range(40)]
+    docs += [(41, "x" * 5_000, "en", "web", 5_000), (42, "", "en", "web", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    df = entry.queries()["s9_seed_calendar"](spark, str(tmp_path))
+    assert max(Path(f.removeprefix("file:")).stat().st_size for f in df.inputFiles()) < 8_000
+    got = sorted(((r.event_name, r.description, r.expected_attendance) for r in df.collect()), key=repr)
+    assert got == sorted(((n if n is None else f"Event {n}", x, size) for n, x, _, _, size in docs), key=repr)
+
+
 def test_materialized_tables_can_be_released(spark, tmp_path):
     from tidewatch.session import materialize, release
 

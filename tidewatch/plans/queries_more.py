@@ -49,11 +49,9 @@ def _(spark, d):
         "event_time_end_hour": F.hour("event_time_end"),
         "event_time_end_min": F.lit(0),
     }
-    rows = t.calendar(spark, d).withColumns(clock).drop("event_time_start", "event_time_end").withColumn("part", n % 4)
-    lists = rows.groupBy("part").agg(F.to_json(F.collect_list(F.struct(*[c for c in rows.columns if c != "part"]))).alias("value"))
     path = new_path(spark, "seeds")
-    lists.write.partitionBy("part").text(path)
-    return seeds.read_calendar(spark, f"{path}/part=*", SEED_DAY)
+    seeds.write_lists(t.calendar(spark, d).withColumns(clock).drop("event_time_start", "event_time_end"), path)
+    return seeds.read_calendar(spark, path, SEED_DAY)
 
 
 @query(
