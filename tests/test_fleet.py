@@ -5,6 +5,7 @@ import random
 import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -82,6 +83,30 @@ def test_cells_are_exact_and_candidates_recall(spark):
     assert hits / sum(map(len, want.values())) > 0.5
 
 
+@pytest.mark.parametrize("step", ["probes", "remaining"])
+def test_cells_of_a_batch_take_little_memory(monkeypatch, step):
+    """Not rows times centres times dimensions at once."""
+    import tracemalloc
+
+    class Rows:
+        def __getattr__(self, name):
+            return lambda *a, **b: self
+
+    made = []
+    monkeypatch.setattr(vector.F, "pandas_udf", lambda kind: lambda f: made.append(f) or (lambda *columns: None))
+    rng = np.random.default_rng(4)
+    cells = vector.Cells.__new__(vector.Cells)
+    cells.centres, cells.sizes, cells.radii = rng.normal(size=(300, 32)), np.full(300, 5.0), np.full(300, 0.1)
+    cells.probes(Rows(), 20) if step == "probes" else cells.remaining(Rows())
+    n = 4_000
+    more = [] if step == "probes" else [pd.Series([[0, 1]] * n), pd.Series([0.5] * n)]
+    tracemalloc.start()
+    out = made[0](pd.Series(list(rng.normal(size=(n, 32)))), *more)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == n and peak < 100_000_000
+
+
 def test_nearest_point(spark):
     rng = random.Random(2)
     pts = [(i, rng.random(), rng.random()) for i in range(50)]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,8 @@ from tidewatch.session import materialize
 BLOCK, BLOCK_VALUES = 2048, 2**22
 #: Rows of the two sides that are multiplied at once in a task.
 QUERY_ROWS, ITEM_ROWS = 1024, 4096
+#: Differences (rows times centres times dimensions) that a task holds at once.
+GAPS = 2**18
 DIGITS = 9
 
 
@@ -28,6 +30,14 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
+def _distances(units: np.ndarray, centres: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """(rows, their distances to all centres), for a few rows at a time: as many as keep the differences under ``GAPS``."""
+    step = max(1, GAPS // max(1, centres.size))
+    for low in range(0, len(units), step):
+        rows = slice(low, low + step)
+        yield rows, np.linalg.norm(units[rows, None, :] - centres[None], axis=2)
+
+
 def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, score) of the k best columns per row; ties go to the lower
     column. ``scores`` is used up."""
@@ -289,10 +299,12 @@ class Cells:
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
         def cells(vec: pd.Series) -> pd.Series:
-            d = np.linalg.norm(_unit(vec)[:, None, :] - centres[None], axis=2)
-            near = np.argsort(d, axis=1, kind="stable")
-            held = np.cumsum(sizes[near], axis=1)
-            return pd.Series([row[: int(np.searchsorted(h, candidates)) + 1].tolist() for row, h in zip(near, held)])
+            out = []
+            for _, d in _distances(_unit(vec), centres):
+                near = np.argsort(d, axis=1, kind="stable")
+                held = np.cumsum(sizes[near], axis=1)
+                out += [row[: int(np.searchsorted(h, candidates)) + 1].tolist() for row, h in zip(near, held)]
+            return pd.Series(out)
 
         return queries.withColumn("probed", cells("vec"))
 
@@ -306,12 +318,11 @@ class Cells:
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
         def cells(vec: pd.Series, probed: pd.Series, kth: pd.Series) -> pd.Series:
-            d = np.linalg.norm(_unit(vec)[:, None, :] - centres[None], axis=2)
-            reach = np.sqrt(np.maximum(0, 2 - 2 * kth.to_numpy()))[:, None]
-            open_ = (d - radii <= reach + 1e-6) & (sizes > 0)
-            return pd.Series(
-                [np.setdiff1d(np.nonzero(o)[0], np.asarray(p)).tolist() for o, p in zip(open_, probed)]
-            )
+            reach, out = np.sqrt(np.maximum(0, 2 - 2 * kth.to_numpy()))[:, None], []
+            for rows, d in _distances(_unit(vec), centres):
+                open_ = (d - radii <= reach[rows] + 1e-6) & (sizes > 0)
+                out += [np.setdiff1d(np.nonzero(o)[0], np.asarray(p)).tolist() for o, p in zip(open_, probed[rows])]
+            return pd.Series(out)
 
         return queries.withColumn("more", cells("vec", "probed", "kth"))
 
