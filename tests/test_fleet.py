@@ -97,7 +97,7 @@ def test_cells_of_a_batch_take_little_memory(monkeypatch, step):
     rng = np.random.default_rng(4)
     cells = vector.Cells.__new__(vector.Cells)
     cells.centres, cells.sizes, cells.radii = rng.normal(size=(300, 32)), np.full(300, 5.0), np.full(300, 0.1)
-    cells.probes(Rows(), 20) if step == "probes" else cells.remaining(Rows())
+    cells.probes(Rows(), 20) if step == "probes" else cells.remaining(Rows(), [list(range(150)), list(range(150, 300))])
     n = 4_000
     more = [] if step == "probes" else [pd.Series([[0, 1]] * n), pd.Series([0.5] * n)]
     tracemalloc.start()
@@ -107,6 +107,48 @@ def test_cells_of_a_batch_take_little_memory(monkeypatch, step):
     assert len(out) == n and peak < 100_000_000
 
 
+def test_open_cells_share_what_is_sent(spark, monkeypatch):
+    """Vectors without clusters leave nearly every cell open; a query isn't sent once for each."""
+    from pyspark.sql.group import GroupedData
+
+    sent, cogroup = [], GroupedData.cogroup
+    monkeypatch.setattr(GroupedData, "cogroup", lambda self, other: sent.append((self._df.count(), other._df.count())) or cogroup(self, other))
+    q, queries = vectors(spark, 60, 16, "query_id", 9)
+    d, kb = vectors(spark, 300, 16, "document_id", 10)
+    assert ranked(vector.search_cells(queries, vector.Cells(kb, nlist=17), 3)) == brute(q, d, 3)
+    assert max(n for n, _ in sent) <= 2 * 60 and max(n for _, n in sent) <= 300
+
+
+@pytest.mark.parametrize("values,block,clusters", [(2**22, 8, 5), (6 * 20, 3, 5), (6 * 20, 16, 0)])
+def test_cells_in_bins_are_exact(spark, monkeypatch, values, block, clusters):
+    """Bins of few cells, cells in several bins, cells that the bound closes, equal scores and null ids."""
+    monkeypatch.setattr(vector, "BLOCK_VALUES", values)
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(150, 6))
+    if clusters:
+        m = np.repeat(rng.normal(size=(clusters, 6)), 30, axis=0) + 0.02 * m
+    m[100:140] = m[100]
+    vecs = [[float(x) for x in v] for v in m]
+    kb = spark.createDataFrame([(f"{i:04d}", v) for i, v in enumerate(vecs)], "document_id string, embedding array<float>")
+    queries = spark.createDataFrame([(f"{i:04d}", v) for i, v in enumerate(vecs[::3])] + [(None, vecs[0]), ("none", None)], "query_id string, embedding array<float>")
+    got = {}
+    for r in vector.search_cells(queries, vector.Cells(kb, nlist=12), 4, candidates=2, block_rows=block).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.document_id
+    want = brute(m[::3].astype(np.float32), m.astype(np.float32), 4)
+    assert {k: [v[n] for n in sorted(v)] for k, v in got.items()} == want | {None: want["0000"]}
+
+
+def test_cell_places_cover_every_row(spark):
+    cells = vector.Cells.__new__(vector.Cells)
+    data = [(f"{i}", [float(i % 7)], 2 if i < 50 else i % 5) for i in range(100)]
+    cells.items = spark.createDataFrame(data, "item_id string, vec array<float>, cell int")
+    cells.sizes = np.array([sum(c == x for *_, c in data) for x in range(6)])
+    bins = cells.bins(20)
+    got = {r.item_id: bins[r.bin][r.place] for r in cells.binned(bins).collect()}
+    assert got == {i: c for i, _, c in data}
+    assert sum(b.count(2) for b in bins) == 3 and not any(5 in b for b in bins)
+
+
 def test_nearest_point(spark):
     rng = random.Random(2)
     pts = [(i, rng.random(), rng.random()) for i in range(50)]

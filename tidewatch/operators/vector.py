@@ -7,6 +7,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +26,16 @@ GAPS = 2**18
 DIGITS = 9
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.stack(rows.to_numpy()).astype(np.float64)
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of equal length as the rows of a matrix, in double precision."""
+    if len(pc.unique(pc.list_value_length(vectors))) != 1:
+        raise ValueError("all vectors must have the same length")
+    flat = pa.concat_arrays(x.flatten() for x in vectors.chunks)
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _unit(rows: pd.Series | np.ndarray) -> np.ndarray:
+    m = rows if isinstance(rows, np.ndarray) else np.stack(rows.to_numpy()).astype(np.float64)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norm == 0, 1, norm)
 
@@ -87,37 +97,83 @@ def _candidates(a32: np.ndarray, b32: np.ndarray, least: np.ndarray, k: int, sla
     return np.divmod(np.flatnonzero(may), may.shape[1])
 
 
+def _scored_pairs(
+    a: np.ndarray, b: np.ndarray, a32: np.ndarray | None, b32: np.ndarray | None, least: np.ndarray, k: int, metric: str, slack: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the pairs that may be among the k best of their row; see :func:`_candidates`."""
+    found = None if a32 is None else _candidates(a32, b32, least, k, slack)
+    if found is None:
+        return _top(_near(a, b, metric), k)
+    r, c = found
+    exact = (np.einsum("ij,ij->i", a[r[i : i + 65_536]], b[c[i : i + 65_536]]) for i in range(0, len(r), 65_536))
+    return r, c, np.round(np.concatenate([np.empty(0), *exact]), DIGITS)
+
+
+def _merged(cols: np.ndarray, scores: np.ndarray, r: np.ndarray, c: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_kept` of what is held so far and of further candidates."""
+    n, k = cols.shape
+    old = cols >= 0
+    return _kept(k, n, np.concatenate([np.nonzero(old)[0], r]), np.concatenate([cols[old], c]), np.concatenate([scores[old], score]))
+
+
+def _single(a: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarray | None, np.ndarray | None, float]:
+    """Both sides in single precision, if that may sort out pairs, and the bound of its error."""
+    slack = 4 * (a.shape[1] + 4) * float(np.finfo(np.float32).eps)
+    if metric != "cosine" or not (np.isfinite(a).all() and np.isfinite(b).all()):
+        return None, None, slack
+    return a.astype(np.float32), b.astype(np.float32), slack
+
+
 def _best_of_blocks(a: np.ndarray, b: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, score) of the k best rows of ``b`` for each row of ``a``; ties go to the lower column.
 
     Products are taken piece by piece. For the cosine single precision sorts out what is
     certainly worse than the best so far; the others are scored in double precision.
     """
-    plain = metric != "cosine" or not (np.isfinite(a).all() and np.isfinite(b).all())
-    slack = 4 * (a.shape[1] + 4) * float(np.finfo(np.float32).eps)
-    a32, b32 = (None, None) if plain else (a.astype(np.float32), b.astype(np.float32))
+    a32, b32, slack = _single(a, b, metric)
     out = []
     for low in range(0, len(a), QUERY_ROWS):
-        part = a[low : low + QUERY_ROWS]
-        n = len(part)
+        rows = slice(low, low + QUERY_ROWS)
+        n = len(a[rows])
         cols, scores = np.full((n, k), -1, dtype=np.int64), np.full((n, k), -np.inf)
         for at in range(0, len(b), ITEM_ROWS):
-            items = b[at : at + ITEM_ROWS]
-            found = None if plain else _candidates(a32[low : low + n], b32[at : at + ITEM_ROWS], scores[:, -1], k, slack)
-            if found is None:
-                r, c, s = _top(_near(part, items, metric), k)
-            else:
-                r, c = found
-                s = np.round(np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", part[r[i : i + 65_536]], items[c[i : i + 65_536]]) for i in range(0, len(r), 65_536))]), DIGITS)
+            items = slice(at, at + ITEM_ROWS)
+            singles = (None, None) if a32 is None else (a32[rows], b32[items])
+            r, c, s = _scored_pairs(a[rows], b[items], *singles, scores[:, -1], k, metric, slack)
             if len(r):
-                old = cols >= 0
-                rows = np.nonzero(old)[0]
-                cols, scores = _kept(k, n, np.concatenate([rows, r]), np.concatenate([cols[old], c + at]), np.concatenate([scores[old], s]))
+                cols, scores = _merged(cols, scores, r, c + at, s)
         held = cols >= 0
         out.append((np.nonzero(held)[0] + low, cols[held], scores[held]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _best_of_cells(
+    a: np.ndarray, least: np.ndarray, open_: np.ndarray, b: np.ndarray, cell: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`_best_of_blocks`, of the rows of ``b`` whose cell is open to the row of ``a``.
+
+    ``open_``: row by cell; ``cell``: of each row of ``b``. What scores below ``least`` is left out.
+    """
+    a32, b32, slack = _single(a, b, "cosine")
+    cols, scores = np.full((len(a), k), -1, dtype=np.int64), np.full((len(a), k), -np.inf)
+    order = np.argsort(cell, kind="stable")
+    edges = np.searchsorted(cell[order], np.arange(open_.shape[1] + 1))
+    for start, end, mine in zip(edges, edges[1:], open_.T):
+        members, queries = order[start:end], np.flatnonzero(mine)
+        for at in range(0, len(members), ITEM_ROWS):
+            items = members[at : at + ITEM_ROWS]
+            for low in range(0, len(queries), QUERY_ROWS):
+                rows = queries[low : low + QUERY_ROWS]
+                singles = (None, None) if a32 is None else (a32[rows], b32[items])
+                bound = np.maximum(least[rows], scores[rows, -1])
+                r, c, s = _scored_pairs(a[rows], b[items], *singles, bound, k, "cosine", slack)
+                may = ~(s < bound[r])
+                if may.any():
+                    cols[rows], scores[rows] = _merged(cols[rows], scores[rows], r[may], items[c[may]], s[may])
+    held = cols >= 0
+    return np.nonzero(held)[0], cols[held], scores[held]
+
+
 def _ceil(n: Column, size: Column) -> Column:
     return F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
 
@@ -308,20 +364,53 @@ class Cells:
 
         return queries.withColumn("probed", cells("vec"))
 
-    def remaining(self, queries: DataFrame) -> DataFrame:
-        """Cells not probed yet that may hold something as near as the k-th hit.
+    def bins(self, rows: int) -> list[list[int]]:
+        """Cells side by side in bins of about ``rows`` vectors; a larger cell has its place in several."""
+        bins, held = [[]], 0.0
+        for cell, n in enumerate(self.sizes):
+            parts = math.ceil(n / rows)
+            for _ in range(parts):
+                if bins[-1] and held + n / parts > rows:
+                    bins.append([])
+                    held = 0.0
+                bins[-1].append(cell)
+                held += n / parts
+        return bins
+
+    def binned(self, bins: list[list[int]]) -> DataFrame:
+        """The items with their bin and their cell's place in it."""
+        places = [[] for _ in self.sizes]
+        for b, held in enumerate(bins):
+            for place, cell in enumerate(held):
+                places[cell].append((b, place))
+        spark = self.items.sparkSession
+        table = spark.createDataFrame([(c, x) for c, x in enumerate(places) if x], "cell int, at array<struct<bin:int,place:int>>")
+        part = F.pmod(F.xxhash64("item_id", "vec"), F.size("at")).cast("int")
+        return self.items.join(table, "cell").withColumn("at", F.get("at", part)).select("item_id", "vec", "at.bin", "at.place")
+
+    def remaining(self, queries: DataFrame, bins: list[list[int]]) -> DataFrame:
+        """Cells not probed yet that may hold something as near as the k-th hit: for each bin
+        the bits of its open cells, or null.
 
         A member lies within its cell's radius of the centre, so a cell whose
         centre is farther than radius + k-th distance cannot improve the result.
         """
         centres, radii, sizes = self.centres, self.radii, self.sizes
+        # bits fill whole bytes of each bin; the spare ones stand for a cell that is never open
+        bits = np.concatenate([np.append(np.array(b, dtype=int), [len(centres)] * (-len(b) % 8)) for b in bins]).astype(int)
+        ends = np.cumsum([-(-len(b) // 8) for b in bins]).tolist()
 
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
+        @F.pandas_udf(T.ArrayType(T.BinaryType()))
         def cells(vec: pd.Series, probed: pd.Series, kth: pd.Series) -> pd.Series:
             reach, out = np.sqrt(np.maximum(0, 2 - 2 * kth.to_numpy()))[:, None], []
             for rows, d in _distances(_unit(vec), centres):
-                open_ = (d - radii <= reach[rows] + 1e-6) & (sizes > 0)
-                out += [np.setdiff1d(np.nonzero(o)[0], np.asarray(p)).tolist() for o, p in zip(open_, probed[rows])]
+                open_ = np.zeros((len(d), len(centres) + 1), dtype=bool)
+                open_[:, :-1] = (d - radii <= reach[rows] + 1e-6) & (sizes > 0)
+                for o, p in zip(open_, probed[rows]):
+                    o[p] = False
+                for packed in np.packbits(open_[:, bits], axis=1):
+                    parts = [packed[start:end] for start, end in zip([0, *ends], ends)]
+                    out.append([x.tobytes() if x.any() else None for x in parts])
             return pd.Series(out)
 
         return queries.withColumn("more", cells("vec", "probed", "kth"))
@@ -353,10 +442,49 @@ def search_cells(
     bound = F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-1.0)).alias("kth")
     kth = first.groupBy("query_id").agg(bound)
     seen = probed.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(-1.0)))
-    rest = materialize(cells.remaining(seen).select("query_id", "vec", "more"), "more")
-    second_q = rest.select("query_id", "vec", F.explode("more").alias("cell"))
-    second = best_pairs(second_q, cells.items, k, "cell", block_rows=block_rows).select("query_id", "item_id", "score")
-    return _scored(best_of(first.unionByName(second), k))
+    return _scored(best_of(first.unionByName(_open_pairs(seen, cells, k, block_rows)), k))
+
+
+def _open_pairs(seen: DataFrame, cells: Cells, k: int, block_rows: int) -> DataFrame:
+    """(query_id, item_id, score) of hits in the cells still open to a query, none worse than its ``kth``.
+
+    Where a bound closes few cells, nearly all are open to each query. So a query is sent once
+    for each bin of cells that has an open one, with the bits of the open ones, and an item once for each block
+    of queries: as :func:`best_pairs` deals its blocks, but multiplying only what is open.
+    """
+    spark = seen.sparkSession
+    tasks = 8 * spark.sparkContext.defaultParallelism
+    n_items = int(cells.sizes.sum())
+    counts = {"__nq": seen.count(), "__ni": n_items, "__dim": cells.centres.shape[1]}
+    q_blocks, i_blocks = spark.range(1).select(*[F.lit(n).alias(name) for name, n in counts.items()]).select(*_grid(block_rows, tasks)).first()
+    bins = cells.bins(math.ceil(n_items / i_blocks))
+    rest = materialize(cells.remaining(seen, bins).select("query_id", "vec", "kth", "more"), "more")
+    block = F.pmod(F.xxhash64("query_id", "vec"), F.lit(q_blocks)).cast("int")
+    q = rest.select("query_id", "vec", "kth", block.alias("qb"), F.posexplode("more").alias("bin", "open")).where("open IS NOT NULL")
+    i = cells.binned(bins).select("*", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+
+    out = T.StructType(
+        [
+            T.StructField("query_id", q.schema["query_id"].dataType),
+            T.StructField("item_id", i.schema["item_id"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = lambda r, c: [left["query_id"].take(r), right["item_id"].take(c)]
+        if not len(left) or not len(right):
+            none = np.empty(0, dtype=np.int64)
+            return pa.table([*ids(none, none), pa.array([], pa.float64())], out.names)
+        right = right.take(pc.sort_indices(right, [("item_id", "ascending")], null_placement="at_start"))
+        open_ = np.unpackbits(np.frombuffer(b"".join(left["open"].to_pylist()), np.uint8).reshape(len(left), -1), axis=1).astype(bool)
+        kth = left["kth"].to_numpy()
+        r, c, best = _best_of_cells(
+            _unit(_matrix(left["vec"])), np.where(kth > -1, kth, -np.inf), open_, _unit(_matrix(right["vec"])), right["place"].to_numpy(), k
+        )
+        return pa.table([*ids(r, c), pa.array(best)], out.names)
+
+    return q.groupBy("qb", "bin").cogroup(i.groupBy("qb", "bin")).applyInArrow(score, out)
 
 
 # -- chunks and freshness ----------------------------------------------------------------
