@@ -26,16 +26,24 @@ GAPS = 2**18
 DIGITS = 9
 
 
-def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
-    """Vectors of equal length as the rows of a matrix, in double precision."""
-    if len(pc.unique(pc.list_value_length(vectors))) != 1:
+def _units(vectors: pa.ChunkedArray) -> np.ndarray:
+    """:func:`_unit` of vectors from Arrow; a part of the rows at a time, so that little is held besides the result."""
+    sizes = pc.unique(pc.list_value_length(vectors))
+    if len(sizes) != 1:
         raise ValueError("all vectors must have the same length")
-    flat = pa.concat_arrays(x.flatten() for x in vectors.chunks)
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-
-
-def _unit(rows: pd.Series | np.ndarray) -> np.ndarray:
-    m = rows if isinstance(rows, np.ndarray) else np.stack(rows.to_numpy()).astype(np.float64)
+    m, at = np.empty((len(vectors), sizes[0].as_py())), 0
+    for chunk in vectors.chunks:
+        for low in range(0, len(chunk), ITEM_ROWS):
+            part = chunk[low : low + ITEM_ROWS]
+            flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
+            norm = np.linalg.norm(flat, axis=1, keepdims=True)
+            m[at : at + len(part)] = flat / np.where(norm == 0, 1, norm)
+            at += len(part)
+    return m
+
+
+def _unit(rows: pd.Series) -> np.ndarray:
+    m = np.stack(rows.to_numpy()).astype(np.float64)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norm == 0, 1, norm)
 
@@ -480,10 +488,12 @@ def _open_pairs(seen: DataFrame, cells: Cells, k: int, block_rows: int) -> DataF
         open_ = np.unpackbits(np.frombuffer(b"".join(left["open"].to_pylist()), np.uint8).reshape(len(left), -1), axis=1).astype(bool)
         kth = left["kth"].to_numpy()
         r, c, best = _best_of_cells(
-            _unit(_matrix(left["vec"])), np.where(kth > -1, kth, -np.inf), open_, _unit(_matrix(right["vec"])), right["place"].to_numpy(), k
+            _units(left["vec"]), np.where(kth > -1, kth, -np.inf), open_, _units(right["vec"]), right["place"].to_numpy(), k
         )
         return pa.table([*ids(r, c), pa.array(best)], out.names)
 
+    # pairs of a block and a bin take long and are few: more partitions than pairs, or several meet in one
+    q, i = (side.repartition(2 * q_blocks * len(bins), "qb", "bin") for side in (q, i))
     return q.groupBy("qb", "bin").cogroup(i.groupBy("qb", "bin")).applyInArrow(score, out)
 
 
